@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from turnloom.llm import quality, sharding, urlfilter
+from turnloom.llm import decontaminate, quality, sharding, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
 ORACLES = {}
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+ORACLES["op1_decontamination"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS p
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM phrase))),
+found AS (SELECT r, i, n, item_id FROM place JOIN phrase USING (n, p)),
+hit AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+ids AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS said FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(said, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
@@ -23,5 +53,5 @@ def op8_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-for _f in (op5_quality_rules, op6_sharding, op8_url_filters):
+for _f in (op1_decontamination, op5_quality_rules, op6_sharding, op8_url_filters):
     QUERIES[_f.__name__] = _f
