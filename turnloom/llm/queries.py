@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontaminate, quality, sharding, urlfilter
+from turnloom.llm import decontaminate, neardup, quality, sharding, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
@@ -39,6 +39,29 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return neardup.components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+way AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept
+FROM doc LEFT JOIN n USING (doc_id) JOIN low ON low.a = doc.doc_id
+"""
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
@@ -53,5 +76,5 @@ def op8_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-for _f in (op1_decontamination, op5_quality_rules, op6_sharding, op8_url_filters):
+for _f in (op1_decontamination, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters):
     QUERIES[_f.__name__] = _f
