@@ -45,7 +45,7 @@ def op3_minhash_near_dedup(spark, sf_dir):
 
 ORACLES["op3_minhash_near_dedup"] = r"""
 WITH RECURSIVE doc AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 shingle AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
