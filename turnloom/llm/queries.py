@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontaminate, neardup, quality, sharding, urlfilter
+from turnloom.llm import decontaminate, neardup, quality, sharding, toxicity, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
@@ -76,5 +76,9 @@ def op8_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-for _f in (op1_decontamination, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters):
+def op9_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+for _f in (op1_decontamination, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
     QUERIES[_f.__name__] = _f
