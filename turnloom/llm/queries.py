@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontaminate, neardup, quality, sharding, toxicity, urlfilter
+from turnloom.llm import decontaminate, neardup, ngramlm, quality, sharding, toxicity, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
@@ -39,6 +39,10 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return ngramlm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
@@ -80,5 +84,5 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-for _f in (op1_decontamination, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
+for _f in (op1_decontamination, op2_lm_scoring, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
     QUERIES[_f.__name__] = _f
