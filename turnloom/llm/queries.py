@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontaminate, neardup, ngramlm, quality, sharding, toxicity, urlfilter
+from turnloom.llm import decontaminate, language, neardup, ngramlm, quality, sharding, toxicity, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
@@ -66,6 +66,10 @@ FROM doc LEFT JOIN n USING (doc_id) JOIN low ON low.a = doc.doc_id
 """
 
 
+def op4_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
@@ -84,5 +88,5 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-for _f in (op1_decontamination, op2_lm_scoring, op3_minhash_near_dedup, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
+for _f in (op1_decontamination, op2_lm_scoring, op3_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
     QUERIES[_f.__name__] = _f

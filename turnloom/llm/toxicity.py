@@ -50,13 +50,13 @@ def words_of(text: str | None) -> list[str]:
     return [] if text is None else _WORD.findall(text.lower())
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], grams: tuple[int, ...] = GRAMS, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of all words (without `<` or `>`), and the word each belongs to."""
     code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.flatnonzero(code == ord("<"))
     owner = np.cumsum(code == ord("<")) - 1
     buckets, owners = [], []
-    for n in GRAMS:
+    for n in grams:
         count = len(code) - n + 1
         if count > 0:
             h = np.full(count, n, np.uint64)
@@ -71,7 +71,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.arange(len(starts)))
     if not buckets:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (np.concatenate(buckets) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
+    return (np.concatenate(buckets) % np.uint64(size)).astype(np.int64), np.concatenate(owners)
 
 
 @dataclass
