@@ -34,7 +34,7 @@ DIMENSIONS = 4
 SAMPLE_ROWS = 1500
 #: Clean rows for each toxic one in the sample, at most, and what a clean row weighs.
 CLEAN_TIMES, CLEAN_WEIGHT = 2, 1.0
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 10_000
 THRESHOLD = 0.7
 #: Training: steps, rate, momentum, weight decay, and what a document's mean is multiplied by.
 STEPS, RATE, MOMENTUM, DECAY, SCALE = 60, 0.005, 0.9, 1.0, 300.0
@@ -109,12 +109,12 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bucket, owner = subwords(ws)
         share = 1.0 / np.bincount(owner, minlength=len(ws))[owner] / (len(ws) + PAD)
         b, at = np.unique(bucket, return_inverse=True)
-        docs.append(np.full(len(b), i))
-        buckets.append(b)
-        shares.append(np.bincount(at, share))
+        docs.append(np.full(len(b), i, np.int32))
+        buckets.append(b.astype(np.int32))
+        shares.append((np.bincount(at, share) * SCALE).astype(np.float32))
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(docs), np.concatenate(buckets), np.concatenate(shares) * SCALE
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return np.concatenate(docs), np.concatenate(buckets), np.concatenate(shares)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
@@ -130,17 +130,22 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     doc, bucket, share = _features(texts)
     if not len(doc):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    used, column = np.unique(bucket, return_inverse=True)  # rows of E that the sample moves
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))  # rows of E that the sample moves
+    column = np.zeros(BUCKETS, np.int32)
+    column[used] = np.arange(len(used))
+    column = column[bucket]
+    del bucket
     by_doc = np.flatnonzero(np.diff(doc, prepend=-1))
-    order = np.argsort(column, kind="stable")
+    rows = doc[by_doc]
+    order = np.argsort(column, kind="stable").astype(np.int32)
     by_column = np.flatnonzero(np.diff(column[order], prepend=-1))
-    share, doc_of, share_of, rows = share.astype(np.float32), doc[order].astype(np.int32), share[order].astype(np.float32), doc[by_doc]
-    column = column.astype(np.int32)
+    doc_of, share_of = doc[order], share[order]
+    del order, doc
     rng = np.random.default_rng(seed)
     half = rng.normal(size=DIMENSIONS)
     half /= 2 * np.linalg.norm(half)
     e, w, bias = np.zeros((len(used), DIMENSIONS)), np.stack([-half, half], axis=1), np.zeros(2)
-    curve = 1 / (np.add.reduceat(share_of.astype(float) ** 2, by_column) / 4 + DECAY)
+    curve = 1 / (np.add.reduceat(share_of * share_of, by_column) / 4 + DECAY)
     weight = np.where(y > 0, 1.0, CLEAN_WEIGHT)
     speed_e, speed_w, speed_b = np.zeros_like(e), np.zeros_like(w), np.zeros(2)
     for _ in range(STEPS):
