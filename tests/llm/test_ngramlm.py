@@ -56,7 +56,8 @@ def test_elias_fano_round_trip_and_successor():
 def test_trie_takes_a_few_bytes_an_ngram():
     rng = np.random.default_rng(1)
     w, v, u = (rng.zipf(1.3, 40000) % 3000 for _ in range(3))
-    trie = lm.Trie(w, v, u, 3000, np.bincount(w, minlength=3000), np.zeros(3000, np.int64), 50000.0)
+    w3, v3, u3, back = lm.trigrams(w, v, u, 3000)
+    trie = lm.Trie(w3, v3, u3, np.bincount(back), 3000, np.bincount(w, minlength=3000), np.zeros(3000, np.int64), 50000.0)
     grams = len(set(zip(w.tolist(), v.tolist()))) + len(set(zip(w.tolist(), v.tolist(), u.tolist())))
     assert trie.store.used < 9 * grams
 

@@ -49,7 +49,9 @@ MU2, MU3 = 200.0, 20.0
 #: A word of at least this share of the training tokens is frequent.
 FREQUENT = 1e-5
 #: Tokens for each shard, on average.
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 3_000_000
+#: Documents whose tokens are dealt to the shards at a time.
+BATCH_DOCS = 8000
 #: Identities of the end and the start, in place of a word's hash.
 END, START = np.uint64(1), np.uint64(2)
 #: Log10 probabilities are kept in steps of 1/STEP from 0 down.
@@ -73,8 +75,9 @@ class EliasFano:
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         place = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(place[-1]) // 64 + 2) if n else 1, np.uint64)
-        np.bitwise_or.at(high, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+        unary = np.zeros(((int(place[-1]) // 64 + 2) if n else 1) * 64, bool)
+        unary[place] = True
+        high = np.packbits(unary, bitorder="little").view(np.uint64)
         low = values & np.uint64((1 << low_bits) - 1)
         packed = np.zeros(n * low_bits // 64 + 2, np.uint64)
         bit = np.arange(n) * low_bits
@@ -87,8 +90,24 @@ class EliasFano:
         np.cumsum(np.bitwise_count(high[:-1]), out=ones[1:])
         return low_bits, [packed, high, ones]
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        bit = i * self.low_bits
+        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        low = self.low[at] >> shift
+        over = shift + np.uint64(self.low_bits) > np.uint64(64)
+        low = np.where(over, low | (self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63))), low)
+        return low & np.uint64((1 << self.low_bits) - 1)
+
+    def all(self) -> np.ndarray:
+        """All values, decoded front to back."""
+        i = np.arange(self.n)
+        high = (np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - i).astype(np.uint64)
+        return ((high << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64) if self.low_bits else high.astype(np.int64)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at i."""
+        """The values at i; many are read off a full decoding, few by select."""
+        if len(i) * 16 > self.n:
+            return self.all()[i]
         word = np.searchsorted(self.select, i, "right") - 1
         rest = i - self.select[word]
         bits = self.high[word]
@@ -103,15 +122,12 @@ class EliasFano:
         high = (word * 64 + place - i).astype(np.uint64)
         if not self.low_bits:
             return high.astype(np.int64)
-        bit = i * self.low_bits
-        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        low = self.low[at] >> shift
-        over = shift + np.uint64(self.low_bits) > np.uint64(64)
-        low = np.where(over, low | (self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63))), low)
-        return ((high << np.uint64(self.low_bits)) | (low & np.uint64((1 << self.low_bits) - 1))).astype(np.int64)
+        return ((high << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64)
 
     def successor(self, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """In each range [begin, end): the first index whose value is at least the wanted one."""
+        if len(wanted) * 16 > self.n:
+            return np.clip(np.searchsorted(self.all(), wanted), begin, end)
         begin, end = begin.copy(), end.copy()
         live = np.flatnonzero(begin < end)
         while len(live):
@@ -182,60 +198,83 @@ def quantised(log10: np.ndarray) -> np.ndarray:
 class Trie:
     """Counts of the training tokens of one shard, as reversed n-grams w -> v -> u of local ids.
 
-    words, c1: local ids of words and their c(w) in all training tokens. z: N + 0.5 (V + 1). heavy: c(v) by local
-    id if v is frequent, else 0.
+    w, v, u, c3: the distinct trigrams in order of (w, v, u), and their counts. n: local ids. c1: c(w) by local id. heavy: c(v)
+    by local id if v is frequent, else 0. z: N + 0.5 (V + 1).
     """
 
-    def __init__(self, w: np.ndarray, v: np.ndarray, u: np.ndarray, n: int, c1: np.ndarray, heavy: np.ndarray, z: float):
+    def __init__(self, w: np.ndarray, v: np.ndarray, u: np.ndarray, c3: np.ndarray, n: int, c1: np.ndarray, heavy: np.ndarray, z: float):
         self.store = store = Memory()
-        self.n = n
-        pair, pair_of = np.unique(w * n + v, return_inverse=True)
-        c2 = np.bincount(pair_of, minlength=len(pair))
+        begin = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])) if len(w) else np.zeros(0, np.int64)
+        pair_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(w))))
+        c2 = np.add.reduceat(c3, begin) if len(w) else c3
         # u by its rank among the words in front of v
-        front = np.unique(v * n + u)
+        front = np.unique(v.astype(np.int64) * n + u)
         front_v = front // n
         self.front = Level(front_v, front % n, n, store)
-        rank = np.searchsorted(front, v * n + u) - np.searchsorted(front_v, v)
-        triple, c3 = np.unique(pair_of * (n + 1) + rank, return_counts=True)
-        self.second = Level(pair // n, pair % n, n, store)
-        self.third = Level(triple // (n + 1), triple % (n + 1), len(pair), store)
-        self.p1 = (c1 + 0.5) / z
-        p2 = self.mixed(pair % n, pair // n, c2, heavy)
-        p3 = c3 + MU3 * p2[triple // (n + 1)]
-        self.heavy = heavy
+        rank = np.searchsorted(front, v.astype(np.int64) * n + u) - np.searchsorted(front_v, np.arange(n + 1))[v]
+        self.second = Level(w[begin].astype(np.int64), v[begin].astype(np.int64), n, store)
+        self.third = Level(pair_of, rank, len(begin), store)
+        self.p1, self.heavy = (c1 + 0.5) / z, heavy
+        p2 = self.mixed(v[begin], w[begin], c2)
+        p3 = c3 + MU3 * p2[pair_of]
         # smoothed probabilities; of trigrams the part above the denominator, which is added elsewhere
-        self.code1, self.code2 = store.put(quantised(np.log10(self.p1))), store.put(quantised(np.log10(p2)))
-        self.top = float(np.log10(p3.max(initial=1.0)))
-        self.code3 = store.put(quantised(np.log10(p3) - self.top))
-        self.below = store.put(quantised(np.log10(c2 + MU3) - (top := float(np.log10(c2.max(initial=1) + MU3)))))
-        self.below_top = top
+        self.code2 = store.put(quantised(np.log10(p2)))
+        self.top3, self.top2 = float(np.log10(p3.max(initial=1.0))), float(np.log10(c2.max(initial=1) + MU3))
+        self.code3 = store.put(quantised(np.log10(p3) - self.top3))
+        self.below = store.put(quantised(np.log10(c2 + MU3) - self.top2))
 
-    def mixed(self, v: np.ndarray, w: np.ndarray, c2: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-        return np.where(heavy[v] > 0, (c2 + MU2 * self.p1[w]) / (heavy[v] + MU2), self.p1[w])
+    def mixed(self, v: np.ndarray, w: np.ndarray, c2: np.ndarray | int) -> np.ndarray:
+        return np.where(self.heavy[v] > 0, (c2 + MU2 * self.p1[w]) / (self.heavy[v] + MU2), self.p1[w])
 
     def score(self, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: log10 of c(uvw) + MU3 p2(w|v), and log10 of c(vw) + MU3 (what the next token is divided by)."""
-        pair = self.second.find(w, v)
-        rank = self.front.find(v, u)
-        if len(rank):
-            begin = self.front.pointers.get(v)
-            rank = np.where(rank >= 0, rank - begin, -1)
-        triple = self.third.find(pair, rank)
-        p2 = np.where(pair >= 0, 10.0 ** -(self.code2[np.maximum(pair, 0)] / STEP) if len(self.code2) else 0.0, self.mixed(v, w, np.zeros(len(w)), self.heavy))
-        above = np.log10(MU3 * p2)
-        known = triple >= 0
-        above[known] = self.top - self.code3[triple[known]] / STEP
-        below = np.full(len(w), np.log10(MU3))
-        known = pair >= 0
-        below[known] = self.below_top - self.below[pair[known]] / STEP
-        return above, below
+        """For each trigram: log10 of c(uvw) + MU3 p2(w|v), and log10 of c(vw) + MU3 (what the next token is divided by).
+
+        The trigrams come in order of (w, v, u); a bigram that several share is sought once.
+        """
+        if not len(w):
+            return np.zeros(0), np.zeros(0)
+        begin = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
+        many = np.diff(np.append(begin, len(w)))
+        w2, v2 = w[begin].astype(np.int64), v[begin].astype(np.int64)
+        pair = self.second.find(w2, v2)
+        known = np.flatnonzero(pair >= 0)
+        p2 = self.mixed(v2, w2, 0)
+        below = np.full(len(pair), np.log10(MU3))
+        if len(known):
+            p2[known] = 10.0 ** -(self.code2[pair[known]] / STEP)
+            below[known] = self.top2 - self.below[pair[known]] / STEP
+        above = np.repeat(np.log10(MU3 * p2), many)
+        asked = np.flatnonzero(np.repeat(pair >= 0, many))
+        if len(asked):
+            before = v[asked].astype(np.int64)
+            rank = self.front.find(before, u[asked].astype(np.int64))
+            there = rank >= 0
+            asked, rank = asked[there], rank[there] - self.front.pointers.get(before[there])
+            triple = self.third.find(np.repeat(pair, many)[asked], rank)
+            there = triple >= 0
+            above[asked[there]] = self.top3 - self.code3[triple[there]] / STEP
+        return above, np.repeat(below, many)
+
+
+def trigrams(w: np.ndarray, v: np.ndarray, u: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams in order, and for each row which it is."""
+    key = w.astype(np.int64) * n + v
+    if n**3 >= 1 << 63:  # too many ids for one key: bigrams by their rank first
+        pairs, key = np.unique(key, return_inverse=True)
+    else:
+        pairs = None
+    key, back = np.unique(key * n + u, return_inverse=True)
+    pair, last = key // n, (key % n).astype(np.int32)
+    if pairs is not None:
+        pair = pairs[pair]
+    return (pair // n).astype(np.int32), (pair % n).astype(np.int32), last, back.astype(np.int32)
 
 
 # ---- packing of a batch's tokens by shard ----------------------------------------------------------------------------
 
 
 def batch_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the batch's words (first START, END), and for each token its document, w, v and u as indexes in them."""
+    """Hashes of the batch's words (and START and END) in order, and for each token its document, w, v and u as indexes in them."""
     number: defaultdict[bytes, int] = defaultdict(itertools.count(2).__next__)
     lists, lengths = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -243,13 +282,18 @@ def batch_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
         lengths[i] = len(words) + 3
         lists += [np.zeros(2, np.int32), np.fromiter(map(number.__getitem__, words), np.int32, len(words)), np.ones(1, np.int32)]
     flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    del lists
+    hashes = np.concatenate([np.array([START, END]), word_hashes(number)])
+    order = np.argsort(hashes)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    flat = place[flat]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     token = np.ones(len(flat), bool)
     starts = np.cumsum(lengths) - lengths
     token[starts] = token[starts + 1] = False
     at = np.flatnonzero(token)
-    hashes = np.concatenate([np.array([START, END]), word_hashes(number)])
-    return hashes, doc[at], flat[at], flat[at - 1], flat[at - 2]
+    return hashes[order], doc[at], flat[at], flat[at - 1], flat[at - 2]
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -268,6 +312,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(hashes: np.ndarray) -> np.ndarray:
+    """Differences of ascending 64-bit values, byte by byte: the high bytes compress to nothing."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.reshape(-1)
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     top = int(a.max(initial=0))
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
@@ -329,8 +382,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, len(whole), BATCH_DOCS):
+                b = whole.slice(at, BATCH_DOCS)
                 ids = b.column(0).to_pylist()
                 hashes, doc, w, v, u = batch_tokens(b.column(1).to_pylist())
                 often = lookup(hashes) > 0
@@ -339,11 +392,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                 order = np.argsort(key.astype(np.int32 if shards > 65535 else np.uint16), kind="stable")
                 bounds = np.searchsorted(key[order], np.arange(shards + 1, dtype=np.uint64))
                 training = _is_training(ids, held, modulus)
-                lengths = np.bincount(doc, minlength=len(ids))
-                local = np.zeros(len(hashes), np.int64)
-                name = (part << 32) + serial
+                local = np.zeros(len(hashes), np.int32)
+                name = np.array([(part << 32) + serial], np.uint64)
                 serial += 1
-                out = ([], [])
+                # what the result says of the batch's documents: it travels with the batch's first blob
+                about = [np.array([i is not None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64).view(np.uint64), training.astype(np.uint8), narrow(np.bincount(doc, minlength=len(ids)))]
+                out: tuple[list, list] = ([], [])
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
                     pick = order[bounds[s] : bounds[s + 1]]
                     there = np.zeros(len(hashes), bool)
@@ -351,67 +405,70 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                     words = np.flatnonzero(there)
                     local[words] = np.arange(len(words))
                     names, doc_at = np.unique(doc[pick], return_inverse=True)
-                    id_known = np.array([ids[i] is not None for i in names.tolist()], np.uint8)
-                    id_value = np.array([ids[i] or 0 for i in names.tolist()], np.int64).view(np.uint64)
                     out[0].append(s)
-                    out[1].append(
-                        pack([hashes[words], narrow(local[w[pick]]), narrow(local[v[pick]]), narrow(local[u[pick]]), narrow(np.diff(doc_at, prepend=0)), narrow(names), id_known, id_value, training[names].astype(np.uint8), narrow(lengths[names]), np.array([name], np.uint64)])
-                    )
+                    out[1].append(pack([planes(hashes[words]), narrow(local[w[pick]]), narrow(local[v[pick]]), narrow(local[u[pick]]), narrow(np.diff(doc_at, prepend=0)), narrow(names), training[names].astype(np.uint8), name, *about]))
+                    about = [a[:0] for a in about]
                     if len(out[0]) >= 64:
                         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "blob"])
                         out = ([], [])
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "blob"])
 
-    schema = "batch long, at int, doc_id long, training boolean, n_tokens long, known long, base double, score double"
-
     def scored(t: pa.Table) -> pa.Table:
         blobs = [unpack(x) for x in t.column("blob").to_pylist()]
+        del t
+        for b in blobs:
+            b[0] = unplaned(b[0])
         hashes, code = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        code = code.astype(np.int32)
         offsets = np.cumsum([0, *(len(b[0]) for b in blobs)])
         w, v, u = (np.concatenate([code[offsets[i] : offsets[i + 1]][b[k].astype(np.int64)] for i, b in enumerate(blobs)]) for k in (1, 2, 3))
         rows = np.cumsum([0, *(len(b[5]) for b in blobs)])
-        doc = np.concatenate([np.cumsum(b[4].astype(np.int64)) + rows[i] for i, b in enumerate(blobs)])
-        training = np.concatenate([b[8] for b in blobs]).astype(bool)
+        doc = np.concatenate([(np.cumsum(b[4], dtype=np.int32) + rows[i]).astype(np.int32) for i, b in enumerate(blobs)])
+        training = np.concatenate([b[6] for b in blobs]).astype(bool)
         learned = training[doc]
         n = len(hashes)
         heavy = lookup(hashes)
         c1 = np.where(heavy > 0, heavy, np.bincount(w[learned], minlength=n))
-        trie = Trie(w[learned], v[learned], u[learned], n, c1, heavy, z)
-        # equal queries are asked once
-        asked, back = np.unique((w * n + v), return_inverse=True)
-        asked, back = np.unique(back * n + u, return_inverse=True)
-        pick = np.zeros(len(asked), np.int64)
-        pick[back] = np.arange(len(w))
-        above, below = trie.score(w[pick], v[pick], u[pick])
+        w3, v3, u3, back = trigrams(w, v, u, n)
+        del u
+        c3 = np.bincount(back, learned, minlength=len(w3)).astype(np.int64)
+        seen = c3 > 0
+        trie = Trie(w3[seen], v3[seen], u3[seen], c3[seen], n, c1, heavy, z)
+        above, below = trie.score(w3, v3, u3)
+        del trie, w3, v3, u3, c3, seen
         start, end = (np.searchsorted(hashes, x) for x in (START, END))
         is_end = w == end if end < n and hashes[end] == END else np.zeros(len(w), bool)
         first = v == start if start < n and hashes[start] == START else np.zeros(len(w), bool)
         # a token pays for the next one's context; the first pays for that of two starts, too
         own = above[back] - np.where(is_end, 0.0, below[back]) - np.where(first, np.log10(train_docs + MU3), 0.0)
         many = int(rows[-1])
-        id_value = np.concatenate([b[7] for b in blobs]).view(np.int64)
-        id_known = np.concatenate([b[6] for b in blobs]).astype(bool)
+        sums = [np.bincount(doc, c1[w] > 0, minlength=many).astype(np.int64), np.bincount(doc, np.log10((c1[w] + 0.5) / z), minlength=many), np.bincount(doc, own, minlength=many)]
+        parts = [pack([b[5], narrow(sums[0][at:to]), sums[1][at:to].view(np.uint64), sums[2][at:to].view(np.uint64), *b[8:]]) for b, at, to in zip(blobs, rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+        return pa.table({"batch": pa.array([int(b[7][0]) for b in blobs], pa.int64()), "part": pa.array(parts, pa.binary())})
+
+    def summed(t: pa.Table) -> pa.Table:
+        blobs = [unpack(x) for x in t.column("part").to_pylist()]
+        known_id, value, training, lengths = next(b[4:] for b in blobs if len(b[4]))
+        total = np.zeros((3, len(value)))
+        for b in blobs:
+            at = b[0].astype(np.int64)  # a document once a blob
+            total[0, at] += b[1]
+            total[1, at] += b[2].view(np.float64)
+            total[2, at] += b[3].view(np.float64)
         return pa.table(
             {
-                "batch": np.repeat([int(b[10][0]) for b in blobs], np.diff(rows)),
-                "at": pa.array(np.concatenate([b[5] for b in blobs]).astype(np.int32)),
-                "doc_id": pa.array(id_value, mask=~id_known),
-                "training": pa.array(training),
-                "n_tokens": pa.array(np.concatenate([b[9] for b in blobs]).astype(np.int64)),
-                "known": pa.array(np.bincount(doc, c1[w] > 0, minlength=many).astype(np.int64)),
-                "base": pa.array(np.bincount(doc, np.log10((c1[w] + 0.5) / z), minlength=many)),
-                "score": pa.array(np.bincount(doc, own, minlength=many)),
+                "doc_id": pa.array(value.view(np.int64), mask=known_id == 0),
+                "held_out": pa.array(training == 0),
+                "n_tokens": pa.array(lengths.astype(np.int64)),
+                "n_known": pa.array(total[0].astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(value), n_train, np.int64)),
+                "base_score": pa.array(total[1]),
+                "score": pa.array(total[2]),
             }
         )
 
-    partial = source.mapInArrow(dealt, "shard int, blob binary").groupBy("shard").applyInArrow(scored, schema)
-    return partial.groupBy("batch", "at").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first(~F.col("training")).alias("held_out"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("batch", "at")
+    partial = source.mapInArrow(dealt, "shard int, blob binary").groupBy("shard").applyInArrow(scored, "batch long, part binary")
+    return partial.groupBy("batch").applyInArrow(
+        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
