@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontaminate, language, neardup, ngramlm, quality, sharding, toxicity, urlfilter
+from turnloom.llm import decontaminate, extract, language, neardup, ngramlm, pieces, quality, sharding, toxicity, urlfilter
 from turnloom.llm.common import table
 
 QUERIES = {}
@@ -80,6 +80,10 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("stratum")
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -88,5 +92,9 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-for _f in (op1_decontamination, op2_lm_scoring, op3_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_sharding, op8_url_filters, op9_toxicity):
+def op10_html_extraction(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+for _f in (op1_decontamination, op2_lm_scoring, op3_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_url_filters, op9_toxicity, op10_html_extraction):
     QUERIES[_f.__name__] = _f
