@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+from turnloom.plans import axis_queries  # noqa: E402, F401
