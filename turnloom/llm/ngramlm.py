@@ -49,7 +49,7 @@ MU2, MU3 = 200.0, 20.0
 #: A word of at least this share of the training tokens is frequent.
 FREQUENT = 1e-5
 #: Tokens for each shard, on average.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_600_000
 #: Documents whose tokens are dealt to the shards at a time.
 BATCH_DOCS = 8000
 #: Identities of the end and the start, in place of a word's hash.
@@ -423,6 +423,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         code = code.astype(np.int32)
         offsets = np.cumsum([0, *(len(b[0]) for b in blobs)])
         w, v, u = (np.concatenate([code[offsets[i] : offsets[i + 1]][b[k].astype(np.int64)] for i, b in enumerate(blobs)]) for k in (1, 2, 3))
+        del code
+        for b in blobs:
+            b[0] = b[1] = b[2] = b[3] = None
         rows = np.cumsum([0, *(len(b[5]) for b in blobs)])
         doc = np.concatenate([(np.cumsum(b[4], dtype=np.int32) + rows[i]).astype(np.int32) for i, b in enumerate(blobs)])
         training = np.concatenate([b[6] for b in blobs]).astype(bool)
