@@ -104,9 +104,9 @@ def apply_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     verdicts: transcript_id, turn_start, turn_end, verifier_label, overturned. Ranges of one transcript don't overlap.
     """
-    v = verdicts.filter("overturned").select("transcript_id", "turn_start", "turn_end", "verifier_label")
-    hit = judged.join(v, (judged.transcript_id == v.transcript_id) & judged.turn.between(v.turn_start, v.turn_end) & judged.label.isNotNull(), "left")
-    return hit.select(*[judged[c] if c != "label" else F.coalesce(v["verifier_label"], judged["label"]).alias("label") for c in judged.columns], v["verifier_label"].isNotNull().alias("relabelled"))
+    v = verdicts.filter("overturned").select("transcript_id", F.col("turn_start").alias("_a"), F.col("turn_end").alias("_b"), F.col("verifier_label").alias("_v"))
+    hit = judged.alias("j").join(v.alias("v"), (F.col("j.transcript_id") == F.col("v.transcript_id")) & F.col("turn").between(F.col("_a"), F.col("_b")) & F.col("label").isNotNull(), "left")
+    return hit.select(*[F.col(f"j.{c}") if c != "label" else F.coalesce("_v", "label").alias("label") for c in judged.columns], F.col("_v").isNotNull().alias("relabelled"))
 
 
 def overlapping_reviews(phases: DataFrame, reviews: DataFrame) -> DataFrame:
