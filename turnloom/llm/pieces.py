@@ -104,6 +104,7 @@ class Machine:
         self.out = [b"" if p[2] not in (NORMAL, BYTE) else bytes([int(p[0][1:-1], 16)]) if p[2] == BYTE else p[0].replace(SPACE, " ").encode() for p in pieces]
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[int | str]:
         """What merging gives for a short text: the best-scored neighbours first, of equal ones the leftmost."""
@@ -165,8 +166,9 @@ class Machine:
         for s in set(segments).difference(known):
             if len(s) <= TABLE_CHARS:
                 if len(known) >= TABLE_SEGMENTS:
+                    self.older = dict(known)  # segments still in use are taken back from there
                     known.clear()
-                known[s] = self.shortest(s)
+                known[s] = self.older.get(s) or self.shortest(s)
         get, shortest = known.get, self.shortest
         out.extend(chain.from_iterable([get(s) or shortest(s) for s in segments]))
         return out
