@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from turnloom.plans import axis_queries, judge_queries  # noqa: E402, F401
+from turnloom.plans import axis_queries, judge_queries, text_queries  # noqa: E402, F401
