@@ -38,6 +38,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many bytes, as measured, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 24_000_000
+
+
+def broadcast_if_small(df: DataFrame, label: str, *texts: str) -> DataFrame:
+    """df as a written table, with a broadcast hint only if its measured size is within BROADCAST_BYTES."""
+    df = written(df, label)
+    size = F.count(F.lit(1)) * 64 + sum((F.coalesce(F.sum(F.octet_length(t)), F.lit(0)) for t in texts), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the decimal id, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(n)

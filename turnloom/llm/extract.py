@@ -15,7 +15,7 @@ it stands outside an article.
 Nulls: a null html is empty, its text "". A null url, or one without `://`, is of an empty host. Unclosed and
 misnested tags are closed as browsers do for paragraphs and list items; any other stray end tag is ignored. Repeated
 rows are extracted one by one. Empty tables give no rows; further columns are ignored. Hosts are sampled by a rank limit, wrappers
-are joined to pages by host, and no host's pages are gathered in one task.
+are joined to pages by host (broadcast where their measured size is small), and no host's pages are gathered in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import broadcast_if_small
+
 SAMPLE_PAGES, MIN_PAGES = 5, 3
 #: A page in a sample has at most so many characters; the tree matching of two pages at most so many cells.
 SAMPLE_CHARS, MATCH_CELLS = 200_000, 400_000
@@ -240,7 +242,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("host", "html", F.xxhash64("html").alias("h"))
     # the rank limit is applied before the shuffle: a task passes on SAMPLE_PAGES hashes a host, whatever the host's size
     hashes = usable.select("host", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).filter(F.col("r") <= SAMPLE_PAGES)
-    sample = usable.join(hashes.select("host", "h"), ["host", "h"]).dropDuplicates(["host", "h"])
+    sample = usable.join(broadcast_if_small(hashes.select("host", "h"), "sample-hashes", "host"), ["host", "h"]).dropDuplicates(["host", "h"])
 
     def induced(t: pa.Table) -> pa.Table:
         t = t.sort_by("h")
@@ -254,7 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    found = hosted.join(wrappers(hosted), "host", "left").select("page_id", "url", "html", "template")
+    found = hosted.join(broadcast_if_small(wrappers(hosted), "wrappers", "host", "template"), "host", "left").select("page_id", "url", "html", "template")
     kind = dict(pages.dtypes)["page_id"]
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
