@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.schema import CALL_STATUSES, CHUNK_TURNS, EVIDENCE_LINES
 
@@ -94,7 +95,7 @@ def answered(asked: DataFrame, cache: DataFrame, ask: Callable[[str, str, str, i
     if ask is None:
         return known.withColumn("status", F.coalesce("status", F.lit("no_answer")))
     missing = known.filter("status is null").drop("value", "status")
-    schema = missing.schema.add("value", "string").add("status", "string")
+    schema = T.StructType([*missing.schema.fields, T.StructField("value", T.StringType()), T.StructField("status", T.StringType())])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
