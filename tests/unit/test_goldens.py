@@ -160,7 +160,7 @@ def test_text_functions(spark):
     assert one(tx.clip(F.lit("a" * 100), 10)) == "aaaaa [... 90 chars ...] aaaaa"
     assert one(tx.file_stem(F.lit("s3://b/dir/run.v1.eval"))) == "run.v1"
     assert one(tx.threshold(F.lit("0.8")))["share"] == 0.8 and one(tx.threshold(F.lit("5000")))["tokens"] == 5000 and one(tx.threshold(F.lit("true"))) is None
-    assert one(tx.elide(F.array(*[F.lit(str(i)) for i in range(10)]), 4)) == ["0", "1", "[... 6 lines ...]", "8", "9"]
+    assert one(tx.elide(F.array(*[F.lit(str(i)) for i in range(10)]), 4)) == ["0", "1", "[... 6 turns elided ...]", "8", "9"]
     m = tx.scramble_map(["a", "b", "ops"], 3)
     assert m["ops"] == "ops" and one(tx.translated(tx.translated(F.lit("a"), m), {v: k for k, v in m.items()})) == "a"
     assert one(tx.viewer_link("http://v/", F.lit("a b?"), F.lit("x y"))) == "http://v/#/transcripts/YSBiPw/x%20y"
@@ -182,7 +182,7 @@ def test_tags_and_layers(spark):
         layers.check(layers.Layer("x", frame=a, blocks=[("turn_chart", {"y": "fam"})]), a)
     made = layers.inject([layers.Layer("x", scanner=lambda spec, depth: (spec["n"], depth), scanner_args={"depth": 2})], {"judges": 1}, {"n": 7})
     assert made[0].scanner == (7, 2)
-    assert layers.section_order(["tokens"], [layers.Layer("mine", frame=a)])[0] == "tokens"
+    assert layers.section_order(["token_spend"], [layers.Layer("mine", frame=a)])[0] == "token_spend"
 
 
 def test_judging(spark):

@@ -27,14 +27,14 @@ def is_label_key(x: Column | str) -> Column:
 
 
 def clip(x: Column | str, cap: int) -> Column:
-    """SCA-02: head and tail of cap // 2 and cap - cap // 2 characters around a counted mark; unchanged where that isn't shorter."""
+    """SCA-02: head and tail of cap // 2 and cap - cap // 2 characters, trimmed at the cut, around a mark that counts the rest; unchanged where that isn't shorter."""
     c, n = col(x), F.length(col(x))
     if cap <= 0:
         return F.when(c.isNotNull(), F.lit(""))
-    head, tail = cap // 2, cap - cap // 2
-    cut = F.concat(
-        F.regexp_replace(F.substring(c, 1, head), rf"{BLANK}+$", ""), F.lit(" [... "), (n - cap).cast("string"), F.lit(" chars ...] "), F.regexp_replace(F.right(c, F.lit(tail)), rf"^{BLANK}+", "")
-    )
+    head = F.regexp_replace(F.substring(c, 1, cap // 2), rf"{BLANK}+$", "")
+    tail = F.regexp_replace(F.right(c, F.lit(cap - cap // 2)), rf"^{BLANK}+", "")
+    mark = F.concat(F.lit("[... "), (n - F.length(head) - F.length(tail)).cast("string"), F.lit(" chars ...]"))
+    cut = F.concat_ws(" ", F.nullif(head, F.lit("")), mark, F.nullif(tail, F.lit("")))
     return F.when((n <= cap) | (F.length(cut) >= n), c).otherwise(cut)
 
 
@@ -65,25 +65,26 @@ def short_model(x: Column | str) -> Column:
 
 
 def member_display(model: Column | str, roll: Column | str, multi: Column) -> Column:
-    return F.when(multi, F.concat(short_model(model), F.lit(" #"), (col(roll) + 1).cast("string"))).otherwise(short_model(model))
+    return F.when(multi, F.concat(short_model(model), F.lit(" roll-"), col(roll).cast("string"))).otherwise(short_model(model))
 
 
-def regime_text(kind: Column | str, n_models: Column | str, k_rolls: Column | str) -> Column:
-    """SCA-08: a judge setup in words."""
-    k = col(kind)
+def regime_text(kind: Column | str, models: Column | str, k_rolls: Column | str) -> Column:
+    """SCA-08: a judge setup in words. models: an array."""
+    k, m = col(kind), col(models)
+    name = F.when(F.size(m) > 0, F.concat(F.lit(" ("), F.get(m, F.lit(0)), F.lit(")"))).otherwise("")
     return (
-        F.when(k == "solo", F.lit("one judge, one roll"))
-        .when(k == "k_roll", F.format_string("one judge, %s rolls", col(k_rolls).cast("string")))
-        .when(k == "cohort", F.format_string("%s judges, one roll each", col(n_models).cast("string")))
-        .otherwise("not judged")
+        F.when(k == "none", "no judge ran")
+        .when(k == "cohort", F.concat(F.lit("cohort of "), F.size(m).cast("string"), F.lit(" models ("), F.array_join(m, ", "), F.lit(")")))
+        .when(k == "k_roll", F.concat(F.lit("solo + k-rolls (k="), col(k_rolls).cast("string"), F.lit(")"), name))
+        .otherwise(F.concat(F.lit("solo"), name))
     )
 
 
-def percent_text(mean: Column | str, half: Column | str, n: Column | str) -> Column:
-    """SCA-08, SCA-19: a mean with its half-width, if known, and its number of values."""
-    m = F.format_string("%.2f", col(mean))
-    with_half = F.when(col(half).isNotNull(), F.concat(m, F.lit(" ± "), F.format_string("%.2f", col(half)))).otherwise(m)
-    return F.when(col(mean).isNull(), "–").otherwise(F.concat(with_half, F.lit(" (n = "), col(n).cast("string"), F.lit(")")))
+def mean_text(mean: Column | str, half: Column | str, least: Column | str, n: Column | str) -> Column:
+    """SCA-08, SCA-19: a mean with its half-width, if known, its minimum and number of values."""
+    spread = F.when(col(half).isNotNull(), F.format_string(" ± %.2f", col(half))).otherwise("")
+    said = F.concat(F.format_string("%.2f", col(mean)), spread, F.format_string(" (min %.2f), N = ", col(least)), col(n).cast("string"))
+    return F.when(col(mean).isNull() | (col(n) == 0), "no data").otherwise(said)
 
 
 def threshold(raw: Column | str) -> Column:
@@ -102,9 +103,12 @@ def score_rows(score: Column | str) -> Column:
 
 
 def duration_text(seconds: Column | str) -> Column:
-    """SCA-11: seconds, minutes or hours."""
-    s = col(seconds)
-    return F.when(s < 60, F.format_string("%.0f s", s.cast("double"))).when(s < 3600, F.format_string("%.1f min", s / 60.0)).when(s.isNotNull(), F.format_string("%.1f h", s / 3600.0))
+    """SCA-11: whole seconds as hours and minutes, minutes and seconds, or seconds."""
+    s = col(seconds).cast("bigint")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    minutes, left = F.floor(s / 60), s % 60
+    hours = F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), two(minutes % 60), F.lit("m"))
+    return F.when(s.isNull(), "no data").when(s >= 3600, hours).when(s >= 60, F.concat(minutes.cast("string"), F.lit("m "), two(left), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def tick_step(n: Column | str, most: int = 25) -> Column:
@@ -121,9 +125,8 @@ def chart_width(n: Column | str) -> Column:
 
 
 def preview(x: Column | str, cap: int = 60) -> Column:
-    """SCA-14: flattened, cut to cap characters with an ellipsis."""
-    f = flat(x)
-    return F.when(F.length(f) > cap, F.concat(F.substring(f, 1, cap - 1), F.lit("…"))).otherwise(F.nullif(f, F.lit("")))
+    """SCA-14: the first cap characters, with an ellipsis if there are more."""
+    return F.when(F.length(col(x)) > cap, F.concat(F.substring(col(x), 1, cap), F.lit("…"))).otherwise(col(x))
 
 
 def flush_detail(kind: Column | str, source: Column | str, before: Column | str, after: Column | str, inferred: Column | str) -> Column:
@@ -131,7 +134,7 @@ def flush_detail(kind: Column | str, source: Column | str, before: Column | str,
     sizes = F.when(
         col(before).isNotNull() & col(after).isNotNull(), F.concat(F.format_number(col(before), 0), F.lit(" → "), F.format_number(col(after), 0), F.when(col(inferred), " (inferred)").otherwise(""))
     )
-    return F.concat_ws(", ", F.concat_ws("/", col(kind), col(source)), sizes)
+    return F.concat_ws(" · ", F.concat_ws("/", col(kind), col(source)), sizes)
 
 
 def viewer_link(base: str, location: Column | str, transcript: Column | str, event: Column | str | None = None) -> Column:
@@ -186,7 +189,7 @@ def first_input(ids: Column | str) -> Column:
     return F.get(F.from_json(col(ids), "array<string>"), F.lit(0))
 
 
-def is_failed(x: Column | str, prefix: str = "[failed turn") -> Column:
+def is_failed(x: Column | str, prefix: str = "[assistant turn failed") -> Column:
     """FLT-03: text that opens with the mark of a failed turn."""
     return F.startswith(F.lower(F.ltrim(col(x))), F.lit(prefix))
 
@@ -206,13 +209,27 @@ def elide(lines: Column | str, cap: int) -> Column:
     """WIN-19: the first cap // 2 and the last cap - cap // 2 of an array of lines around a counted mark."""
     x, n = col(lines), F.size(col(lines))
     head, tail = cap // 2, cap - cap // 2
-    cut = F.concat(F.slice(x, 1, head), F.array(F.concat(F.lit("[... "), (n - cap).cast("string"), F.lit(" lines ...]"))), F.slice(x, n - tail + 1, tail))
+    cut = F.concat(F.slice(x, 1, head), F.array(F.concat(F.lit("[... "), (n - cap).cast("string"), F.lit(" turns elided ...]"))), F.slice(x, n - tail + 1, tail))
     return F.when(n <= cap, x).otherwise(cut)
 
 
-def digest_line(text: Column, reasoning: Column, tools: Column, delegations: Column, replies: Column) -> Column:
-    """EXT-14: one line: what was thought, said, called, delegated and replied, in this order; arrays are joined."""
-    part = lambda mark, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"[{mark}] "), x))
-    joined = lambda x: F.array_join(x, "; ")
-    line = F.concat_ws(" ", part("thinking", reasoning), F.when(F.coalesce(text, F.lit("")) != "", text), part("tools", joined(tools)), part("delegates", joined(delegations)), part("replies", joined(replies)))
-    return F.regexp_replace(line, r"[\r\n]+", " ")
+def call_part(call: Column) -> Column:
+    """EXT-14: a call as `[CALL] name(arguments)` with its result or error. call: function, arguments, result, error."""
+    bare = lambda x: F.coalesce(x, F.lit(""))
+    arguments = F.when(bare(call["arguments"]) != "", F.concat(F.lit("("), call["arguments"], F.lit(")"))).otherwise("")
+    output = F.when((bare(call["result"]) != "") | call["error"], F.rtrim(F.concat(F.when(call["error"], " [ERROR] ").otherwise(" [RESULT] "), bare(call["result"])))).otherwise("")
+    return F.concat(F.lit("[CALL] "), call["function"], arguments, output)
+
+
+def digest_line(turn: Column, text: Column, reasoning: Column, calls: Column, replies: Column, goals: Column) -> Column:
+    """EXT-14: one line of a turn: what it thought and said, its calls (bare names if nothing else is known of them), replies and delegations.
+
+    calls: an array of structs as for `call_part`; replies and goals: arrays of text.
+    """
+    told = F.exists(calls, lambda c: (F.coalesce(c["arguments"], F.lit("")) != "") | (F.coalesce(c["result"], F.lit("")) != "") | c["error"])
+    names = F.concat(F.lit("(tools: "), F.array_join(F.transform(calls, lambda c: c["function"]), ", "), F.lit(")"))
+    parts = F.when(told, F.array_join(F.transform(calls, call_part), " ")).when(F.size(calls) > 0, names)
+    marked = lambda mark, xs: F.nullif(F.array_join(F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(f"[{mark}] "), x)), " "), F.lit(""))
+    thought = F.when(F.coalesce(reasoning, F.lit("")) != "", F.concat(F.lit("[THINKING] "), reasoning))
+    line = F.concat_ws(" ", F.concat(turn.cast("string"), F.lit(":")), thought, F.nullif(text, F.lit("")), parts, marked("TARGET", replies), marked("DELEGATES", goals))
+    return F.replace(line, F.lit("\n"), F.lit(" "))

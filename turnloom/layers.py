@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from turnloom.operators.reliability import require
 
 #: Section keys in their default order, and what an audited table must carry.
-SECTIONS = ["overview", "phases", "tokens", "subagents", "interventions", "reliability", "setup", "status"]
+SECTIONS = ["eval_setup", "phase_timeline", "interventions", "token_telemetry", "subagents", "token_spend", "target_conversation", "phase_cards"]
 AUDITED = ["confidence", "judge_agreement", "label_source", "members"]
 #: Blocks, the columns each needs, and which of them must be numbers.
 BLOCKS = {

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns that aren't tags.
-IGNORED = frozenset(["transcript_id", "turn", "sample_id", "task_set", "epoch", "agent", "schema_version", "ev"])
+#: Keys and identity columns, and bookkeeping columns of judged tables, aren't families.
+IGNORED = frozenset(["transcript_id", "turn", "item", "sample_id", "task_set", "epoch", "agent", "schema_version"])
+RESERVED = frozenset(["answer", "confidence", "error", "explanation", "judge_agreement", "judge_models", "label_source", "model", "span_task", "span_task_source", "status", "verifier_model"])
 
 
 def taggable(frame: DataFrame) -> list[str]:
     """FLT-07: the text columns that can be families."""
-    return [f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in IGNORED]
+    return [f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in IGNORED | RESERVED and not f.name.startswith(("judge_", "verifier_"))]
 
 
 def problems(layers: list[DataFrame], n_turns: DataFrame) -> DataFrame:

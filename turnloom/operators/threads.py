@@ -84,7 +84,7 @@ def excerpts(turns: DataFrame, cap: int = EXCERPT_CHARS) -> DataFrame:
     """EXT-19: text of each turn that has any, cut; tools as six names and how many more. turns: ..., text, tools (array)."""
     flat = tx.flat(F.coalesce("text", F.lit("")))
     n = F.size("tools")
-    label = F.concat(F.array_join(F.slice("tools", 1, TOOLS_SHOWN), ", "), F.when(n > TOOLS_SHOWN, F.concat(F.lit(" +"), (n - TOOLS_SHOWN).cast("string"))).otherwise(""))
+    label = F.concat(F.array_join(F.slice("tools", 1, TOOLS_SHOWN), ", "), F.when(n > TOOLS_SHOWN, F.concat(F.lit(" (+"), (n - TOOLS_SHOWN).cast("string"), F.lit(" more)"))).otherwise(""))
     return turns.withColumn("_t", flat).filter("_t <> ''").select("transcript_id", "turn", F.substring("_t", 1, cap).alias("text"), (F.length("_t") > cap).alias("truncated"), label.alias("tools"))
 
 

@@ -62,7 +62,7 @@ def report_geometry(spark, d):
     return report.geometry(s, axis.n_turns(tl))
 
 
-@query("report_events", with_sql("SELECT transcript_id, turn - 0.5 AS x, event_type AS channel, CASE WHEN length(event_type) > 60 THEN substr(event_type, 1, 59) || '…' ELSE event_type END AS preview FROM tl WHERE turn IS NOT NULL"))
+@query("report_events", with_sql("SELECT transcript_id, turn - 0.5 AS x, event_type AS channel, CASE WHEN length(event_type) > 60 THEN substr(event_type, 1, 60) || '…' ELSE event_type END AS preview FROM tl WHERE turn IS NOT NULL"))
 def report_events(spark, d):
     t = ad.timeline(spark, d).filter("turn is not null")
     return report.event_marks(t.select("transcript_id", "turn", F.col("event_type").alias("channel"), F.col("event_type").alias("content"))).withColumn("x", F.col("x").cast("double"))

@@ -19,7 +19,8 @@ CLIP = (
 
 
 def clip_sql(x: str, cap: int) -> str:
-    cut = rf"(regexp_replace(substr({x}, 1, {cap // 2}), '\s+$', '') || ' [... ' || (length({x}) - {cap}) || ' chars ...] ' || regexp_replace(right({x}, {cap - cap // 2}), '^\s+', ''))"
+    head, tail = rf"regexp_replace(substr({x}, 1, {cap // 2}), '\s+$', '')", rf"regexp_replace(right({x}, {cap - cap // 2}), '^\s+', '')"
+    cut = f"concat_ws(' ', nullif({head}, ''), '[... ' || (length({x}) - length({head}) - length({tail})) || ' chars ...]', nullif({tail}, ''))"
     return CLIP.format(x, cap, cut)
 
 
@@ -32,7 +33,7 @@ DIGESTS = f"""
   SELECT transcript_id, turn, CASE WHEN turn = last_ THEN {clip_sql('t', 4000)} ELSE {clip_sql('t', 300)} END AS text, n_tool_calls
   FROM (SELECT *, max(CASE WHEN t <> '' THEN turn END) OVER (PARTITION BY transcript_id) AS last_
     FROM (SELECT transcript_id, turn, {FLAT.format('text')} AS t, ev % 3 AS n_tool_calls FROM conv WHERE turn IS NOT NULL))
-  WHERE (t <> '' OR n_tool_calls > 0) AND NOT starts_with(lower(t), '[failed turn')"""
+  WHERE (t <> '' OR n_tool_calls > 0) AND NOT starts_with(lower(t), '[assistant turn failed')"""
 
 
 @query("conv_digests", with_sql("SELECT * FROM digests", {"digests": DIGESTS}))
@@ -40,12 +41,13 @@ def conv_digests(spark, d):
     return threads.digests(turns(spark, d))
 
 
-@query("conv_digest_lines", with_sql("SELECT transcript_id, turn, concat_ws(' ', nullif(text, ''), CASE WHEN n_tool_calls > 0 THEN '[tools] ' || array_to_string(list_transform(range(1, n_tool_calls + 1), lambda i: 'tool' || i), '; ') END) AS line FROM digests", {"digests": DIGESTS}))
+@query("conv_digest_lines", with_sql("SELECT transcript_id, turn, concat_ws(' ', turn || ':', nullif(text, ''), CASE WHEN turn % 4 = 0 AND n_tool_calls > 0 THEN array_to_string(list_transform(range(1, n_tool_calls + 1), lambda i: '[CALL] tool' || i || '(x)'), ' ') WHEN n_tool_calls > 0 THEN '(tools: ' || array_to_string(list_transform(range(1, n_tool_calls + 1), lambda i: 'tool' || i), ', ') || ')' END, CASE WHEN turn % 3 = 0 THEN '[DELEGATES] goal' END) AS line FROM digests", {"digests": DIGESTS}))
 def conv_digest_lines(spark, d):
     g = threads.digests(turns(spark, d))
-    none = F.array().cast("array<string>")
-    tools = F.when(F.col("n_tool_calls") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("n_tool_calls", F.lit(1))), lambda i: F.concat(F.lit("tool"), i.cast("string")))).otherwise(none)
-    return g.select("transcript_id", "turn", tx.digest_line(F.col("text"), F.lit(""), tools, none, none).alias("line"))
+    one = lambda i: F.struct(F.concat(F.lit("tool"), i.cast("string")).alias("function"), F.when(F.col("turn") % 4 == 0, "x").alias("arguments"), F.lit(None).cast("string").alias("result"), F.lit(False).alias("error"))
+    calls = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_tool_calls")), one), lambda c: c["function"] != "tool0")
+    goals = F.when(F.col("turn") % 3 == 0, F.array(F.lit("goal"))).otherwise(F.array().cast("array<string>"))
+    return g.select("transcript_id", "turn", tx.digest_line(F.col("turn"), F.col("text"), F.lit(""), calls, F.array().cast("array<string>"), goals).alias("line"))
 
 
 @query(
@@ -70,7 +72,7 @@ def conv_batch_split(spark, d):
 
 
 EXCERPTS = f"""
-  SELECT transcript_id, turn, substr(t, 1, 400) AS text, length(t) > 400 AS truncated, array_to_string(list_transform(range(1, least(n, 6) + 1), lambda i: 'tool' || i), ', ') || CASE WHEN n > 6 THEN ' +' || (n - 6) ELSE '' END AS tools
+  SELECT transcript_id, turn, substr(t, 1, 400) AS text, length(t) > 400 AS truncated, array_to_string(list_transform(range(1, least(n, 6) + 1), lambda i: 'tool' || i), ', ') || CASE WHEN n > 6 THEN ' (+' || (n - 6) || ' more)' ELSE '' END AS tools
   FROM (SELECT transcript_id, turn, {FLAT.format('text')} AS t, ev % 9 AS n FROM conv WHERE turn IS NOT NULL) WHERE t <> ''"""
 
 
@@ -110,7 +112,7 @@ def conv_task_prompt(spark, d):
     return threads.task_prompt(ad.messages(spark, d))
 
 
-@query("conv_elide", with_sql("SELECT transcript_id, ev, array_to_string(CASE WHEN len(w) <= 8 THEN w ELSE list_concat(list_concat(w[1:4], ['[... ' || (len(w) - 8) || ' lines ...]']), w[len(w) - 3:]) END, '|') AS lines FROM (SELECT transcript_id, ev, string_split(text, ' ') AS w FROM conv)"))
+@query("conv_elide", with_sql("SELECT transcript_id, ev, array_to_string(CASE WHEN len(w) <= 8 THEN w ELSE list_concat(list_concat(w[1:4], ['[... ' || (len(w) - 8) || ' turns elided ...]']), w[len(w) - 3:]) END, '|') AS lines FROM (SELECT transcript_id, ev, string_split(text, ' ') AS w FROM conv)"))
 def conv_elide(spark, d):
     return ad.messages(spark, d).select("transcript_id", "ev", F.array_join(tx.elide(F.split("text", " "), 8), "|").alias("lines"))
 
@@ -153,15 +155,15 @@ def label_keys(spark, d):
     "value_texts",
     with_sql(
         r"""
-        SELECT o_orderkey, CASE WHEN n < 60 THEN format('{:.0f} s', n) WHEN n < 3600 THEN format('{:.1f} min', n / 60.0) ELSE format('{:.1f} h', n / 3600.0) END AS busy,
-          least(greatest(n * 1.6, 1000.0), 3000.0) AS width, replace(trim(o_orderpriority), '-', '/') AS model, split_part(replace(trim(o_orderpriority), '-', '/'), '/', -1) AS short_model
-        FROM (SELECT *, CAST(o_orderkey % 9000 AS DOUBLE) AS n FROM orders WHERE o_orderkey % 9000 % 20 <> 10 AND o_orderkey % 9000 % 6 <> 3 AND o_orderkey % 9000 % 180 <> 0)"""
+        SELECT o_orderkey, CASE WHEN n >= 3600 THEN (n // 3600) || 'h ' || lpad(CAST(n % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN n >= 60 THEN (n // 60) || 'm ' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || 's' ELSE n || 's' END AS busy,
+          least(greatest(n * 1.6, 1000.0), 3000.0)::DOUBLE AS width, replace(trim(o_orderpriority), '-', '/') AS model, split_part(replace(trim(o_orderpriority), '-', '/'), '/', -1) AS short_model
+        FROM (SELECT *, o_orderkey % 9000 AS n FROM orders)"""
     ),
 )
 def value_texts(spark, d):
-    o = read(spark, d, "orders").withColumn("n", (F.col("o_orderkey") % 9000).cast("double")).filter("n % 20 <> 10 and n % 6 <> 3 and n % 180 <> 0")
+    o = read(spark, d, "orders").withColumn("n", F.col("o_orderkey") % 9000)
     model = F.replace(F.trim("o_orderpriority"), F.lit("-"), F.lit("/"))
-    return o.select("o_orderkey", tx.duration_text("n").alias("busy"), tx.chart_width("n").alias("width"), model.alias("model"), tx.short_model(model).alias("short_model"))
+    return o.select("o_orderkey", tx.duration_text("n").alias("busy"), tx.chart_width("n").cast("double").alias("width"), model.alias("model"), tx.short_model(model).alias("short_model"))
 
 
 # ---- tags, definitions, selection, status, frames ----------------------------------------------------------------------

@@ -11,9 +11,10 @@ from turnloom.functions import text as tx
 from turnloom.operators import packing
 
 #: The kinds of session that are the orchestrator's, and the sub-agent kind.
-ORCHESTRATOR_KINDS = ["main", "cron", "heartbeat", "hook", "telegram"]
+ORCHESTRATOR_KINDS = ["telegram", "main", "dashboard", "cron", "explicit"]
 SUBAGENT_KIND = "subagent"
 SPAWN_TOOL = "sessions_spawn"
+REDACTED = "[REMOVED]"
 
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,arguments:string>"
 MESSAGE = (
@@ -62,8 +63,8 @@ def session_kind(key: Column | str) -> Column:
 def session_id(key: Column | str) -> Column:
     """ING-01: the last of four parts at least, unless it is redacted."""
     parts = F.split(tx.col(key), ":")
-    last = F.element_at(parts, -1)
-    return F.when((F.size(parts) >= 4) & ~F.lower(last).contains("redacted"), F.nullif(last, F.lit("")))
+    last = tx.strip(F.element_at(parts, -1))
+    return F.when((F.size(parts) >= 4) & (last != REDACTED) & (last != ""), last)
 
 
 def millis(x: Column | str) -> Column:
@@ -95,7 +96,7 @@ def keyless(content: Column | str) -> Column:
 def stop_reason(reason: Column | str) -> Column:
     """ING-15: the stop reason in common words; an unknown one is `unknown`."""
     r = tx.col(reason)
-    return F.when(r.isin("stop", "endTurn") | r.isNull(), "stop").when(r == "toolUse", "tool_calls").when(r.isin("length", "maxTokens"), "max_tokens").when(r.isin("error", "aborted"), "error").otherwise("unknown")
+    return F.when(r.isNull() | (r == "stop"), "stop").when(r == "toolUse", "tool_calls").when(r == "length", "max_tokens").otherwise("unknown")
 
 
 def total_tokens(usage: Column | str) -> Column:
