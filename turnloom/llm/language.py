@@ -9,8 +9,8 @@ Viterbi runs on all texts of a batch at once: words are cut into blocks of BLOCK
 (before, after) score matrix, the matrices are followed text by text, and the blocks are labelled again from their
 entry states. The result is that of the plain recurrence.
 
-The model is fitted on at most SAMPLE_ROWS rows a language, those with the smallest hash of their id and
-at most SAMPLE_CHARS characters, of the training share. Every row is predicted on its whole text.
+The model is fitted on at most SAMPLE_ROWS rows a language, of the training share: a share of the language's rows by a hash of
+their id, in order of the hash, with at most SAMPLE_CHARS characters. Every row is predicted on its whole text.
 
 Nulls and texts without letters are `und` with score 0, also if no language was learned. A null lang isn't learned;
 a null doc_id counts as training. Ties go to the language first by name. Repeated rows are predicted one by one; empty
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import crc_mod
+from turnloom.llm.common import broadcast_if_small, crc_mod
 from turnloom.llm.toxicity import subwords
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 20_000
+OVERSAMPLE = 4
 SMOOTHING = 0.05
 #: A word's scores lie between -BOUND and 0; a switch costs SWITCH.
 BOUND, SWITCH = 4.0, 8.0
@@ -193,9 +194,13 @@ def fit(docs: DataFrame, held: int = 2, modulus: int = 4, rows: int = SAMPLE_ROW
     """The model of a bounded sample of each language."""
     usable = docs.filter("lang is not null and text is not null").filter(F.length("text") <= chars)
     usable = usable.filter(F.coalesce(crc_mod("doc_id", modulus) != held, F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), F.col("doc_id")), "doc_id", F.xxhash64("text"))
-    # the rank limit is pushed before the shuffle: a task passes on `rows` rows a language
-    picked = usable.select("lang", "text", "doc_id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
+    # a share of each language by hash, about OVERSAMPLE times the rows wanted, is ranked: no task ranks a whole language
+    share = docs.filter("lang is not null").groupBy("lang").agg(F.least(F.lit(float(OVERSAMPLE * rows)) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
+    key = F.xxhash64(F.lit("language"), F.col("doc_id"))
+    some = usable.select("lang", "text", "doc_id", key.alias("key")).join(broadcast_if_small(share, "languages", "lang"), "lang")
+    some = some.filter(F.pmod(F.col("key"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text"))
+    picked = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
     sample = picked.select("lang", "text").toPandas()
     return Model(sample["text"].tolist(), sample["lang"].tolist())
 
