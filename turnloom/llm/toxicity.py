@@ -169,7 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     told = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.filter(crc_mod("doc_id", 3) != 1)
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    picked = [told.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows * (1 if k else CLEAN_TIMES)) for k in (0, 1)]
+    sizes = {r["toxic"]: r["count"] for r in told.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}  # two rows
+    picked = []
+    for k in (0, 1):
+        want = rows * (1 if k else CLEAN_TIMES)
+        # a share by hash, twice what is wanted, is sorted: not every task's first rows
+        share = min(1.0, 2 * want / max(1, sizes.get(k, 0)))
+        picked.append(told.filter((F.col("toxic") == k) & (F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))).orderBy(order, "doc_id").limit(want))
     ids = picked[0].unionByName(picked[1])  # rows * (1 + CLEAN_TIMES) at most
     short = docs.filter(F.length("text") <= chars).select("doc_id", "text")
     sample = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
