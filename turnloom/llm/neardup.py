@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, mix, word_hashes, written
+from turnloom.llm.common import blank_words, broadcast_if_small, mix, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -250,9 +250,8 @@ def _sets_of(members: DataFrame, docs: DataFrame, id_column: str, text: str, siz
                     ["comp", "rep", "set_key", "elements"],
                 )
 
-    return members.select("comp", "rep", "set_key").join(texts, "rep").select("comp", "rep", "_t", F.col("set_key").alias("_k")).select("comp", "rep", "_t").mapInArrow(
-        made, "comp long, rep long, set_key binary, elements binary"
-    )
+    few = broadcast_if_small(members.select("comp", "rep").distinct(), "members")
+    return texts.join(few, "rep").select("comp", "rep", "_t").mapInArrow(made, "comp long, rep long, set_key binary, elements binary")
 
 
 def _grouped(sets: DataFrame, percent: int) -> DataFrame:
@@ -349,7 +348,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", siz
     names = docs.columns
     found = components(docs, id_column, text, size, percent, **more)
     found = written(found.select("doc_id", "kept"), "kept")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = broadcast_if_small(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, docs[id_column].cast("long") == gone["_gone"], "left_anti")
     if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         nulls = left.filter(F.col(id_column).isNull())

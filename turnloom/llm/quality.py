@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import BLANKS, written
+from turnloom.llm.common import BLANKS, broadcast_if_small, written
 
 #: Words of a window, the rule limits, and the shrunk rate from which a host's documents go.
 WINDOW = 5
@@ -103,8 +103,9 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", id_columns:
 
 def keep_good(docs: DataFrame, host: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
     """The rows of docs that base rules and host verdicts keep, with docs' own columns."""
+    # counts are made twice, for the hosts and for the rows: so texts are neither written nor shuffled in between
     names = docs.columns
-    counted = written(base_counts(docs).select(*names, "base_failed"), "quality-stage")
-    verdicts = host_verdicts(counted.select(host, "base_failed"), host, reject_rate).filter("host_rejected").select("host_key")
-    good = counted.filter(~F.col("base_failed")).withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")))
-    return good.join(verdicts, good["_host"] == verdicts["host_key"], "left_anti").select(*names)
+    rejected = host_verdicts(base_counts(docs).select(host, "base_failed"), host, reject_rate).filter("host_rejected").select("host_key")
+    good = base_counts(docs).filter("not base_failed").select(*names, F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")).alias("_host"))
+    gone = broadcast_if_small(rejected, "rejected-hosts", "host_key")
+    return good.join(gone, good["_host"] == gone["host_key"], "left_anti").select(*names)
