@@ -77,6 +77,22 @@ def test_scores_equal_dictionaries(spark, monkeypatch, shard_tokens, frequent):
     assert all(abs(g[2] - w[2]) < 3e-4 * g[0][3] + 1e-6 for g, w in zip(got, want))
 
 
+def test_rare_context_words_have_a_bigram_level(spark, monkeypatch):
+    """Context words of under 1e-5 of the tokens, over few and many shards, listed or asked for."""
+    rng = random.Random(5)
+    words = [f"r{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=12))) for i in range(70)] + [(200, "the " * 300_000)]
+    with monkeypatch.context() as m:
+        m.setattr(lm, "FREQUENT", 0.0)
+        want = {d: score for (d, _), (*_, score) in zip(rows, brute(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot, listed, shard_tokens in ((1e-5, 1e-6, 10**9), (0.1, 0.1, 20_000), (0.1, 1e-5, 20_000)):
+        monkeypatch.setattr(lm, "HOT", hot, raising=False)
+        monkeypatch.setattr(lm, "LISTED", listed, raising=False)
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs, shard_tokens=shard_tokens).collect()}
+        assert all(abs(got[d] - want[d]) < 13 * 3e-4 for d, _ in rows[:-1])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs).count() == 0

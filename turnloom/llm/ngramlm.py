@@ -4,7 +4,7 @@ Tokens are words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end a text; co
 All counts cover all training documents. With c over training tokens, N tokens and V distinct ones:
 
     p1(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    p2(w|v)   = (c(vw) + MU2 p1(w)) / (c(v) + MU2)   if v is frequent: c(v) >= FREQUENT N, else p1(w)
+    p2(w|v)   = (c(vw) + MU2 p1(w)) / (c(v) + MU2)   for every v (p1(w) if c(v) < FREQUENT N; FREQUENT is 0)
     p3(w|uv)  = (c(uvw) + MU3 p2(w|v)) / (c(uv) + MU3)
 
 Each level sums to one over the known words and one unknown word. The score of a text is the sum of
@@ -12,11 +12,12 @@ log10 p3, the base score that of log10 p1.
 
 How it is spread. A token's counts c(w), c(vw), c(uvw) belong to its word w, so they are kept by a shard of w.
 The denominator c(uv) + MU3 stands alone in a sum of logarithms, so it is added not where it is used but
-where c(uv) is counted: at the token before, in the shard of v. What is left is c(v) of frequent v: at most
-1 / FREQUENT words, which are broadcast. So tokens are shuffled once, as packed arrays per batch and shard,
-and come back as one partial sum for each document in a shard. A frequent w is dealt to many shards by
-hash(v, w), which keeps c(vw) and c(uvw) whole; its c(w) is in the broadcast table. Nothing else is broadcast or
-collected, however large the corpus is.
+where c(uv) is counted: at the token before, in the shard of v. What is left is c(v), which p2 needs in the shard of w.
+That of words of at least LISTED N (1 / LISTED words at most) is broadcast. For any other v each batch
+asks the shard that v belongs to, and that shard sends c(v), once, to each shard that needs it. So tokens are
+shuffled once, as packed arrays per batch and shard, and come back as one partial sum for each document in a shard. A hot w,
+of at least HOT N, is dealt to many shards by hash(v, w), which keeps c(vw) and c(uvw) whole; its c(w) is in
+the broadcast table. Nothing else is broadcast or collected, however large the corpus is.
 
 A shard's model is a reversed trie w -> v -> u, each level a monotone sequence in Elias-Fano code: the
 ids of a node's children are added to the last value of the nodes before, and pointers to children are
@@ -46,8 +47,10 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import blank_words, crc_of, mix, word_hashes, written
 
 MU2, MU3 = 200.0, 20.0
-#: A word of at least this share of the training tokens is frequent.
-FREQUENT = 1e-5
+#: A context word of less than this share of the training tokens has no bigram level: 0, so every counted word has one.
+FREQUENT = 0.0
+#: A word of at least the first share of the training tokens is dealt to many shards; of at least the second, its count is broadcast.
+HOT, LISTED = 1e-5, 1e-6
 #: Tokens for each shard, on average.
 SHARD_TOKENS = 1_600_000
 #: Documents whose tokens are dealt to the shards at a time.
@@ -199,7 +202,7 @@ class Trie:
     """Counts of the training tokens of one shard, as reversed n-grams w -> v -> u of local ids.
 
     w, v, u, c3: the distinct trigrams in order of (w, v, u), and their counts. n: local ids. c1: c(w) by local id. heavy: c(v)
-    by local id if v is frequent, else 0. z: N + 0.5 (V + 1).
+    by local id, 0 if v has no bigram level. z: N + 0.5 (V + 1).
     """
 
     def __init__(self, w: np.ndarray, v: np.ndarray, u: np.ndarray, c3: np.ndarray, n: int, c1: np.ndarray, heavy: np.ndarray, z: float):
@@ -366,19 +369,91 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     sums = unigrams.filter("word not in (2, 3)").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = sums[0], sums[1]
     z = n_train + 0.5 * (distinct + 1)
-    frequent = unigrams.filter(F.col("n") >= F.lit(max(1.0, FREQUENT * n_train))).filter("word not in (2, 3)").collect()  # 1 / FREQUENT rows at most
-    frequent = sorted((r["word"] % (1 << 64), r["n"]) for r in frequent)
-    table = spark.sparkContext.broadcast((np.array([f[0] for f in frequent], np.uint64), np.array([f[1] for f in frequent], np.int64)))
+    hot = max(1.0, HOT * n_train)
+    listed = unigrams.filter(F.col("n") >= F.lit(max(1.0, min(HOT, LISTED) * n_train))).filter("word not in (2, 3)").toArrow()  # 1 / LISTED rows at most
+    keys = listed.column("word").to_numpy().view(np.uint64)
+    by_key = np.argsort(keys)
+    table = spark.sparkContext.broadcast((keys[by_key], listed.column("n").to_numpy()[by_key]))
     shards = max(1, -(-tokens // shard_tokens))
 
-    def lookup(hashes: np.ndarray) -> np.ndarray:
-        """c of frequent words, else 0."""
-        keys, values = table.value
+    def among(hashes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The values of the hashes by ascending keys, else 0."""
         if not len(keys):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return np.where(keys[at] == hashes, values[at], 0)
 
+    def lookup(hashes: np.ndarray) -> np.ndarray:
+        """c of listed words, else 0."""
+        return among(hashes, *table.value)
+
+    def shard_of(hashes: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The shard of each token w after v."""
+        own = mix(hashes)
+        often = lookup(hashes) >= hot
+        return np.where(often[w], mix(own[w] ^ hashes[v]), own[w]) % np.uint64(shards)
+
+    def rows_of(numbers: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([kind] * len(blobs), pa.int8()), pa.array(blobs, pa.binary())], ["shard", "kind", "blob"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To the shard of each unlisted context word (kind 1): which shards need its count."""
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_DOCS):
+                hashes, _, w, v, _ = batch_tokens(whole.column(1).slice(at, BATCH_DOCS).to_pylist())
+                rare = (lookup(hashes) == 0) & (hashes != START)
+                key = shard_of(hashes, w, v)
+                pick = rare[v]
+                pairs = np.unique(v[pick].astype(np.int64) * shards + key[pick].astype(np.int64))
+                word, needed = pairs // shards, pairs % shards
+                home = (mix(hashes[word]) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                bounds = np.searchsorted(home[order], np.arange(shards + 1))
+                for many in itertools.batched(np.flatnonzero(np.diff(bounds)).tolist(), 64):
+                    blobs = []
+                    for s in many:
+                        mine = order[bounds[s] : bounds[s + 1]]
+                        words, times = np.unique(word[mine], return_counts=True)
+                        blobs.append(pack([planes(hashes[words]), narrow(times), narrow(needed[mine])]))
+                    yield rows_of(list(many), 1, blobs)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To the shard of each unlisted word (kind 0): its count."""
+        for b in batches:
+            hashes, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            order = np.argsort(hashes)
+            order = order[lookup(hashes[order]) == 0]
+            home = (mix(hashes[order]) % np.uint64(shards)).astype(np.int64)
+            there = np.argsort(home, kind="stable")
+            bounds = np.searchsorted(home[there], np.arange(shards + 1))
+            for many in itertools.batched(np.flatnonzero(np.diff(bounds)).tolist(), 64):
+                picks = [order[there[bounds[s] : bounds[s + 1]]] for s in many]
+                yield rows_of(list(many), 0, [pack([planes(hashes[p]), narrow(n[p])]) for p in picks])
+
+    def answered(t: pa.Table) -> pa.Table:
+        """To each shard that needs them (kind 1): counts of the words of one shard."""
+        kinds = t.column("kind").to_pylist()
+        blobs = [unpack(x) for x in t.column("blob").to_pylist()]
+        told = [b for b, k in zip(blobs, kinds, strict=True) if k == 0]
+        wanted = [b for b, k in zip(blobs, kinds, strict=True) if k == 1]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(unplaned(b[0]) for b in told)])
+        values = np.concatenate([np.zeros(0, np.int64), *(b[1].astype(np.int64) for b in told)])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        word = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(unplaned(b[0]), b[1].astype(np.int64)) for b in wanted)])
+        needed = np.concatenate([np.zeros(0, np.int64), *(b[2].astype(np.int64) for b in wanted)])
+        counts_of = among(word, keys, values)
+        live = np.flatnonzero(counts_of > 0)  # a word that training doesn't hold has c(v) = 0
+        live = live[np.lexsort((word[live], needed[live]))]
+        word, needed, counts_of = word[live], needed[live], counts_of[live]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (needed[1:] != needed[:-1])
+        word, needed, counts_of = word[new], needed[new], counts_of[new]
+        to, begin = np.unique(needed, return_index=True)
+        ends = np.append(begin, len(word))[1:]
+        packed = [pack([planes(word[i:k]), narrow(counts_of[i:k])]) for i, k in zip(begin.tolist(), ends.tolist(), strict=True)]
+        return pa.Table.from_batches([rows_of(to.tolist(), 1, packed)])
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -386,9 +461,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                 b = whole.slice(at, BATCH_DOCS)
                 ids = b.column(0).to_pylist()
                 hashes, doc, w, v, u = batch_tokens(b.column(1).to_pylist())
-                often = lookup(hashes) > 0
-                own = mix(hashes)
-                key = np.where(often[w], mix(own[w] ^ hashes[v]), own[w]) % np.uint64(shards)
+                key = shard_of(hashes, w, v)
+                told = lookup(hashes) > 0  # listed words travel as their places in the table, others as hashes
+                place = np.searchsorted(table.value[0], hashes)
                 order = np.argsort(key.astype(np.int32 if shards > 65535 else np.uint16), kind="stable")
                 bounds = np.searchsorted(key[order], np.arange(shards + 1, dtype=np.uint64))
                 training = _is_training(ids, held, modulus)
@@ -406,19 +481,22 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                     local[words] = np.arange(len(words))
                     names, doc_at = np.unique(doc[pick], return_inverse=True)
                     out[0].append(s)
-                    out[1].append(pack([planes(hashes[words]), narrow(local[w[pick]]), narrow(local[v[pick]]), narrow(local[u[pick]]), narrow(np.diff(doc_at, prepend=0)), narrow(names), training[names].astype(np.uint8), name, *about]))
+                    out[1].append(pack([planes(hashes[words[~told[words]]]), narrow(local[w[pick]]), narrow(local[v[pick]]), narrow(local[u[pick]]), narrow(np.diff(doc_at, prepend=0)), narrow(names), training[names].astype(np.uint8), name, narrow(np.diff(place[words[told[words]]], prepend=0)), *about]))
                     about = [a[:0] for a in about]
                     if len(out[0]) >= 64:
-                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "blob"])
+                        yield rows_of(out[0], 0, out[1])
                         out = ([], [])
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "blob"])
+                    yield rows_of(out[0], 0, out[1])
 
     def scored(t: pa.Table) -> pa.Table:
+        kinds = t.column("kind").to_pylist()
         blobs = [unpack(x) for x in t.column("blob").to_pylist()]
         del t
+        answers = [b for b, k in zip(blobs, kinds, strict=True) if k == 1]
+        blobs = [b for b, k in zip(blobs, kinds, strict=True) if k == 0]
         for b in blobs:
-            b[0] = unplaned(b[0])
+            b[0] = np.sort(np.concatenate([unplaned(b[0]), table.value[0][np.cumsum(b[8], dtype=np.int64)]]))
         hashes, code = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
         code = code.astype(np.int32)
         offsets = np.cumsum([0, *(len(b[0]) for b in blobs)])
@@ -433,6 +511,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         n = len(hashes)
         heavy = lookup(hashes)
         c1 = np.where(heavy > 0, heavy, np.bincount(w[learned], minlength=n))
+        for b in answers:  # of other shards' words
+            heavy[np.searchsorted(hashes, unplaned(b[0]))] = b[1]
+        del answers
+        heavy[heavy < FREQUENT * n_train] = 0
         w3, v3, u3, back = trigrams(w, v, u, n)
         del u
         c3 = np.bincount(back, learned, minlength=len(w3)).astype(np.int64)
@@ -447,7 +529,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         own = above[back] - np.where(is_end, 0.0, below[back]) - np.where(first, np.log10(train_docs + MU3), 0.0)
         many = int(rows[-1])
         sums = [np.bincount(doc, c1[w] > 0, minlength=many).astype(np.int64), np.bincount(doc, np.log10((c1[w] + 0.5) / z), minlength=many), np.bincount(doc, own, minlength=many)]
-        parts = [pack([b[5], narrow(sums[0][at:to]), sums[1][at:to].view(np.uint64), sums[2][at:to].view(np.uint64), *b[8:]]) for b, at, to in zip(blobs, rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+        parts = [pack([b[5], narrow(sums[0][at:to]), sums[1][at:to].view(np.uint64), sums[2][at:to].view(np.uint64), *b[9:]]) for b, at, to in zip(blobs, rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
         return pa.table({"batch": pa.array([int(b[7][0]) for b in blobs], pa.int64()), "part": pa.array(parts, pa.binary())})
 
     def summed(t: pa.Table) -> pa.Table:
@@ -471,7 +553,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
             }
         )
 
-    partial = source.mapInArrow(dealt, "shard int, blob binary").groupBy("shard").applyInArrow(scored, "batch long, part binary")
+    row = "shard int, kind byte, blob binary"
+    contexts = source.mapInArrow(asked, row).unionByName(unigrams.filter("word not in (2, 3)").mapInArrow(known, row)).groupBy("shard").applyInArrow(answered, row)
+    partial = source.mapInArrow(dealt, row).unionByName(contexts).groupBy("shard").applyInArrow(scored, "batch long, part binary")
     return partial.groupBy("batch").applyInArrow(
         summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
