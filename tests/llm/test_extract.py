@@ -80,3 +80,36 @@ def test_template_within_an_article_stays():
     pages = [f"<div>menu</div><article><p>shared words</p><p>{i}</p></article>" for i in range(4)]
     assert ex.induce(pages) == [("/div.", "menu")]
     assert ex.induce(pages[:2]) == [] and ex.induce([pages[0]] * 9) == []
+
+
+def test_wrapper_counts_all_pages_of_mixed_hosts(spark):
+    """Languages, layouts that share paths, odd pages and pages of any length on one host."""
+    rows, want = [], {}
+
+    def add(html, text):
+        rows.append((len(rows), f"http://mixed.example/{len(rows)}", html))
+        want[len(rows) - 1] = text
+
+    for i in range(20):
+        for lang, menu in (("en", "Read our terms"), ("de-AT", "Impressum lesen")):
+            add(f"<html lang={lang}><body><div>{menu}</div><p>{lang} body {i}</p></body></html>", f"{lang} body {i}")
+        add(f"<body><div>Shop</div><table><tr><td>price {i}</td></tr></table></body>", f"price {i}")
+        add(f"<body><div>Forum</div><blockquote>post {i}</blockquote></body>", f"post {i}")
+    add("<html lang=en><body><div>odd page</div><p>odd</p></body></html>", "odd page\n\nodd")
+    for i in range(4):  # long pages, with many children
+        add("<body class=long><h2>Long site</h2>" + f"<p>long {i} " + "x" * 210_000 + "</p>" + "".join(f"<p>{i}.{k}</p>" for k in range(700)) + "<h3>The end</h3></body>", None)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for r in ex.extract(pages).collect():
+        if want[r["page_id"]] is None:
+            assert r["text"].startswith("long ") and r["text"].endswith(".699") and "Long site" not in r["text"]
+        else:
+            assert r["text"] == want[r["page_id"]]
+
+
+def test_counts_find_what_tree_matching_finds(spark):
+    htmls = [page(k, f"body {k}") for k in range(5)]
+    shared = ex.induce(htmls)
+    assert shared == [("/div.", "Imprint"), ("/div.", "Our site")]
+    pages = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    for r in ex.extract(pages).collect():
+        assert not {t for _, t in shared} & set(r["text"].split("\n\n"))

@@ -1,11 +1,13 @@
-"""HTML extraction by wrapper induction: DOM trees of pages of one host are aligned by simple tree matching.
+"""HTML extraction by wrapper induction: the text blocks of all pages of one host are aligned by their place in the tree.
 
-A page is parsed into a tree whose leaves are blocks of text. For each host a wrapper is induced from at most
-SAMPLE_PAGES different pages, those with the smallest hash of their content: the first is matched with each of the
-others by simple tree matching (the largest order-preserving alignment of children, by dynamic programming, roots of equal
-tag and class). A block that finds a partner with the same text on every other page is template, one whose text
-varies is content. Pages of the host then lose the blocks that stand where the wrapper has template: same
-path, same text. With fewer than MIN_PAGES different pages a host has no wrapper.
+A page is parsed into a tree whose leaves are blocks of text. A host's wrapper is counted over all its different pages, whatever
+their number and length. Pages are compared with those of the same language (`lang` of html), once by slot (pages with a
+block at the same path of tags and classes) and once by layout (pages with the same set of paths). A
+block that at least MIN_PAGES pages and SHARE of the pages of its slot or its layout hold with the same path and text is template, one
+whose text varies is content. Pages then lose the blocks that are template for them. With fewer than MIN_PAGES different pages a
+host has no wrapper. `induce` finds the constant blocks of a few pages by simple tree matching (the largest
+order-preserving alignment of children, by dynamic programming); partners have equal paths, so whatever it finds on all
+pages of a host the counts find, too.
 
 What is boilerplate on any page goes before that, by element: menus, headers, footers, asides, forms,
 scripts, styles, dialogs, and elements whose class, id or role says advert, notice, comment or the like; if an
@@ -14,26 +16,27 @@ it stands outside an article.
 
 Nulls: a null html is empty, its text "". A null url, or one without `://`, is of an empty host. Unclosed and
 misnested tags are closed as browsers do for paragraphs and list items; any other stray end tag is ignored. Repeated
-rows are extracted one by one. Empty tables give no rows; further columns are ignored. Hosts are sampled by a rank limit, wrappers
-are joined to pages by host (broadcast where their measured size is small), and no host's pages are gathered in one task.
+rows are extracted one by one; equal pages count once. Empty tables give no rows; further columns are ignored. Counts are added up within
+tasks before they are shuffled by block, wrappers are joined to pages by host (broadcast where their measured size is
+small), and no host's pages are gathered in one task. Blocks are told apart by 96-bit hashes.
 """
 
 from __future__ import annotations
 
-import json
 import re
+import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import broadcast_if_small
+from turnloom.llm.common import broadcast_if_small, written
 
-SAMPLE_PAGES, MIN_PAGES = 5, 3
-#: A page in a sample has at most so many characters; the tree matching of two pages at most so many cells.
-SAMPLE_CHARS, MATCH_CELLS = 200_000, 400_000
+#: Template is on so many different pages at least, and on this share of the pages of its slot or layout.
+MIN_PAGES, SHARE = 3, 0.8
 
 #: Elements without end, and elements whose text isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,12 +62,12 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children", "text", "drop", "inside")
+    __slots__ = ("tag", "name", "parent", "children", "text", "drop", "inside", "lang")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.parent = tag, name, parent
         self.children: list[Node] = []
-        self.text = ""
+        self.text = self.lang = ""
         self.drop = parent.drop if parent else False
         self.inside = parent.inside if parent else False
 
@@ -102,6 +105,8 @@ class _Builder(HTMLParser):
                 break
             up = up.parent
         self.flush()
+        if tag == "html" and not self.root.lang:
+            self.root.lang = next((v for k, v in attrs if k == "lang" and v), "").lower().split("-")[0].strip()
         if tag in ("li", "dt", "dd", "tr", "td", "th") and self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
             self.at = self.at.parent
         name = " ".join(v for k, v in attrs if k == "class" and v)
@@ -224,7 +229,7 @@ def induce(pages: list[str]) -> list[tuple[str, str]]:
         return []
     constant: set[int] | None = None
     for other in trees[1:]:
-        _, pairs = match(trees[0], other, [MATCH_CELLS])
+        _, pairs = match(trees[0], other, [sys.maxsize])
         same = {id(x) for x, y in pairs if x.tag == "#" and x.text == y.text}
         constant = same if constant is None else constant & same
     return sorted({(path, n.text) for path, n in leaves(trees[0]) if id(n) in constant and not n.inside})
@@ -234,22 +239,57 @@ def text_of(html: str | None, template: set[tuple[str, str]]) -> str:
     return "\n\n".join(n.text for path, n in kept_leaves(tree(html)) if (path, n.text) not in template)
 
 
-# ---- the distributed operator ------------------------------------------------------------------------------------------
+# ---- wrappers by counts ----------------------------------------------------------------------------------------------
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template (JSON) of the hosts with a template."""
-    usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("host", "html", F.xxhash64("html").alias("h"))
-    # the rank limit is applied before the shuffle: a task passes on SAMPLE_PAGES hashes a host, whatever the host's size
-    hashes = usable.select("host", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).filter(F.col("r") <= SAMPLE_PAGES)
-    sample = usable.join(broadcast_if_small(hashes.select("host", "h"), "sample-hashes", "host"), ["host", "h"]).dropDuplicates(["host", "h"])
+def _key(*parts: str) -> str:
+    return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def slots(root: Node, found: list[tuple[str, Node]]) -> Iterator[tuple[str, str, Node]]:
+    """(group of pages, block) of each leaf that may be template, as keys: a leaf's groups are its slot and its page's layout."""
+    outside = [(path, n) for path, n in found if not n.inside]
+    layout = _key(root.lang, "layout", *sorted({path for path, _ in outside})) if outside else ""
+    for path, n in outside:
+        for group in (_key(root.lang, "slot", path), layout):
+            yield group, _key(group, path, n.text), n
+
 
-    def induced(t: pa.Table) -> pa.Table:
-        t = t.sort_by("h")
-        found = induce(t.column("html").to_pylist())
-        return pa.table({"host": pa.array(t.column("host").to_pylist()[:1] if found else [], pa.string()), "template": pa.array([json.dumps(found)] if found else [], pa.string())})
+def extracted_text(html: str | None, template: frozenset[str]) -> str:
+    """The text of a page without the blocks that its host's template has."""
+    if not template:
+        return text_of(html, set())
+    root = tree(html)
+    kept = kept_leaves(root)
+    gone = {id(n) for _, block, n in slots(root, list(leaves(root))) if block in template}
+    return "\n\n".join(n.text for _, n in kept if id(n) not in gone)
 
-    return sample.groupBy("host").applyInArrow(induced, "host string, template string")
+
+# ---- the distributed operator ------------------------------------------------------------------------------------------
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, template (keys of blocks) of the hosts with a template."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                b = whole.slice(at, 200)
+                rows: list[tuple[str, str, str, int]] = []
+                for host, html, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    root = tree(html)
+                    seen = {(group, block) for group, block, _ in slots(root, list(leaves(root)))}
+                    # an empty block counts the pages of the group
+                    rows += [(host, group, block, page) for group, block in sorted(seen | {(g, "") for g, _ in seen})]
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "group", "block", "page"])
+
+    usable = pages.filter(F.col("html").isNotNull()).select("host", "html", F.xxhash64("html").alias("page"))
+    blocks = usable.mapInArrow(counted, "host string, group string, block string, page long").distinct()
+    counts = written(blocks.groupBy("host", "group", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES), "blocks")
+    totals = counts.filter("block = ''").select("host", "group", F.col("n").alias("total"))
+    template = counts.filter("block <> ''").join(totals, ["host", "group"]).filter(F.col("n") >= SHARE * F.col("total"))
+    return template.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("block")), ",").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -260,15 +300,15 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, set[tuple[str, str]]] = {None: set()}
+        known: dict[str | None, frozenset[str]] = {None: frozenset()}
         for b in batches:
             texts = []
             for html, template in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if template not in known:
                     if len(known) > 2000:
-                        known = {None: set()}
-                    known[template] = {(p, t) for p, t in json.loads(template)}
-                texts.append(text_of(html, known[template]))
+                        known = {None: frozenset()}
+                    known[template] = frozenset(template.split(","))
+                texts.append(extracted_text(html, known[template]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return found.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars bigint")
