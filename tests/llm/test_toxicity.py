@@ -62,3 +62,14 @@ def test_tables(spark):
     assert {1000, 1001, 1002} <= set(ids) and None not in ids and len(ids) == sum(1 - r["predicted"] for r in got)
     assert tx.judge(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in tx.judge(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_softmax_is_trained_with_the_vectors():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words[:40] if k % 2 else words[20:], 40)) for k in range(80)]
+    model = tx.train(texts, [k % 2 for k in range(80)], seed=11)
+    half = np.random.default_rng(11).normal(size=tx.DIMENSIONS)
+    half /= 2 * np.linalg.norm(half)
+    start = np.stack([-half, half], axis=1)
+    assert np.linalg.norm(model.w - start) > 0.1 * np.linalg.norm(start)

@@ -76,10 +76,11 @@ def subwords(words: list[str], grams: tuple[int, ...] = GRAMS, size: int = BUCKE
 
 @dataclass
 class Model:
-    """u: what each bucket adds to the logit of class 1 over class 0; bias: what every document has."""
+    """u: what each bucket adds to the logit of class 1 over class 0; bias: what every document has; w: the trained softmax."""
 
     u: np.ndarray
     bias: float
+    w: np.ndarray | None = None
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The logit of each word: the mean over its subwords."""
@@ -121,8 +122,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Vectors E (BUCKETS x DIMENSIONS) and softmax W (DIMENSIONS x 2), jointly, by gradient descent on all of the sample.
 
     Logits are X E W + b. With D = P - Y, the gradients are dE = (X' D) W' and dW = E' (X' D): each step passes
-    over the sparse X twice, whatever the dimension. A row of E moves by its gradient over its curvature plus the
-    decay: rows of rare subwords, which could only learn the sample by heart, hardly move.
+    over the sparse X once for X' D and once a dimension for X E. A row of E moves by its gradient over its curvature plus the
+    decay: rows of rare subwords, which could only learn the sample by heart, hardly move. A row of W moves by its
+    gradient over its own curvature, that of its column of X E.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -149,19 +151,19 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     weight = np.where(y > 0, 1.0, CLEAN_WEIGHT)
     speed_e, speed_w, speed_b = np.zeros_like(e), np.zeros_like(w), np.zeros(2)
     for _ in range(STEPS):
-        gap = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
+        mean = np.stack([np.add.reduceat(share * k.astype(np.float32)[column], by_doc) for k in e.T], axis=1).astype(float)
         logit = np.full(len(y), bias[1] - bias[0])
-        logit[rows] += np.add.reduceat(share * gap[column], by_doc)
+        logit[rows] += mean @ (w[:, 1] - w[:, 0])
         d = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) * weight
         back = np.add.reduceat(share_of * d.astype(np.float32)[doc_of], by_column)
         both = np.stack([-back, back], axis=1)
         speed_e = MOMENTUM * speed_e - 2 * RATE * curve[:, None] * (both @ w.T + DECAY / 2 * e)
-        speed_w = MOMENTUM * speed_w - RATE * 1e-3 * (e.T @ both) / len(y)
+        speed_w = MOMENTUM * speed_w - 2 * RATE * (e.T @ both) / ((mean * mean).sum(axis=0) / 4 + DECAY)[:, None]
         speed_b = MOMENTUM * speed_b - RATE * 2 / len(y) * np.array([-d.sum(), d.sum()])
         e, w, bias = e + speed_e, w + speed_w, bias + speed_b
     u = np.zeros(BUCKETS, np.float32)
     u[used] = e @ (w[:, 1] - w[:, 0])
-    return Model(u, float(bias[1] - bias[0]))
+    return Model(u, float(bias[1] - bias[0]), w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
