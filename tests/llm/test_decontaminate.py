@@ -96,3 +96,14 @@ def test_strip_leaves_no_phrase_and_clean_texts_alone(spark):
         else:
             assert rows[i]["text"] == t
     assert rows[len(texts) - 1]["text"] == "keep   keep"
+
+
+def test_strip_does_not_depend_on_blocks(spark):
+    texts, items = data(9, 40)
+    items += [(200, "v1 v2 v3 v4 v5"), (201, "v4 v5 v6 v7"), (202, "x1 x2 x3"), (203, "y1 y2 y3")]
+    texts += ["o v1 v2 v3 v4 v5 v6 v7 o", "o x1 y1 y2 y3 x2 x3 o", "o y1 x1 x2 x3 y2 y3 o"]
+    docs, bench = frames(spark, texts, items)
+    want = {i: t for i, t in enumerate(dc.strip_texts(texts, dc.Phrases([(str(i), t) for i, t in items], 3)))}
+    assert want[len(texts) - 3].split() == ["o", "o"] and want[len(texts) - 2].split() == ["o", "o"]
+    for block_bytes in (10**9, 60, 20):
+        assert {r["doc_id"]: r["text"] for r in dc.strip(docs.filter("doc_id is not null"), bench, window=3, block_bytes=block_bytes).collect()} == want

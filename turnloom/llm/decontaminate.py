@@ -25,11 +25,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from turnloom.llm.common import written
 
@@ -217,10 +219,14 @@ def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def _n_blocks(benchmark: DataFrame, text: str, block_bytes: int) -> int:
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of about block_bytes."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    blocks = _n_blocks(benchmark, text, block_bytes)
     picked = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     for b in range(blocks):
         part = picked.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else picked
@@ -294,19 +300,46 @@ def strip_texts(texts: list[str | None], phrases: Phrases) -> list[str | None]:
     return out
 
 
+def _strip_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text: str) -> DataFrame:
+    """What strip_texts does, with the phrases in several blocks: spans of all blocks are cut at once, and what was cut is searched again."""
+    at, schema = docs.columns.index(text), docs.schema
+    left, done = docs, []
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, spans = b.column(0), b.column(1).to_pylist()
+            columns = list(own.flatten())
+            texts = [cut(t, [(s["start"], s["end"]) for s in found]) if found else t for t, found in zip(columns[at].to_pylist(), spans, strict=True)]
+            columns[at] = pa.array(texts, columns[at].type)
+            row = pa.StructArray.from_arrays(columns, fields=list(own.type))
+            yield pa.RecordBatch.from_arrays([row, pa.array([bool(found) for found in spans], pa.bool_())], ["_own", "_cut"])
+
+    rows = StructType([StructField("_own", schema), StructField("_cut", BooleanType())])
+    while True:
+        found = search(left.select(F.struct(*left.columns).alias("_own"), F.col(text).alias("_whole")), benchmark, ("_own",), window, block_bytes, "_whole")
+        table = written(found.select("_own", "spans").mapInArrow(cut_out, rows), "decontaminate")
+        done.append(table.filter("not _cut").select("_own.*"))
+        left = table.filter("_cut").select("_own.*")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+
+
 def strip(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """docs with removal spans cut out of the text; the column of its length, if there, follows."""
     at, kinds, schema = docs.columns.index(text), dict(docs.dtypes), docs.schema
-    for k, block in enumerate(_blocks(benchmark, "item_id", "text", block_bytes)):
+    if _n_blocks(benchmark, "text", block_bytes) == 1:
+        (block,) = _blocks(benchmark, "item_id", "text", block_bytes)
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
-        def stripped(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 columns = list(b.columns)
                 columns[at] = pa.array(strip_texts(b.column(at).to_pylist(), shared.value), b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-        docs = (written(docs, "decontaminate") if k else docs).mapInArrow(stripped, schema)
+        docs = docs.mapInArrow(stripped, schema)
+    else:
+        docs = _strip_by_blocks(docs, benchmark, window, block_bytes, text)
     return docs.withColumn(chars, F.length(text).cast(kinds[chars])) if chars in kinds else docs
 
 
