@@ -55,3 +55,10 @@ def test_partitions_do_not_matter(spark, name):
 
 def test_every_query_has_a_name_of_its_own_and_most_have_sql():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) - len(ORACLES) <= 5
+
+
+def test_flattened_documents_are_whole(spark, duck):
+    got = {r["doc_id"]: r["flattened"] for r in QUERIES["doc_flat"](spark, DATA).collect()}
+    assert got == dict(duck.sql(ORACLES["doc_flat"]).fetchall())
+    whole = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert max(map(len, got.values())) > 500 and all("".join(got[k].split()) == "".join((t or "").split()) for k, t in whole.items())

@@ -146,6 +146,11 @@ def doc_clip(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.clip("text", 200).alias("clipped"), tx.flat(F.substring("text", 1, 500)).alias("flattened"))
 
 
+@query("doc_flat", with_sql(f"SELECT doc_id, {FLAT.format('text')} AS flattened FROM documents"))
+def doc_flat(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.flat("text").alias("flattened"))
+
+
 @query("label_keys", with_sql(r"SELECT p_partkey, regexp_replace(lower(regexp_replace(p_type, '^\s+|\s+$', '', 'g')), '\s+', '_', 'g') AS key, upper(substr(p_type, 1, 1)) || lower(replace(substr(p_type, 2), '_', ' ')) AS shown FROM part"))
 def label_keys(spark, d):
     return read(spark, d, "part").select("p_partkey", tx.label_key("p_type").alias("key"), tx.humanise("p_type").alias("shown"))
