@@ -2,6 +2,8 @@
 
 import random
 import re
+import statistics
+import time
 import zlib
 from collections import Counter
 
@@ -57,6 +59,60 @@ def test_host_verdicts_reject_only_bad_hosts_with_evidence(spark):
     assert quality.judge(docs(spark, [])).count() == 0
 
 
+def test_long_texts_are_split_once(spark):
+    """The filter may repeat a text's counts, but never once a window."""
+    long = " ".join(f"w{i % 19_990}" for i in range(20_000))
+    data = [(1, long, None, "a", 0), (2, long + " end", None, "a", 0), (3, "word " * 20_000, None, "b", 0)]
+    began = time.monotonic()
+    kept = quality.keep_good(docs(spark, data))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}
+    assert time.monotonic() - began < 60
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 6 and "sequence(" not in plan
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    names = "doc_id long, text string, source string, n_words int, base_failed string, word_chars int, _w int, _h string, _lines int, _own int, _host int, host_key string, `a.b` int"
+    data = [(1, " ".join(map(str, range(30))), "s", -7, "x", None, 5, "h", 6, 7, 8, "k", 9), (2, None, "s", -8, "y", 1, 5, "h", 6, 7, 8, "k", 9)]
+    rows = spark.createDataFrame(data, names)
+    kept = quality.keep_good(rows)
+    assert kept.columns == rows.columns and [tuple(r) for r in kept.collect()] == data[:1]
+    counted = quality.base_counts(rows)
+    assert {r["doc_id"]: (r["n_words"], r["_w"], r["a.b"]) for r in counted.collect()} == {1: (30, 5, 9), 2: (0, 5, 9)}
+
+
+def brute_verdicts(failed):
+    """Shrunk rate and verdict by host, of {host: [whether each document failed]}."""
+    n = {h: len(x) for h, x in failed.items()}
+    bad = {h: sum(x) for h, x in failed.items()}
+    m = min(max(sum(bad.values()) / sum(n.values()), 1e-4), 1 - 1e-4)
+    raw = [bad[h] / n[h] for h in n]
+    v = statistics.variance(raw) if len(raw) > 1 else 0.0
+    between = max(v - m * (1 - m) * statistics.mean(1 / x for x in n.values()), 1e-6)
+    k = min(max(m * (1 - m) / between - 1, 1), 1e4)
+    rate = {h: (bad[h] + m * k) / (n[h] + k) for h in n}
+    return {h: (r, r - 3 * (r * (1 - r) / (n[h] + k + 1)) ** 0.5 > (1 + m) / 2) for h, r in rate.items()}
+
+
+def test_host_verdicts_equal_the_formula_and_change_rows(spark):
+    rng = random.Random(4)
+    fine = " ".join(f"x{k}" for k in range(20))
+    shares = {"awful": 0.8, "poor": 0.45, None: 0.2, "good": 0.02, **{f"s{i}": 0.05 for i in range(9)}}
+    data = [(i, fine if rng.random() >= shares[h] else "too short", None, h, 0) for i, h in enumerate(rng.choices(list(shares), k=3000))] + [(9000, "too short", None, "one", 0)]
+    failed = {}
+    for _, t, _, h, _ in data:
+        failed.setdefault(h, []).append(t != fine)
+    want = brute_verdicts(failed)
+    assert {h for h, (_, gone) in want.items() if gone} == {"awful"}
+    got = quality.judge(docs(spark, data)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        rate, gone = want[r["source"]]
+        assert abs(r["host_rate"] - rate) < 1e-9 and r["host_rejected"] == gone and r["kept"] == (not gone and not r["base_failed"])
+    kept = {r["doc_id"] for r in quality.keep_good(docs(spark, data)).collect()}
+    assert kept == {i for i, t, _, h, _ in data if t == fine and h != "awful"} and any(t == fine and h == "awful" for _, t, _, h, _ in data)
+
+
 def test_interleaving_law_and_mixture(spark):
     data = rows() + [(1000 + i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 7}", 0) for i in range(900)]
     got = sharding.shard(docs(spark, data), 24).collect()

@@ -2,71 +2,100 @@
 
 Each document gets base counts and base rules. Rule failures are aggregated by host (a column of the
 caller's choice); a host's failure rate is shrunk towards the corpus by a beta prior that is itself fitted
-to the hosts (method of moments), so a host of two documents isn't condemned by both. The verdict of a
-host, `rate >= reject_rate`, is joined back to its documents.
+to the hosts (method of moments), so a host of two documents isn't condemned by both. A host is rejected if the lower
+end of its posterior (mean less SIGMAS standard deviations) lies beyond the middle between the prior's mean and 1:
+whatever the corpus looks like, far more of the host's documents fail than of others, and there is evidence for it. The
+verdict is joined back to the host's documents.
 
-Long windows: a text's 5-word windows are hashed to 64 bits and compared within the text, in one row; no
-row is exploded, so a document costs memory in proportion to its own length only. Hosts are aggregated map-side.
+All counts of a text are one expression: its words are split once and bound to a lambda variable, so whatever the
+optimiser inlines costs a constant factor, not one in proportion to the text. 5-word windows are hashed to 64 bits and compared
+within the row; no row is exploded, so a document costs memory in proportion to its own length only. Hosts are
+aggregated map-side.
 
 Nulls: a null text has no words and fails the base rule; documents of a null host form one group.
-Repeated rows are judged one by one. An empty table gives no rows. Further columns stay.
+Repeated rows are judged one by one. An empty table gives no rows. Further columns stay; in `base_counts` a column named like
+a count gives way to it, `keep_good` returns all columns as they were.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import BLANKS, broadcast_if_small, written
 
-#: Words of a window, the rule limits, and the shrunk rate from which a host's documents go.
+#: Words of a window, the rule limits, and how far a host's posterior must lie beyond the limit.
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-REJECT_RATE = 0.9
+SIGMAS = 3.0
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+_TRIM = "\\u0020\\u0009\\u000A\\u000B\\u000C\\u000D"
+_SPLIT = f"[{BLANKS}]+".replace("\\", "\\\\")
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body with name bound to value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Words of windows found twice or more, of words w. Sorting (hash, start) puts equal windows side by side;
+#: the covered words are then the union of the starts' ranges. Texts without equal windows are done after a look at the hashes.
+_REPEATED = f"""CASE WHEN size(w) <= {WINDOW} THEN 0L ELSE """ + _let(
+    f"slice(transform(w, (x, i) -> xxhash64(x, {', '.join(f'get(w, i + {k})' for k in range(1, WINDOW))})), 1, size(w) - {WINDOW - 1})",
+    "h",
+    "CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE "
+    + _let(
+        "sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))",
+        "s",
+        f"""aggregate(
+          sort_array(transform(
+            filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false)),
+            x -> x.i)),
+          struct(0L AS n, -1 AS upto),
+          (a, i) -> struct(a.n + i + {WINDOW} - greatest(a.upto, i) AS n, i + {WINDOW} AS upto),
+          a -> a.n)""",
+    )
+    + " END",
+) + " END"
+
+
+def counts_of(text: str = "text") -> Column:
+    """A struct of COUNTS (long) and base_failed of a text column."""
+    trimmed = f"trim(BOTH '{_TRIM}' FROM t)"
+    words = f"CASE WHEN {trimmed} = '' THEN CAST(array() AS array<string>) ELSE split({trimmed}, '{_SPLIT}', -1) END"
+    lines = f"filter(split(t, '\\n', -1), x -> trim(BOTH '{_TRIM}' FROM x) <> '')"
+    told = _let(
+        words,
+        "w",
+        f"""named_struct('n_words', CAST(size(w) AS BIGINT), 'word_chars', CAST(length(array_join(w, '')) AS BIGINT),
+          'n_symbols', CAST(length(regexp_replace(t, '[^{SYMBOLS}]+', '')) AS BIGINT),
+          'n_dup_lines', {_let(lines, 'l', 'CAST(size(l) - size(array_distinct(l)) AS BIGINT)')}, 'n_repeat_words', CAST({_REPEATED} AS BIGINT))""",
+    )
+    judged = f"named_struct({', '.join(f"'{c}', c.{c}" for c in COUNTS)}, 'base_failed', c.n_words < {MIN_WORDS} OR 100 * c.n_repeat_words > {MAX_REPEAT_PERCENT} * c.n_words)"
+    quoted = text.replace("`", "``")
+    return F.expr(_let(f"coalesce(`{quoted}`, '')", "t", _let(told, "c", judged)))
+
 
-#: Words of windows found twice or more. _h: the windows' hashes in order. Sorting (hash, start) puts
-#: equal windows side by side; the covered words are then the union of the starts' ranges.
-_REPEATED = f"""
-CASE WHEN size(_h) < 2 OR size(array_distinct(_h)) = size(_h) THEN 0L ELSE
-  element_at(transform(array(array_sort(transform(_h, (h, i) -> struct(h AS h, i AS i)))), s ->
-    aggregate(
-      array_sort(transform(
-        filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false)),
-        x -> x.i)),
-      struct(0L AS n, -1 AS upto),
-      (a, i) -> struct(a.n + i + {WINDOW} - greatest(a.upto, i) AS n, i + {WINDOW} AS upto),
-      a -> a.n)), 1)
-END"""
+def _quoted(names: list[str]) -> list[Column]:
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    whole = docs.withColumn("_w", F.filter(F.split(t, f"[{BLANKS}]+", -1), lambda w: w != "")).withColumn(
-        "_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]"))
-    )
-    hashed = whole.withColumn(
-        "_h",
-        F.expr(f"CASE WHEN size(_w) < {WINDOW} THEN array() ELSE transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW}))) END"),
-    )
-    return (
-        hashed.withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.expr(_REPEATED).cast("long"))
-        .drop("_w", "_lines", "_h")
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    )
+    own = [c for c in docs.columns if c not in (*COUNTS, "base_failed")]
+    return docs.select(*_quoted(own), counts_of(text).alias("_counts")).select(*_quoted(own), "_counts.*")
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """One row a host: host_key, host_docs, host_failed, host_rate (shrunk), host_rejected."""
-    hosts = judged.groupBy(F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")).alias("host_key")).agg(
-        F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
-    )
+def host_key(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), *_quoted([host])), F.lit("n"))
+
+
+def host_verdicts(judged: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
+    """One row a host of rows with host_key and base_failed: host_key, host_docs, host_failed, host_rate (shrunk), host_low, host_rejected."""
+    hosts = judged.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     # moments of the hosts' raw rates: mean m, variance v; what sampling alone would give is taken off v
     raw = F.col("host_failed") / F.col("host_docs")
     prior = (
@@ -79,33 +108,30 @@ def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float =
         .withColumn("noise", F.col("m") * (1 - F.col("m")) * F.col("inv"))
         .withColumn("between", F.greatest(F.col("v") - F.col("noise"), F.lit(1e-6)))
         .withColumn("strength", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("between") - 1, F.lit(1.0)), F.lit(1e4)))
-        .select((F.col("m") * F.col("strength")).alias("alpha"), ((1 - F.col("m")) * F.col("strength")).alias("beta"))
+        .select("m", "strength")
     )
     # prior has one row: an aggregate without keys
-    shrunk = (F.col("host_failed") + F.col("alpha")) / (F.col("host_docs") + F.col("alpha") + F.col("beta"))
-    return hosts.join(F.broadcast(prior)).select(
-        "host_key", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk >= reject_rate).alias("host_rejected")
+    weight = F.col("host_docs") + F.col("strength")
+    shrunk = hosts.join(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failed") + F.col("m") * F.col("strength")) / weight)
+    low = F.col("host_rate") - sigmas * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (weight + 1))
+    return shrunk.withColumn("host_low", low).select(
+        "host_key", "host_docs", "host_failed", "host_rate", "host_low", (F.col("host_low") > (1 + F.col("m")) / 2).alias("host_rejected")
     )
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", id_columns: tuple[str, ...] = ("doc_id",), reject_rate: float = REJECT_RATE) -> DataFrame:
-    """id columns, host_key, the base counts, base_failed, host_rate, host_rejected and kept."""
-    counted = written(
-        base_counts(docs, text).select(
-            *id_columns, host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
-        ),
-        "quality-counts",
-    )
-    verdicts = host_verdicts(counted, host, reject_rate)
-    keyed = counted.withColumn("host_key", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")))
-    return keyed.join(verdicts, "host_key").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+def judge(docs: DataFrame, host: str = "source", text: str = "text", id_columns: tuple[str, ...] = ("doc_id",), sigmas: float = SIGMAS) -> DataFrame:
+    """id columns, host, host_key, the base counts, base_failed, host_docs to host_rejected, and kept."""
+    own = [*dict.fromkeys([*id_columns, host])]
+    counted = written(docs.select(*_quoted(own), host_key(host).alias("host_key"), counts_of(text).alias("_counts")).select(*_quoted(own), "host_key", "_counts.*"), "quality-counts")
+    verdicts = broadcast_if_small(host_verdicts(counted, sigmas), "host-verdicts", "host_key")
+    return counted.join(verdicts, "host_key").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame, host: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", sigmas: float = SIGMAS) -> DataFrame:
     """The rows of docs that base rules and host verdicts keep, with docs' own columns."""
     # counts are made twice, for the hosts and for the rows: so texts are neither written nor shuffled in between
-    names = docs.columns
-    rejected = host_verdicts(base_counts(docs).select(host, "base_failed"), host, reject_rate).filter("host_rejected").select("host_key")
-    good = base_counts(docs).filter("not base_failed").select(*names, F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")).alias("_host"))
-    gone = broadcast_if_small(rejected, "rejected-hosts", "host_key")
-    return good.join(gone, good["_host"] == gone["host_key"], "left_anti").select(*names)
+    told = docs.select(F.struct(*_quoted(docs.columns)).alias("_own"), host_key(host).alias("_host"), counts_of(text).getField("base_failed").alias("base_failed"))
+    verdicts = host_verdicts(told.select(F.col("_host").alias("host_key"), "base_failed"), sigmas)
+    gone = broadcast_if_small(verdicts.filter("host_rejected").select("host_key"), "rejected-hosts", "host_key")
+    good = told.filter("not base_failed")
+    return good.join(gone, good["_host"] == gone["host_key"], "left_anti").select("_own.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from turnloom.llm import decontaminate, extract, language, neardup, ngramlm, pieces, quality, sharding, toxicity, urlfilter
 from turnloom.llm.common import table
 
@@ -71,9 +73,35 @@ def op4_language_id(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
-    )
+    rows = quality.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
+
+
+ORACLES["op5_quality_rules"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('h' || source, 'n') AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+place AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc)),
+twice AS (SELECT r, unnest(range(i, i + 5)) AS k FROM place JOIN (SELECT r, p FROM place GROUP BY r, p HAVING count(*) > 1) USING (r, p)),
+hit AS (SELECT r, count(DISTINCT k) AS n FROM twice GROUP BY r),
+line AS (SELECT r, unnest(string_split(t, chr(10))) AS x FROM doc),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+counted AS (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words
+  FROM doc LEFT JOIN dup USING (r) LEFT JOIN hit USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+host AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS bad FROM judged GROUP BY host),
+moment AS (
+  SELECT least(greatest(sum(bad) / sum(n), 1e-4), 1 - 1e-4) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1 / n) AS inv FROM host),
+prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 1), 1e4) AS k FROM moment),
+shrunk AS (SELECT host, n + k AS weight, (bad + m * k) / (n + k) AS rate, (1 + m) / 2 AS bound FROM host, prior),
+verdict AS (SELECT host, rate, rate - 3 * sqrt(rate * (1 - rate) / (weight + 1)) > bound AS gone FROM shrunk)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT gone AS kept, round(rate, 9) AS host_rate
+FROM judged JOIN verdict USING (host)
+"""
 
 
 def op6_sharding(spark, sf_dir):
