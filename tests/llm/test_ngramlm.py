@@ -96,3 +96,39 @@ def test_rare_context_words_have_a_bigram_level(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs).count() == 0
+
+
+def test_levels_are_searched_as_they_are_packed(monkeypatch):
+    """Queries go through select and successor search; the levels hold no plain arrays."""
+    rng = np.random.default_rng(2)
+    w, v, u = (rng.integers(0, 300, 5000) for _ in range(3))
+    w3, v3, u3, back = lm.trigrams(w, v, u, 300)
+    trie = lm.Trie(w3, v3, u3, np.bincount(back), 300, np.bincount(w, minlength=300), np.zeros(300, np.int64), 6000.0)
+    sought, read = [], []
+    seek, get = lm.EliasFano.seek, lm.EliasFano.get
+    monkeypatch.setattr(lm.EliasFano, "seek", lambda self, wanted: sought.append(len(wanted)) or seek(self, wanted))
+    monkeypatch.setattr(lm.EliasFano, "get", lambda self, i: read.append(len(i)) or get(self, i))
+    trie.score(w3, v3, u3)
+    pairs = len(set(zip(w.tolist(), v.tolist())))
+    assert sought == [pairs, len(w3), len(w3)] and max(read) <= len(w3)
+    for level in (trie.front, trie.second, trie.third):
+        for code in (level.pointers, level.values, level.bases):
+            assert code.low.dtype == np.uint64 and 64 * (len(code.low) + len(code.high)) < 64 * code.n + 600
+
+
+def test_hot_ngrams_are_split_and_scored_alike(spark, monkeypatch):
+    """A bigram and a trigram that make up much of the corpus, over many shards, by tables or whole."""
+    rng = random.Random(9)
+    words = [f"h{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=10) + ["of", "the", rng.choice(words), "of", "the", "end"])) for i in range(120)]
+    rows += [(300, "of the " * 4000), (301, "of the"), (302, None)]
+    with monkeypatch.context() as m:
+        m.setattr(lm, "FREQUENT", 0.0)
+        want = {d: (n, k, base, score) for (d, _), (n, k, _, base, score) in zip(rows, brute(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot_grams, shard_tokens in ((0.01, 400), (0.5, 400), (1e-4, 10**9)):
+        monkeypatch.setattr(lm, "HOT_GRAMS", hot_grams)
+        got = {r["doc_id"]: r for r in lm.score(docs, shard_tokens=shard_tokens).collect()}
+        for d, (n, k, base, score) in want.items():
+            r = got[d]
+            assert (r["n_tokens"], r["n_known"]) == (n, k) and abs(r["base_score"] - base) < 1e-6 * n and abs(r["score"] - score) < 3e-4 * n + 1e-6

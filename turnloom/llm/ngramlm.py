@@ -17,11 +17,16 @@ That of words of at least LISTED N (1 / LISTED words at most) is broadcast. For
 asks the shard that v belongs to, and that shard sends c(v), once, to each shard that needs it. So tokens are
 shuffled once, as packed arrays per batch and shard, and come back as one partial sum for each document in a shard. A hot w,
 of at least HOT N, is dealt to many shards by hash(v, w), which keeps c(vw) and c(uvw) whole; its c(w) is in
-the broadcast table. Nothing else is broadcast or collected, however large the corpus is.
+the broadcast table. A hot vw is dealt by hash(u, v, w), and its c(vw) is in a second table; the tokens of a hot uvw are
+scored where they are read, from a third. Which n-grams are hot is decided on a bounded sample of the texts (GRAM_SAMPLE bytes): it
+decides only where a token is scored, and what the tables hold is counted over all training documents. So a shard holds
+SHARD_TOKENS on average, and of one n-gram about HOT_GRAMS N or SHARD_TOKENS / 16 tokens at most. Nothing else is broadcast or
+collected, however large the corpus is.
 
 A shard's model is a reversed trie w -> v -> u, each level a monotone sequence in Elias-Fano code: the
 ids of a node's children are added to the last value of the nodes before, and pointers to children are
-sums of their numbers. A child u is not kept as an id but by its rank among the words that stand before v
+sums of their numbers. Levels are read and searched as they are packed: select on the unary bits gives a value, or the first
+value of a high part, from which a successor search goes on; no level is decoded. A child u is not kept as an id but by its rank among the words that stand before v
 in this shard, so a query first finds that rank and then seeks it among the children by successor search.
 Levels are packed into one block of mapped memory (`mmap`); probabilities are 16-bit codes of their logarithm.
 
@@ -53,6 +58,8 @@ FREQUENT = 0.0
 HOT, LISTED = 1e-5, 1e-6
 #: Tokens for each shard, on average.
 SHARD_TOKENS = 1_600_000
+#: A bigram or trigram of about this share of the tokens (or of a sixteenth of a shard, if that is more) is split; bytes of text that decide it.
+HOT_GRAMS, GRAM_SAMPLE = 1e-4, 12_000_000
 #: Documents whose tokens are dealt to the shards at a time.
 BATCH_DOCS = 8000
 #: Identities of the end and the start, in place of a word's hash.
@@ -64,15 +71,33 @@ STEP = 4000.0
 # ---- Elias-Fano ---------------------------------------------------------------------------------------------------
 
 
+def _select_in_word(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The place of the rest-th one (from 0) of each 64-bit word: byte sums side by side, then a table for the byte."""
+    s = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * np.uint64(0x0101010101010101)
+    rest = rest.astype(np.uint64)
+    before = ((rest * np.uint64(0x0101010101010101)) | np.uint64(0x8080808080808080)) - s & np.uint64(0x8080808080808080)
+    shift = np.bitwise_count(before).astype(np.uint64) << np.uint64(3)
+    rest -= ((s << np.uint64(8)) >> shift) & np.uint64(255)
+    return (shift + _SELECT_IN_BYTE[((bits >> shift) & np.uint64(255)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
+
+
+_SELECT_IN_BYTE = np.zeros((256, 8), np.uint64)
+for _byte in range(256):
+    _places = [k for k in range(8) if _byte >> k & 1]
+    _SELECT_IN_BYTE[_byte, : len(_places)] = _places
+
+
 class EliasFano:
-    """A monotone sequence of integers: low bits packed, high bits in unary."""
+    """A monotone sequence of integers: low bits packed, high bits in unary. Read and searched in place, by select."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, select: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.select = n, low_bits, low, high, select
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[int, list[np.ndarray]]:
-        """Bits of the low part, and the arrays of the code."""
+        """Bits of the low part, and the arrays of the code: low bits, unary high bits, ones and zeros before each word."""
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
@@ -91,7 +116,7 @@ class EliasFano:
             np.bitwise_or.at(packed, (bit[spill] >> 6) + 1, low[spill] >> (np.uint64(64) - shift[spill]))
         ones = np.zeros(len(high), np.int32)
         np.cumsum(np.bitwise_count(high[:-1]), out=ones[1:])
-        return low_bits, [packed, high, ones]
+        return low_bits, [packed, high, ones, (np.arange(len(high)) * 64 - ones).astype(np.int32)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low_bits
@@ -101,45 +126,63 @@ class EliasFano:
         low = np.where(over, low | (self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63))), low)
         return low & np.uint64((1 << self.low_bits) - 1)
 
-    def all(self) -> np.ndarray:
-        """All values, decoded front to back."""
-        i = np.arange(self.n)
-        high = (np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - i).astype(np.uint64)
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at i."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        word = np.searchsorted(self.ones, i, "right") - 1
+        place = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
+        high = (place - i).astype(np.uint64)
         return ((high << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64) if self.low_bits else high.astype(np.int64)
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at i; many are read off a full decoding, few by select."""
-        if len(i) * 16 > self.n:
-            return self.all()[i]
-        word = np.searchsorted(self.select, i, "right") - 1
-        rest = i - self.select[word]
-        bits = self.high[word]
-        # the place of the rest-th one of a 64-bit word, by halves
-        place = np.zeros(len(i), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = (bits >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            over = rest >= count
-            rest = np.where(over, rest - count, rest)
-            place += np.where(over, width, 0)
-        high = (word * 64 + place - i).astype(np.uint64)
-        if not self.low_bits:
-            return high.astype(np.int64)
-        return ((high << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64)
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """The first index whose high part is at least `high`: what stands before the zero that ends the part before."""
+        k = np.maximum(high - 1, 0)
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        place = word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
+        return np.where(high > 0, place - k, 0)
+
+    def _has(self, i: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether index i, not before _begin(high), has this high part: its one then follows `high` zeros and i ones."""
+        place = i + high
+        return (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def seek(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successor search: the first index whose value is at least the wanted one, and whether it is that."""
+        out, equal = np.full(len(wanted), self.n), np.zeros(len(wanted), bool)
+        live = np.flatnonzero(wanted <= self.get(np.array([self.n - 1]))[0]) if self.n else np.zeros(0, np.int64)
+        if not len(live):
+            return out, equal
+        high = wanted[live] >> self.low_bits
+        low = (wanted[live] & ((1 << self.low_bits) - 1)).astype(np.uint64)
+        at = self._begin(high)
+        for step in itertools.count():  # along the few values that share the high part
+            there = self._has(at, high)
+            own = self._low(at) if self.low_bits else np.zeros(len(at), np.uint64)
+            more = there & (own < low)
+            out[live], equal[live] = at, there & (own == low)
+            if not more.any():
+                return out, equal
+            live, high, low, at = live[more], high[more], low[more], at[more] + 1
+            if step == 8:
+                break
+        # a high part that many values share: halves
+        first, last = at, self._begin(high + 1)
+        while True:
+            open_ = first < last
+            if not open_.any():
+                break
+            middle = (first + last) >> 1
+            less = open_ & (self._low(np.minimum(middle, self.n - 1)) < low)
+            first, last = np.where(less, middle + 1, first), np.where(open_ & ~less, middle, last)
+        out[live] = first
+        there = self._has(first, high)
+        equal[live] = there & (self._low(np.minimum(first, self.n - 1)) == low)
+        return out, equal
 
     def successor(self, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """In each range [begin, end): the first index whose value is at least the wanted one."""
-        if len(wanted) * 16 > self.n:
-            return np.clip(np.searchsorted(self.all(), wanted), begin, end)
-        begin, end = begin.copy(), end.copy()
-        live = np.flatnonzero(begin < end)
-        while len(live):
-            middle = (begin[live] + end[live]) >> 1
-            less = self.get(middle) < wanted[live]
-            begin[live[less]] = middle[less] + 1
-            end[live[~less]] = middle[~less]
-            live = live[begin[live] < end[live]]
-        return begin
+        return np.clip(self.seek(wanted)[0], begin, end)
 
 
 class Level:
@@ -162,11 +205,9 @@ class Level:
         if not len(able) or not self.values.n:
             return out
         node = parent[able]
-        begin, end = self.pointers.get(node), self.pointers.get(node + 1)
-        value = wanted[able] + self.bases.get(node)
-        at = self.values.successor(begin, end, value)
-        there = np.flatnonzero(at < end)
-        there = there[self.values.get(at[there]) == value[there]]
+        at, equal = self.values.seek(wanted[able] + self.bases.get(node))
+        there = np.flatnonzero(equal)
+        there = there[at[there] < self.pointers.get(node[there] + 1)]  # else it is a child of a later node
         out[able[there]] = at[there]
         return out
 
@@ -202,14 +243,17 @@ class Trie:
     """Counts of the training tokens of one shard, as reversed n-grams w -> v -> u of local ids.
 
     w, v, u, c3: the distinct trigrams in order of (w, v, u), and their counts. n: local ids. c1: c(w) by local id. heavy: c(v)
-    by local id, 0 if v has no bigram level. z: N + 0.5 (V + 1).
+    by local id, 0 if v has no bigram level. z: N + 0.5 (V + 1). total: c(vw) of each trigram's bigram where other shards hold some of
+    its trigrams, else -1 (such bigrams may come with trigrams of count 0).
     """
 
-    def __init__(self, w: np.ndarray, v: np.ndarray, u: np.ndarray, c3: np.ndarray, n: int, c1: np.ndarray, heavy: np.ndarray, z: float):
+    def __init__(self, w: np.ndarray, v: np.ndarray, u: np.ndarray, c3: np.ndarray, n: int, c1: np.ndarray, heavy: np.ndarray, z: float, total: np.ndarray | None = None):
         self.store = store = Memory()
         begin = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])) if len(w) else np.zeros(0, np.int64)
         pair_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(w))))
         c2 = np.add.reduceat(c3, begin) if len(w) else c3
+        if total is not None:
+            c2 = np.where(total[begin] >= 0, total[begin], c2)
         # u by its rank among the words in front of v
         front = np.unique(v.astype(np.int64) * n + u)
         front_v = front // n
@@ -299,6 +343,22 @@ def batch_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return hashes[order], doc[at], flat[at], flat[at - 1], flat[at - 2]
 
 
+def bigram_keys(hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(hashes)[w] ^ hashes[v])
+
+
+def trigram_keys(hashes: np.ndarray, bigrams: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(bigrams + mix(hashes ^ np.uint64(0x5DEECE66D))[u])
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted values stand among ascending keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
     return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
@@ -341,30 +401,69 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
+    size = source.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    share = min(1.0, GRAM_SAMPLE / max(1, size))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the sample's bigrams (kind 2) and trigrams (kind 3), and of its tokens (kind 1, word 3)."""
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_DOCS):
+                hashes, _, w, v, u = batch_tokens(whole.column(0).slice(at, BATCH_DOCS).to_pylist())
+                two = bigram_keys(hashes, v, w)
+                yield count_rows([(1, np.full(1, 3, np.uint64), np.full(1, len(w))), *((k, *np.unique(x, return_counts=True)) for k, x in ((2, two), (3, trigram_keys(hashes, two, u))))])
+
+    def count_rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        kind = np.repeat(np.array([p[0] for p in parts], np.int8), [len(p[1]) for p in parts])
+        word = np.concatenate([p[1] for p in parts]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(word), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int64))], ["kind", "word", "n"])
+
+    counts = "kind byte, word long, n long"
+    picked = source.filter(F.pmod(F.xxhash64("doc_id", "t", F.lit("ngram")), F.lit(1 << 30)) < share * (1 << 30)).select("t")
+    grams = written(picked.mapInArrow(sampled, counts).groupBy("kind", "word").agg(F.sum("n").alias("n")), "sampled")
+    sample_tokens = (grams.filter("kind = 1").agg(F.sum("n")).first()[0]) or 0
+    least = max(2.0, sample_tokens * HOT_GRAMS / 2, share * shard_tokens / 32)
+    often_seen = grams.filter((F.col("kind") > 1) & (F.col("n") >= least)).select("kind", "word").collect()  # 4 / HOT_GRAMS rows at most
+    hot_keys = [np.sort(np.array([r["word"] for r in often_seen if r["kind"] == k], np.int64).view(np.uint64)) for k in (2, 3)]
+    told_hot = spark.sparkContext.broadcast(hot_keys)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
-        rows, tokens = 0, 0
-        for b in batches:
-            training = _is_training(b.column(0).to_pylist(), held, modulus)
-            for t, own in zip(b.column(1).to_pylist(), training.tolist(), strict=True):
-                words = blank_words(t)
-                tokens += len(words) + 1
-                if own:
-                    rows += 1
-                    for w in words:
-                        total[w] = total.get(w, 0) + 1
-            if len(total) > 400_000:
-                yield counts(total, 0, 0)
-                total = {}
-        yield counts(total, rows, tokens)
-
-    def counts(total: dict[bytes, int], rows: int, tokens: int) -> pa.RecordBatch:
-        # three rows that aren't words say how many training documents (twice) and tokens there are
-        word = np.concatenate([word_hashes(total), np.array([END, START, np.uint64(3)])]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.array([*total.values(), rows, rows, tokens], np.int64))], ["word", "n"])
-
-    unigrams = written(source.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "unigrams")
-    said = {r["word"]: r["n"] for r in unigrams.filter("word in (1, 2, 3)").collect()}
+        rows, tokens, held_words, held_counts, size = 0, 0, [], [], 0
+        hot = [np.zeros(len(k), np.int64) for k in told_hot.value]
+
+        def merged() -> tuple[int, np.ndarray, np.ndarray]:
+            words, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *held_words]), return_inverse=True)
+            return 1, words, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *held_counts]), minlength=len(words))
+
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_DOCS):
+                b = whole.slice(at, BATCH_DOCS)
+                training = _is_training(b.column(0).to_pylist(), held, modulus)
+                hashes, doc, w, v, u = batch_tokens(b.column(1).to_pylist())
+                tokens, rows = tokens + len(w), rows + int(training.sum())
+                own = training[doc]
+                w, v, u = w[own], v[own], u[own]
+                n = np.bincount(w, minlength=len(hashes))
+                seen = n > 0
+                held_words.append(hashes[seen])
+                held_counts.append(n[seen])
+                size += int(seen.sum())
+                if len(hot[0]):
+                    two = bigram_keys(hashes, v, w)
+                    there = places(told_hot.value[0], two)
+                    at_hot = there >= 0
+                    hot[0] += np.bincount(there[at_hot], minlength=len(hot[0]))
+                    there = places(told_hot.value[1], trigram_keys(hashes, two[at_hot], u[at_hot]))  # a hot trigram's bigram is hot
+                    hot[1] += np.bincount(there[there >= 0], minlength=len(hot[1]))
+                if size > 1_500_000:
+                    yield count_rows([merged()])
+                    held_words, held_counts, size = [], [], 0
+        # two rows that aren't words say how many training documents and tokens there are
+        extra = (1, np.array([START, np.uint64(3)]), np.array([rows, tokens]))
+        yield count_rows([merged(), extra, *((k + 2, keys, n) for k, (keys, n) in enumerate(zip(told_hot.value, hot, strict=True)))])
+
+    all_counts = written(source.mapInArrow(counted, counts).groupBy("kind", "word").agg(F.sum("n").alias("n")).filter("n > 0"), "unigrams")
+    unigrams = all_counts.filter("kind = 1").select("word", "n")
+    said = {r["word"]: r["n"] for r in unigrams.filter("word in (2, 3)").collect()}
     train_docs, tokens = said.get(2, 0), said.get(3, 0)
     sums = unigrams.filter("word not in (2, 3)").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = sums[0], sums[1]
@@ -373,7 +472,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     listed = unigrams.filter(F.col("n") >= F.lit(max(1.0, min(HOT, LISTED) * n_train))).filter("word not in (2, 3)").toArrow()  # 1 / LISTED rows at most
     keys = listed.column("word").to_numpy().view(np.uint64)
     by_key = np.argsort(keys)
+    hot_counts = {(r["kind"], r["word"]): r["n"] for r in all_counts.filter("kind > 1").collect()}  # as many as often_seen at most
+    hot_totals = [np.array([hot_counts.get((k + 2, word), 0) for word in keys.view(np.int64).tolist()], np.int64) for k, keys in enumerate(hot_keys)]
     table = spark.sparkContext.broadcast((keys[by_key], listed.column("n").to_numpy()[by_key]))
+    gram_tables = spark.sparkContext.broadcast((hot_keys, hot_totals))
     shards = max(1, -(-tokens // shard_tokens))
 
     def among(hashes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -387,11 +489,40 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         """c of listed words, else 0."""
         return among(hashes, *table.value)
 
-    def shard_of(hashes: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The shard of each token w after v."""
-        own = mix(hashes)
-        often = lookup(hashes) >= hot
-        return np.where(often[w], mix(own[w] ^ hashes[v]), own[w]) % np.uint64(shards)
+    def shard_of(hashes: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The shard of each token w after u v; `shards` for a hot trigram, which needs none."""
+        own, count = mix(hashes), lookup(hashes)
+        key = np.where((count >= hot)[w], mix(own[w] ^ hashes[v]), own[w])
+        at, _, home = hot_places(hashes, count, w, v, u)
+        key[at] = mix(key[at] ^ own[u[at]])
+        key %= np.uint64(shards)
+        key[at[home >= 0]] = shards
+        return key
+
+    def hot_places(hashes: np.ndarray, count: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of hot bigrams (of a hot w), where these stand in their table, and where their trigrams do, if all counts are told (else -1)."""
+        (two_keys, three_keys), _ = gram_tables.value
+        at = np.flatnonzero((count >= hot)[w])
+        two = bigram_keys(hashes, v[at], w[at])
+        place = places(two_keys, two)
+        is_hot = place >= 0
+        at, two, place = at[is_hot], two[is_hot], place[is_hot]
+        home = places(three_keys, trigram_keys(hashes, two, u[at]))
+        told = (count > 0) | (hashes == START)
+        # the batch's first token is always dealt, as some blob must bear what is said of the documents
+        return at, place, np.where(told[v[at]] & (at > 0), home, -1)
+
+    def home_sums(hashes: np.ndarray, doc: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray, many: int) -> list[np.ndarray]:
+        """Known tokens, base score and score of the documents' hot trigrams, from the tables alone."""
+        count = lookup(hashes)
+        at, place, home = hot_places(hashes, count, w, v, u)
+        at, place, home = at[home >= 0], place[home >= 0], home[home >= 0]
+        c1, cv, c2, c3 = count[w[at]], count[v[at]], gram_tables.value[1][0][place], gram_tables.value[1][1][home]
+        cv = np.where(cv < FREQUENT * n_train, 0, cv)
+        p1 = (c1 + 0.5) / z
+        p2 = np.where(cv > 0, (c2 + MU2 * p1) / (cv + MU2), p1)
+        own = np.log10(c3 + MU3 * p2) - np.where(hashes[w[at]] == END, 0.0, np.log10(c2 + MU3)) - np.where(hashes[v[at]] == START, np.log10(train_docs + MU3), 0.0)
+        return [narrow(np.bincount(doc[at], minlength=many)), *(np.bincount(doc[at], x, minlength=many).view(np.uint64) for x in (np.log10(p1), own))]
 
     def rows_of(numbers: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([kind] * len(blobs), pa.int8()), pa.array(blobs, pa.binary())], ["shard", "kind", "blob"])
@@ -400,10 +531,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         """To the shard of each unlisted context word (kind 1): which shards need its count."""
         for whole in batches:
             for at in range(0, len(whole), BATCH_DOCS):
-                hashes, _, w, v, _ = batch_tokens(whole.column(1).slice(at, BATCH_DOCS).to_pylist())
+                hashes, _, w, v, u = batch_tokens(whole.column(1).slice(at, BATCH_DOCS).to_pylist())
                 rare = (lookup(hashes) == 0) & (hashes != START)
-                key = shard_of(hashes, w, v)
-                pick = rare[v]
+                key = shard_of(hashes, w, v, u)
+                pick = rare[v] & (key < shards)
                 pairs = np.unique(v[pick].astype(np.int64) * shards + key[pick].astype(np.int64))
                 word, needed = pairs // shards, pairs % shards
                 home = (mix(hashes[word]) % np.uint64(shards)).astype(np.int64)
@@ -461,17 +592,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                 b = whole.slice(at, BATCH_DOCS)
                 ids = b.column(0).to_pylist()
                 hashes, doc, w, v, u = batch_tokens(b.column(1).to_pylist())
-                key = shard_of(hashes, w, v)
+                key = shard_of(hashes, w, v, u)
                 told = lookup(hashes) > 0  # listed words travel as their places in the table, others as hashes
                 place = np.searchsorted(table.value[0], hashes)
-                order = np.argsort(key.astype(np.int32 if shards > 65535 else np.uint16), kind="stable")
+                order = np.argsort(key.astype(np.int32 if shards > 65534 else np.uint16), kind="stable")
                 bounds = np.searchsorted(key[order], np.arange(shards + 1, dtype=np.uint64))
                 training = _is_training(ids, held, modulus)
                 local = np.zeros(len(hashes), np.int32)
                 name = np.array([(part << 32) + serial], np.uint64)
                 serial += 1
                 # what the result says of the batch's documents: it travels with the batch's first blob
-                about = [np.array([i is not None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64).view(np.uint64), training.astype(np.uint8), narrow(np.bincount(doc, minlength=len(ids)))]
+                about = [np.array([i is not None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64).view(np.uint64), training.astype(np.uint8), narrow(np.bincount(doc, minlength=len(ids))), *home_sums(hashes, doc, w, v, u, len(ids))]
                 out: tuple[list, list] = ([], [])
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
                     pick = order[bounds[s] : bounds[s + 1]]
@@ -518,10 +649,13 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         w3, v3, u3, back = trigrams(w, v, u, n)
         del u
         c3 = np.bincount(back, learned, minlength=len(w3)).astype(np.int64)
-        seen = c3 > 0
-        trie = Trie(w3[seen], v3[seen], u3[seen], c3[seen], n, c1, heavy, z)
+        (two_keys, _), (two_totals, _) = gram_tables.value
+        there = places(two_keys, bigram_keys(hashes, v3, w3))
+        total = np.where(there >= 0, two_totals[there], -1) if len(two_keys) else np.full(len(w3), -1)
+        seen = (c3 > 0) | (total > 0)
+        trie = Trie(w3[seen], v3[seen], u3[seen], c3[seen], n, c1, heavy, z, total[seen])
         above, below = trie.score(w3, v3, u3)
-        del trie, w3, v3, u3, c3, seen
+        del trie, w3, v3, u3, c3, seen, total, there
         start, end = (np.searchsorted(hashes, x) for x in (START, END))
         is_end = w == end if end < n and hashes[end] == END else np.zeros(len(w), bool)
         first = v == start if start < n and hashes[start] == START else np.zeros(len(w), bool)
@@ -534,8 +668,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
 
     def summed(t: pa.Table) -> pa.Table:
         blobs = [unpack(x) for x in t.column("part").to_pylist()]
-        known_id, value, training, lengths = next(b[4:] for b in blobs if len(b[4]))
-        total = np.zeros((3, len(value)))
+        known_id, value, training, lengths, *home = next(b[4:] for b in blobs if len(b[4]))
+        total = np.stack([home[0].astype(float), home[1].view(np.float64), home[2].view(np.float64)])
         for b in blobs:
             at = b[0].astype(np.int64)  # a document once a blob
             total[0, at] += b[1]
