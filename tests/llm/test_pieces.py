@@ -63,3 +63,36 @@ def test_tables(spark):
     back = sorted((r["doc_id"] or 0, r["text"]) for r in pc.decode(coded).filter("doc_id is not null").collect())
     assert back == [(1, "Hello world"), (1, "Hello world"), (3, ""), (4, " x")]
     assert pc.encode(docs.limit(0)).count() == 0
+
+
+def test_composition_reads_what_the_first_reads_and_writes_what_the_second_makes_of_it():
+    a, b = pc.Transducer(), pc.Transducer()
+    a.arc(0, "x", "y", 1.0, 0)
+    a.arc(0, pc.OTHER, pc.OTHER, 0.5, 0)
+    b.arc(0, "y", 7, 2.0, 0)
+    b.arc(0, "z", 8, 3.0, 0)
+    b.arc(0, pc.ANY, pc.BYTES, 9.0, 0)
+    arcs = pc.compose(a, b).arcs[0]
+    assert sorted(map(str, arcs["x"])) == sorted(map(str, [(7, 3.0, 0), ((pc.BYTES, "y"), 10.0, 0)]))
+    assert sorted(map(str, arcs["z"])) == sorted(map(str, [(8, 3.5, 0), ((pc.BYTES, "z"), 9.5, 0)]))
+    assert arcs[pc.OTHER] == ((pc.BYTES, 9.5, 0),)
+
+
+def test_weights_choose_between_pieces_and_bytes(monkeypatch):
+    text = " the漢\U0010ffff end"
+    m = pc.machine()
+    kinds = [m.text[i].startswith("<0x") for i in m.encode(text)]
+    assert any(kinds) and not all(kinds)
+    monkeypatch.setattr(pc, "BYTE_WEIGHT", 0.0)  # with free bytes the shortest path is one of bytes
+    free = pc.machine()
+    assert all(m.text[i].startswith("<0x") or m.weight[i] <= 0 for i in free.encode(text))
+    assert free.decode(free.encode(text)).replace("▁", " ") == " " + text
+
+
+def test_segments_are_where_no_piece_leads_on():
+    m = pc.machine()
+    for t in texts():
+        parts = m.segments(t) if t else []
+        assert "".join(parts) == t
+        for a, b in zip(parts, parts[1:]):
+            assert not any((a[-1] + b[0]).replace(" ", "▁") in p for p in m.arcs) if len(parts) < 6 else True
