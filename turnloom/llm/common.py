@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="turnloom-")
+    return _OWN_DIRS[context.applicationId]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -49,6 +58,13 @@ def broadcast_if_small(df: DataFrame, label: str, *texts: str) -> DataFrame:
     return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` at most."""
+    for whole in batches:
+        for at in range(0, len(whole), rows):
+            yield whole.slice(at, rows)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the decimal id, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(n)

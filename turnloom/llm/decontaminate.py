@@ -4,7 +4,7 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cas
 WINDOW consecutive words of a benchmark item; an item of fewer words (but some) is one phrase. Every word of
 a document inside an occurrence of a phrase is a hit; overlapping occurrences merge into removal spans.
 
-A training shard is one Arrow batch of documents. Its words become symbols; words that no phrase holds
+A training shard is a batch of SHARD_DOCS documents at most. Its words become symbols; words that no phrase holds
 can't be part of an occurrence, so they and document ends only separate runs, and runs shorter than the
 shortest phrase are left out. Over the rest a suffix array is built by prefix doubling, and from it the
 Burrows-Wheeler transform as a wavelet matrix with packed bit vectors. All phrases are searched at once,
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from turnloom.llm.common import written
+from turnloom.llm.common import sliced, written
 
 WINDOW = 10
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
 #: Every so many text positions the suffix array keeps one.
 SAMPLE = 8
+#: Documents of a shard at most.
+SHARD_DOCS = 2500
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
@@ -52,18 +54,35 @@ class Phrases:
     """Distinct phrases of benchmark items: words as symbols from 1, right-aligned in a matrix."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
+        number: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        symbols, lengths, item = [], [], []
         for item_id, text in items:
             words = item_words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[i : i + window]), set()).add("" if item_id is None else str(item_id))
-        self.owners = list(owners.values())
-        self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for p in owners for w in p))}
-        self.lengths = np.fromiter(map(len, owners), np.int64, len(owners))
-        self.matrix = np.zeros((len(owners), window), np.int64)
-        for row, p in zip(self.matrix, owners, strict=True):
-            row[window - len(p) :] = [self.vocabulary[w] for w in p]
-        self.shortest = int(self.lengths.min()) if owners else 0
+            symbols.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int32, len(words)))
+            lengths.append(len(words))
+            item.append(names.setdefault("" if item_id is None else str(item_id), len(names)))
+        flat = np.concatenate([np.zeros(window, np.int32), *symbols])  # so many zeros in front that each place ends a row
+        lengths, item = np.array(lengths, np.int64), np.array(item, np.int64)
+        many = np.where(lengths > 0, np.maximum(lengths - window + 1, 1), 0)
+        owner = np.repeat(np.arange(len(items)), many)
+        end = window + np.cumsum(lengths) - lengths + np.minimum(lengths, window)  # behind each item's first phrase
+        end = end[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        rows = flat[end[:, None] + np.arange(-window, 0)]
+        size = np.minimum(lengths[owner], window)
+        rows[np.arange(window) < (window - size)[:, None]] = 0  # what stands before a short item
+        self.matrix, row = np.unique(rows.reshape(-1, window), axis=0, return_inverse=True)
+        self.lengths = (self.matrix > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min(initial=window)) if len(self.matrix) else 0
+        self.vocabulary, self.names = number, list(names)
+        # the items of each phrase, one behind the other
+        pairs = np.unique(row.reshape(-1) * max(1, len(names)) + item[owner])
+        self.first = np.searchsorted(pairs // max(1, len(names)), np.arange(len(self.matrix) + 1))
+        self.item = (pairs % max(1, len(names))).astype(np.int32)
+
+    def owners(self, phrase: int) -> list[str]:
+        """The items that hold a phrase."""
+        return [self.names[i] for i in self.item[self.first[phrase] : self.first[phrase + 1]].tolist()]
 
 
 class Bits:
@@ -180,7 +199,7 @@ def hits(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, np.ndar
     starts = np.cumsum(lengths)
     word = np.concatenate([*symbols, np.zeros(0, np.int32)])
     hit, items = np.zeros(len(word), bool), [set() for _ in texts]
-    if not len(phrases.owners) or not len(word):
+    if not len(phrases.matrix) or not len(word):
         return starts, hit, items
     # runs of phrase words within a document, as long as the shortest phrase at least
     edge = np.zeros(len(word) + 1, bool)
@@ -209,7 +228,7 @@ def hits(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, np.ndar
     hit = np.cumsum(change)[:-1] > 0
     doc = np.searchsorted(starts, place, "right") - 1
     for pair in np.unique(doc * len(count) + phrase).tolist():
-        items[pair // len(count)] |= phrases.owners[pair % len(count)]
+        items[pair // len(count)].update(phrases.owners(pair % len(count)))
     return starts, hit, items
 
 
@@ -252,7 +271,7 @@ def search(
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared, first=len(columns)) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, SHARD_DOCS):
                 starts, hit, items = hits(b.column(first).to_pylist(), shared.value)
                 n_words, spans, ids = np.diff(starts).tolist(), [], []
                 for i, (old, seen) in enumerate(zip(b.column(first + 1).to_pylist(), b.column(first + 2).to_pylist(), strict=True)):
@@ -332,7 +351,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
         def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, SHARD_DOCS):
                 columns = list(b.columns)
                 columns[at] = pa.array(strip_texts(b.column(at).to_pylist(), shared.value), b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
