@@ -73,3 +73,18 @@ def test_softmax_is_trained_with_the_vectors():
     half /= 2 * np.linalg.norm(half)
     start = np.stack([-half, half], axis=1)
     assert np.linalg.norm(model.w - start) > 0.1 * np.linalg.norm(start)
+
+
+def test_vectors_do_not_lie_on_one_line():
+    rows = corpus(4, 200)
+    axes = tx.train([r[1] for r in rows], [r[2] for r in rows]).axes
+    assert len(axes) == tx.DIMENSIONS and axes[-1] > 0.005 * axes[0]
+
+
+def test_ties_of_a_doc_id_do_not_depend_on_partitions(spark):
+    rows = [(i, t, x) for i, t, x in corpus(6, 120)]
+    texts = [(i, t) for i, t, _ in rows] + [(i, "zz " + t[::-1]) for i, t, _ in rows]
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, other = (tx.fit(d, labels) for d in (docs.repartition(1), docs.orderBy(docs.text.desc()).repartition(7)))
+    assert np.array_equal(one.u, other.u) and one.bias == other.bias

@@ -11,7 +11,8 @@ word: as the softmax is linear in the mean, each word has one number, kept in a
 
 Nulls and texts without letters have no words: their score is that of the bias alone. A document without label,
 or with a null one, isn't trained on. With no labelled rows of either class every score is 0.5. Repeated rows are
-scored one by one; a doc_id with several labels counts as toxic if one of them says so. Empty tables give
+scored one by one; a doc_id with several labels counts as toxic if one of them says so, and of several texts of one doc_id
+the smallest is trained on. Empty tables give
 no rows. Further columns stay out of `score` and are kept by `drop_toxic`.
 """
 
@@ -38,6 +39,8 @@ SAMPLE_CHARS = 10_000
 THRESHOLD = 0.7
 #: Training: steps, rate, momentum, weight decay, and what a document's mean is multiplied by.
 STEPS, RATE, MOMENTUM, DECAY, SCALE = 60, 0.005, 0.9, 1.0, 300.0
+#: Spread of the vectors before training.
+SPREAD = 0.01
 #: Empty words added to every mean, so that a few words of a short text don't decide alone.
 PAD = 30
 #: Words whose numbers a task keeps.
@@ -76,11 +79,12 @@ def subwords(words: list[str], grams: tuple[int, ...] = GRAMS, size: int = BUCKE
 
 @dataclass
 class Model:
-    """u: what each bucket adds to the logit of class 1 over class 0; bias: what every document has; w: the trained softmax."""
+    """u: what each bucket adds to the logit of class 1 over class 0; bias: what every document has; w: the trained softmax; axes: singular values of the vectors."""
 
     u: np.ndarray
     bias: float
     w: np.ndarray | None = None
+    axes: np.ndarray | None = None
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The logit of each word: the mean over its subwords."""
@@ -124,7 +128,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     Logits are X E W + b. With D = P - Y, the gradients are dE = (X' D) W' and dW = E' (X' D): each step passes
     over the sparse X once for X' D and once a dimension for X E. A row of E moves by its gradient over its curvature plus the
     decay: rows of rare subwords, which could only learn the sample by heart, hardly move. A row of W moves by its
-    gradient over its own curvature, that of its column of X E.
+    gradient over its own curvature, that of its column of X E. Vectors start at random, so the softmax turns while it learns
+    which of their dimensions tell, and they don't all lie on one line.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -146,7 +151,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     half = rng.normal(size=DIMENSIONS)
     half /= 2 * np.linalg.norm(half)
-    e, w, bias = np.zeros((len(used), DIMENSIONS)), np.stack([-half, half], axis=1), np.zeros(2)
+    e, w, bias = rng.normal(0, SPREAD, (len(used), DIMENSIONS)), np.stack([-half, half], axis=1), np.zeros(2)
     curve = 1 / (np.add.reduceat(share_of * share_of, by_column) / 4 + DECAY)
     weight = np.where(y > 0, 1.0, CLEAN_WEIGHT)
     speed_e, speed_w, speed_b = np.zeros_like(e), np.zeros_like(w), np.zeros(2)
@@ -163,7 +168,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         e, w, bias = e + speed_e, w + speed_w, bias + speed_b
     u = np.zeros(BUCKETS, np.float32)
     u[used] = e @ (w[:, 1] - w[:, 0])
-    return Model(u, float(bias[1] - bias[0]), w)
+    return Model(u, float(bias[1] - bias[0]), w, np.linalg.svd(e, compute_uv=False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
@@ -180,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
         picked.append(told.filter((F.col("toxic") == k) & (F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))).orderBy(order, "doc_id").limit(want))
     ids = picked[0].unionByName(picked[1])  # rows * (1 + CLEAN_TIMES) at most
     short = docs.filter(F.length("text") <= chars).select("doc_id", "text")
-    sample = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    sample = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
     return train(sample["text"].tolist(), sample["toxic"].tolist())
 
 
