@@ -1,6 +1,7 @@
 """Language identification: plain Viterbi, held-out accuracy, spans, odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -76,3 +77,14 @@ def test_table(spark):
     assert "cc" in [r["lang_pred"] for r in got if r["doc_id"] == 903]
     assert la.identify(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in la.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("doc_id < 9").selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_held_out_languages_do_not_reach_the_model(spark):
+    """What lang held-out rows have changes no sample; rows without an id take part one by one."""
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 == 2][:900]
+    rows = [(i, f"alpha beta {i}", "aa") for i in range(4000, 4030)] + [(None, f"gamma delta {i}", "bb") for i in range(200)]
+    schema = "doc_id long, text string, lang string"
+    model = [la.fit(spark.createDataFrame(rows + [(i, f"word {i}", k) for i in held], schema), rows=20) for k in ("aa", "bb")]
+    assert model[0].langs == model[1].langs and (model[0].logs == model[1].logs).all()
+    picked = la.fit(spark.createDataFrame(rows, schema), rows=20)
+    assert picked.langs == ["aa", "bb"] and (picked.logs == model[0].logs).all()

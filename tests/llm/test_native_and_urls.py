@@ -173,3 +173,12 @@ def test_url_table(spark):
     got = Counter(tuple(r) for r in urlfilter.judge_urls(pages).collect())
     assert got == Counter({(1, "a.com", "/fr/1", "com/fr/", "allow", None): 2, (None, "", "", None, "allow", None): 1, (3, "spam-farm.x.net", "/q", None, "block", "||spam-farm.*^"): 1})
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_long_rule_lists_run_in_blocks(spark):
+    urls = ["http://a.com/fr/1", "http://x.org/es/casino/2", "http://casino-a.net/", "https://b.de/warez/1", None, "http://poker.b.net/x", "http://example.org/en/11"]
+    pages = spark.createDataFrame([(i, u, "h", "s") for i, u in enumerate(urls)], "page_id long, url string, said string, _id string")
+    whole = sorted(map(repr, urlfilter.judge_urls(pages).collect()))
+    assert sorted(map(repr, urlfilter.judge_urls(pages, block_chars=200).collect())) == whole and len(whole) == len(urls)
+    blocked = {r["page_id"] for r in urlfilter.judge_urls(pages, block_chars=400).collect() if r["verdict"] == "block"}
+    assert blocked == {2, 3, 5, 6}

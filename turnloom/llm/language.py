@@ -195,8 +195,8 @@ def fit(docs: DataFrame, held: int = 2, modulus: int = 4, rows: int = SAMPLE_ROW
     usable = docs.filter("lang is not null and text is not null").filter(F.length("text") <= chars)
     usable = usable.filter(F.coalesce(crc_mod("doc_id", modulus) != held, F.lit(True)))
     # a share of each language by hash, about OVERSAMPLE times the rows wanted, is ranked: no task ranks a whole language
-    share = docs.filter("lang is not null").groupBy("lang").agg(F.least(F.lit(float(OVERSAMPLE * rows)) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
-    key = F.xxhash64(F.lit("language"), F.col("doc_id"))
+    share = usable.groupBy("lang").agg(F.least(F.lit(float(OVERSAMPLE * rows)) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
+    key = F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text"))  # so rows without an id don't share one key
     some = usable.select("lang", "text", "doc_id", key.alias("key")).join(broadcast_if_small(share, "languages", "lang"), "lang")
     some = some.filter(F.pmod(F.col("key"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     order = Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text"))

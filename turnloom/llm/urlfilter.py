@@ -31,10 +31,13 @@ PREFIX_RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
+#: Words that name unwanted sites when they stand alone in a host label or at a hyphen.
+UNWANTED = "ads adserver adult bet bets betting casino casinos cialis escort gambling lottery nude pharmacy pills poker porn slots torrent tracker viagra warez".split()
 #: Pattern rules that judge what no prefix rule fits.
 BLOCK_PATTERNS = ["||spam-farm.*^", "cheap-pills.", "/casino/", "-casino.", "/viagra^", "adserver.", "/ads/banner^", "||doubleclick.*^", "xxx-", "/warez/"]
-#: A rule list is broadcast; longer ones (in characters) are refused.
-MAX_RULE_CHARS = 32_000_000
+BLOCK_PATTERNS += [p for w in UNWANTED for p in (f"||{w}.", f"||{w}-", f"||*-{w}.", f"||*-{w}-") if p not in BLOCK_PATTERNS]
+#: Rules are broadcast in blocks of so many characters; each block is one pass within the same tasks.
+BLOCK_CHARS = 16_000_000
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
@@ -123,36 +126,56 @@ def token_frequency(urls: DataFrame, patterns: list[str], column: str = "url") -
     if not wanted:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z0-9]+"), F.lit(0)))
-    found = urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").count()
+    told = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")  # tokens of one block of rules
+    found = urls.select(F.explode(tokens).alias("t")).join(F.broadcast(told), "t", "left_semi").groupBy("t").count()
     return {r["t"]: r["count"] for r in found.collect()}  # at most len(wanted) rows
 
 
+def rule_blocks(patterns: list[str], prefixes: list[tuple[str, str]], chars: int) -> Iterator[tuple[list[str], list[tuple[str, str]]]]:
+    """The rules in blocks of about so many characters; one empty block if there are none."""
+    block: tuple[list, list] = ([], [])
+    size = 0
+    for k, rule in ((k, rule) for k, rules in enumerate((patterns, prefixes)) for rule in rules):
+        if size >= chars:
+            yield block
+            block, size = ([], []), 0
+        block[k].append(rule)
+        size += len(rule) if k == 0 else len(rule[1])
+    yield block
+
+
 def judge_urls(
     pages: DataFrame,
     prefixes: list[tuple[str, str]] = PREFIX_RULES,
     patterns: list[str] = BLOCK_PATTERNS,
     id_column: str = "page_id",
     column: str = "url",
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """id, host, path, rule (prefix rule or null), verdict (allow or block), pattern (that blocked, or null)."""
-    if sum(map(len, patterns)) + sum(len(r) for _, r in prefixes) > MAX_RULE_CHARS:
-        raise ValueError("the rule list is too long to broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast((patterns, prefixes, token_frequency(pages, patterns, column)))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(*shared.value)
-        for b in batches:
-            hosts, paths, rules, verdicts, hits = [], [], [], [], []
-            for url in b.column(1).to_pylist():
-                host, path = parts(url)
-                rule, verdict = index.prefix(host, path) or (None, None)
-                hit = None
-                if rule is None:
-                    hit = index.pattern(url)
-                    verdict = "block" if hit else "allow"
-                for to, x in zip((hosts, paths, rules, verdicts, hits), (host, path, rule, verdict, hit), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts, hits))], [id_column, "host", "path", "rule", "verdict", "pattern"])
-
     kind = dict(pages.dtypes)[id_column]
-    return pages.select(id_column, column).mapInArrow(judged, f"`{id_column}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    names = ["_id", "_url", "host", "path", "rule", "said", "pattern"]
+    empty = F.lit(None).cast("string")
+    found = pages.select(F.col(id_column).alias("_id"), F.col(column).alias("_url"), *(empty.alias(n) for n in names[2:]))
+    for block in rule_blocks(patterns, prefixes, block_chars):
+        shared = pages.sparkSession.sparkContext.broadcast((*block, token_frequency(pages, block[0], column)))
+
+        def judged(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = RuleIndex(*shared.value)
+            for b in batches:
+                hosts, paths, rules, verdicts, hits = [], [], [], [], []
+                for url, rule, said, hit in zip(*(b.column(k).to_pylist() for k in (1, 4, 5, 6)), strict=True):
+                    host, path = parts(url)
+                    found = index.prefix(host, path)
+                    if found and (rule is None or len(found[0]) > len(rule)):
+                        rule, said = found
+                    if rule is None:
+                        hit = min((h for h in (hit, index.pattern(url)) if h), default=None)
+                    for to, x in zip((hosts, paths, rules, verdicts, hits), (host, path, rule, said, hit), strict=True):
+                        to.append(x)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts, hits))], names)
+
+        found = found.mapInArrow(judged, f"_id {kind}, _url string, host string, path string, rule string, said string, pattern string")
+    hit = F.when(F.col("rule").isNull(), F.col("pattern"))  # a rule decides before any pattern
+    verdict = F.coalesce("said", F.when(hit.isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return found.select(F.col("_id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), hit.alias("pattern"))
