@@ -57,11 +57,11 @@ FREQUENT = 0.0
 #: A word of at least the first share of the training tokens is dealt to many shards; of at least the second, its count is broadcast.
 HOT, LISTED = 1e-5, 1e-6
 #: Tokens for each shard, on average.
-SHARD_TOKENS = 1_600_000
+SHARD_TOKENS = 1_200_000
 #: A bigram or trigram of about this share of the tokens (or of a sixteenth of a shard, if that is more) is split; bytes of text that decide it.
 HOT_GRAMS, GRAM_SAMPLE = 1e-4, 12_000_000
-#: Documents whose tokens are dealt to the shards at a time.
-BATCH_DOCS = 8000
+#: Documents whose tokens are dealt to the shards at a time, and queries that a level answers at a time.
+BATCH_DOCS, QUERIES = 8000, 1 << 16
 #: Identities of the end and the start, in place of a word's hash.
 END, START = np.uint64(1), np.uint64(2)
 #: Log10 probabilities are kept in steps of 1/STEP from 0 down.
@@ -94,6 +94,9 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
+        self.mask = np.uint64((1 << low_bits) - 1)
+        self.bytes = np.ndarray(8 * len(low) - 7, np.uint64, low.data, strides=(1,))  # eight bytes from any one on
+        self.last = int(self.get(np.array([n - 1]))[0]) if n else -1
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[int, list[np.ndarray]]:
@@ -119,21 +122,15 @@ class EliasFano:
         return low_bits, [packed, high, ones, (np.arange(len(high)) * 64 - ones).astype(np.int32)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
+        """Low bits of the values at i: eight bytes from the one that holds the first bit."""
         bit = i * self.low_bits
-        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        low = self.low[at] >> shift
-        over = shift + np.uint64(self.low_bits) > np.uint64(64)
-        low = np.where(over, low | (self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63))), low)
-        return low & np.uint64((1 << self.low_bits) - 1)
+        return (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at i."""
-        if not len(i):
-            return np.zeros(0, np.int64)
         word = np.searchsorted(self.ones, i, "right") - 1
-        place = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
-        high = (place - i).astype(np.uint64)
-        return ((high << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64) if self.low_bits else high.astype(np.int64)
+        high = word * 64 + _select_in_word(self.high[word], i - self.ones[word]) - i
+        return (high << self.low_bits) | self._low(i).astype(np.int64) if self.low_bits else high
 
     def _begin(self, high: np.ndarray) -> np.ndarray:
         """The first index whose high part is at least `high`: what stands before the zero that ends the part before."""
@@ -142,42 +139,49 @@ class EliasFano:
         place = word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
         return np.where(high > 0, place - k, 0)
 
-    def _has(self, i: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether index i, not before _begin(high), has this high part: its one then follows `high` zeros and i ones."""
-        place = i + high
-        return (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+    def _state(self, at: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of indexes not before _begin(high): whether their value is of this high part and below, or just, the wanted one.
+
+        An index has the high part if its one follows `high` zeros and as many ones as the index says.
+        """
+        place = at + high
+        there = (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+        if not self.low_bits:
+            return np.zeros(len(at), bool), there
+        own = self._low(np.minimum(at, self.n - 1))
+        return there & (own < low), there & (own == low)
 
     def seek(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Successor search: the first index whose value is at least the wanted one, and whether it is that."""
-        out, equal = np.full(len(wanted), self.n), np.zeros(len(wanted), bool)
-        live = np.flatnonzero(wanted <= self.get(np.array([self.n - 1]))[0]) if self.n else np.zeros(0, np.int64)
-        if not len(live):
+        if not self.n or not len(wanted):
+            return np.full(len(wanted), self.n), np.zeros(len(wanted), bool)
+        past = wanted > self.last
+        if past.any():  # beyond all values
+            out, equal = np.full(len(wanted), self.n), np.zeros(len(wanted), bool)
+            inside = np.flatnonzero(~past)
+            if len(inside):
+                out[inside], equal[inside] = self.seek(wanted[inside])
             return out, equal
-        high = wanted[live] >> self.low_bits
-        low = (wanted[live] & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        at = self._begin(high)
-        for step in itertools.count():  # along the few values that share the high part
-            there = self._has(at, high)
-            own = self._low(at) if self.low_bits else np.zeros(len(at), np.uint64)
-            more = there & (own < low)
-            out[live], equal[live] = at, there & (own == low)
-            if not more.any():
+        high, low = wanted >> self.low_bits, wanted.astype(np.uint64) & self.mask
+        out = self._begin(high)
+        less, equal = self._state(out, high, low)
+        live = np.flatnonzero(less)
+        high, low, at = high[live], low[live], out[live]
+        for _ in range(8):  # along the few values that share the high part
+            if not len(live):
                 return out, equal
-            live, high, low, at = live[more], high[more], low[more], at[more] + 1
-            if step == 8:
-                break
+            at = at + 1
+            less, same = self._state(at, high, low)
+            out[live], equal[live] = at, same
+            live, high, low, at = live[less], high[less], low[less], at[less]
         # a high part that many values share: halves
         first, last = at, self._begin(high + 1)
-        while True:
-            open_ = first < last
-            if not open_.any():
-                break
+        while (first < last).any():
             middle = (first + last) >> 1
-            less = open_ & (self._low(np.minimum(middle, self.n - 1)) < low)
-            first, last = np.where(less, middle + 1, first), np.where(open_ & ~less, middle, last)
+            less = (first < last) & (self._low(np.minimum(middle, self.n - 1)) < low)
+            first, last = np.where(less, middle + 1, first), np.where(less, last, np.minimum(middle, last))
         out[live] = first
-        there = self._has(first, high)
-        equal[live] = there & (self._low(np.minimum(first, self.n - 1)) == low)
+        equal[live] = self._state(first, high, low)[1]
         return out, equal
 
     def successor(self, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -199,16 +203,24 @@ class Level:
         self.pointers, self.values, self.bases = store.keep(starts), store.keep(ids + base[parent]), store.keep(base)
 
     def find(self, parent: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Index of the child with the wanted id, or -1. Also -1 below a parent of -1."""
+        """Index of the child with the wanted id, or -1. Also -1 below a parent of -1. So many queries at a time as the caches hold."""
         out = np.full(len(parent), -1)
-        able = np.flatnonzero((parent >= 0) & (wanted >= 0))
-        if not len(able) or not self.values.n:
+        if self.values.n:
+            for k in range(0, len(parent), QUERIES):
+                out[k : k + QUERIES] = self._find(parent[k : k + QUERIES], wanted[k : k + QUERIES])
+        return out
+
+    def _find(self, parent: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        able = (parent >= 0) & (wanted >= 0)
+        if not able.all():
+            out = np.full(len(parent), -1)
+            out[able] = self._find(parent[able], wanted[able]) if able.any() else -1
             return out
-        node = parent[able]
-        at, equal = self.values.seek(wanted[able] + self.bases.get(node))
+        at, equal = self.values.seek(wanted + self.bases.get(parent))
         there = np.flatnonzero(equal)
-        there = there[at[there] < self.pointers.get(node[there] + 1)]  # else it is a child of a later node
-        out[able[there]] = at[there]
+        out = np.full(len(parent), -1)
+        there = there[at[there] < self.pointers.get(parent[there] + 1)]  # else it is a child of a later node
+        out[there] = at[there]
         return out
 
 
@@ -410,7 +422,13 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
             for at in range(0, len(whole), BATCH_DOCS):
                 hashes, _, w, v, u = batch_tokens(whole.column(0).slice(at, BATCH_DOCS).to_pylist())
                 two = bigram_keys(hashes, v, w)
-                yield count_rows([(1, np.full(1, 3, np.uint64), np.full(1, len(w))), *((k, *np.unique(x, return_counts=True)) for k, x in ((2, two), (3, trigram_keys(hashes, two, u))))])
+                grams = []
+                for k, x in ((2, two), (3, trigram_keys(hashes, two, u))):
+                    key, first, n = np.unique(x, return_index=True, return_counts=True)
+                    grams.append((k, key, n, hashes[v[first]], hashes[w[first]]))
+                rows = count_rows([(1, np.full(1, 3, np.uint64), np.full(1, len(w))), *(g[:3] for g in grams)])
+                words = [pa.array(np.concatenate([np.zeros(1, np.uint64), *(g[i] for g in grams)]).view(np.int64)) for i in (3, 4)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *words], ["kind", "word", "n", "v", "w"])
 
     def count_rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         kind = np.repeat(np.array([p[0] for p in parts], np.int8), [len(p[1]) for p in parts])
@@ -419,16 +437,25 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
 
     counts = "kind byte, word long, n long"
     picked = source.filter(F.pmod(F.xxhash64("doc_id", "t", F.lit("ngram")), F.lit(1 << 30)) < share * (1 << 30)).select("t")
-    grams = written(picked.mapInArrow(sampled, counts).groupBy("kind", "word").agg(F.sum("n").alias("n")), "sampled")
+    grams = written(picked.mapInArrow(sampled, f"{counts}, v long, w long").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.max("v").alias("v"), F.max("w").alias("w")), "sampled")
     sample_tokens = (grams.filter("kind = 1").agg(F.sum("n")).first()[0]) or 0
     least = max(2.0, sample_tokens * HOT_GRAMS / 2, share * shard_tokens / 32)
-    often_seen = grams.filter((F.col("kind") > 1) & (F.col("n") >= least)).select("kind", "word").collect()  # 4 / HOT_GRAMS rows at most
+    often_seen = grams.filter((F.col("kind") > 1) & (F.col("n") >= least)).select("kind", "word", "v", "w").collect()  # 4 / HOT_GRAMS rows at most
+    hot_words = [np.unique(np.array([r[c] for r in often_seen if r["kind"] == 2], np.int64).view(np.uint64)) for c in ("v", "w")]
     hot_keys = [np.sort(np.array([r["word"] for r in often_seen if r["kind"] == k], np.int64).view(np.uint64)) for k in (2, 3)]
-    told_hot = spark.sparkContext.broadcast(hot_keys)
+    told_hot = spark.sparkContext.broadcast((*hot_keys, *hot_words))
+
+    def hot_bigrams(hashes: np.ndarray, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of hot bigrams, their keys and places: looked up only where both words are of some hot bigram."""
+        two_keys, _, first, second = told_hot.value
+        at = np.flatnonzero((places(second, hashes) >= 0)[w] & (places(first, hashes) >= 0)[v]) if len(two_keys) else np.zeros(0, np.int64)
+        two = bigram_keys(hashes, v[at], w[at])
+        place = places(two_keys, two)
+        return at[place >= 0], two[place >= 0], place[place >= 0]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, tokens, held_words, held_counts, size = 0, 0, [], [], 0
-        hot = [np.zeros(len(k), np.int64) for k in told_hot.value]
+        hot = [np.zeros(len(k), np.int64) for k in told_hot.value[:2]]
 
         def merged() -> tuple[int, np.ndarray, np.ndarray]:
             words, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *held_words]), return_inverse=True)
@@ -448,18 +475,16 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                 held_counts.append(n[seen])
                 size += int(seen.sum())
                 if len(hot[0]):
-                    two = bigram_keys(hashes, v, w)
-                    there = places(told_hot.value[0], two)
-                    at_hot = there >= 0
-                    hot[0] += np.bincount(there[at_hot], minlength=len(hot[0]))
-                    there = places(told_hot.value[1], trigram_keys(hashes, two[at_hot], u[at_hot]))  # a hot trigram's bigram is hot
+                    at_hot, two, there = hot_bigrams(hashes, w, v)
+                    hot[0] += np.bincount(there, minlength=len(hot[0]))
+                    there = places(told_hot.value[1], trigram_keys(hashes, two, u[at_hot]))  # a hot trigram's bigram is hot
                     hot[1] += np.bincount(there[there >= 0], minlength=len(hot[1]))
-                if size > 1_500_000:
+                if size > 600_000:
                     yield count_rows([merged()])
                     held_words, held_counts, size = [], [], 0
         # two rows that aren't words say how many training documents and tokens there are
         extra = (1, np.array([START, np.uint64(3)]), np.array([rows, tokens]))
-        yield count_rows([merged(), extra, *((k + 2, keys, n) for k, (keys, n) in enumerate(zip(told_hot.value, hot, strict=True)))])
+        yield count_rows([merged(), extra, *((k + 2, keys, n) for k, (keys, n) in enumerate(zip(told_hot.value[:2], hot, strict=True)))])
 
     all_counts = written(source.mapInArrow(counted, counts).groupBy("kind", "word").agg(F.sum("n").alias("n")).filter("n > 0"), "unigrams")
     unigrams = all_counts.filter("kind = 1").select("word", "n")
@@ -475,7 +500,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     hot_counts = {(r["kind"], r["word"]): r["n"] for r in all_counts.filter("kind > 1").collect()}  # as many as often_seen at most
     hot_totals = [np.array([hot_counts.get((k + 2, word), 0) for word in keys.view(np.int64).tolist()], np.int64) for k, keys in enumerate(hot_keys)]
     table = spark.sparkContext.broadcast((keys[by_key], listed.column("n").to_numpy()[by_key]))
-    gram_tables = spark.sparkContext.broadcast((hot_keys, hot_totals))
+    gram_totals = spark.sparkContext.broadcast(hot_totals)
     shards = max(1, -(-tokens // shard_tokens))
 
     def among(hashes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -501,13 +526,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
 
     def hot_places(hashes: np.ndarray, count: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of hot bigrams (of a hot w), where these stand in their table, and where their trigrams do, if all counts are told (else -1)."""
-        (two_keys, three_keys), _ = gram_tables.value
-        at = np.flatnonzero((count >= hot)[w])
-        two = bigram_keys(hashes, v[at], w[at])
-        place = places(two_keys, two)
-        is_hot = place >= 0
-        at, two, place = at[is_hot], two[is_hot], place[is_hot]
-        home = places(three_keys, trigram_keys(hashes, two, u[at]))
+        at, two, place = hot_bigrams(hashes, w, v)
+        often = (count >= hot)[w[at]]
+        at, two, place = at[often], two[often], place[often]
+        home = places(told_hot.value[1], trigram_keys(hashes, two, u[at]))
         told = (count > 0) | (hashes == START)
         # the batch's first token is always dealt, as some blob must bear what is said of the documents
         return at, place, np.where(told[v[at]] & (at > 0), home, -1)
@@ -517,7 +539,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         count = lookup(hashes)
         at, place, home = hot_places(hashes, count, w, v, u)
         at, place, home = at[home >= 0], place[home >= 0], home[home >= 0]
-        c1, cv, c2, c3 = count[w[at]], count[v[at]], gram_tables.value[1][0][place], gram_tables.value[1][1][home]
+        c1, cv, c2, c3 = count[w[at]], count[v[at]], gram_totals.value[0][place], gram_totals.value[1][home]
         cv = np.where(cv < FREQUENT * n_train, 0, cv)
         p1 = (c1 + 0.5) / z
         p2 = np.where(cv > 0, (c2 + MU2 * p1) / (cv + MU2), p1)
@@ -649,13 +671,13 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         w3, v3, u3, back = trigrams(w, v, u, n)
         del u
         c3 = np.bincount(back, learned, minlength=len(w3)).astype(np.int64)
-        (two_keys, _), (two_totals, _) = gram_tables.value
-        there = places(two_keys, bigram_keys(hashes, v3, w3))
-        total = np.where(there >= 0, two_totals[there], -1) if len(two_keys) else np.full(len(w3), -1)
+        total = np.full(len(w3), -1)
+        at, _, there = hot_bigrams(hashes, w3, v3)
+        total[at] = gram_totals.value[0][there]
         seen = (c3 > 0) | (total > 0)
         trie = Trie(w3[seen], v3[seen], u3[seen], c3[seen], n, c1, heavy, z, total[seen])
         above, below = trie.score(w3, v3, u3)
-        del trie, w3, v3, u3, c3, seen, total, there
+        del trie, w3, v3, u3, c3, seen, total, at, there
         start, end = (np.searchsorted(hashes, x) for x in (START, END))
         is_end = w == end if end < n and hashes[end] == END else np.zeros(len(w), bool)
         first = v == start if start < n and hashes[start] == START else np.zeros(len(w), bool)
