@@ -113,3 +113,65 @@ def test_counts_find_what_tree_matching_finds(spark):
     pages = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
     for r in ex.extract(pages).collect():
         assert not {t for _, t in shared} & set(r["text"].split("\n\n"))
+
+
+def brute_wrapper(pages):
+    """The text of each (host, html), with templates counted block by block over different pages."""
+    def place(n):
+        return ex.path_of(n)
+
+    kinds = {}
+    for host, html in dict.fromkeys(p for p in pages if p[1] is not None):
+        root = ex.tree(html)
+        outside = [n for n in ex.leaves(root) if not n.inside]
+        layout = ("layout", frozenset(map(place, outside)))
+        for group in {("slot", place(n)) for n in outside} | ({layout} if outside else set()):
+            found = kinds.setdefault((host, root.lang, group), [0, Counter()])
+            found[0] += 1
+            found[1].update({(place(n), n.text) for n in outside if group == layout or group[1] == place(n)})
+    out = []
+    for host, html in pages:
+        root = ex.tree(html)
+        every = list(ex.leaves(root))
+        layout = ("layout", frozenset(place(n) for n in every if not n.inside))
+        left = []
+        for n in every:
+            told = [kinds.get((host, root.lang, g)) for g in (("slot", place(n)), layout)] if not n.inside else []
+            if not any(k and k[1][place(n), n.text] >= max(ex.MIN_PAGES, ex.SHARE * k[0]) for k in told):
+                left.append(n)
+        left = [n for n in left if not n.drop]
+        out.append("\n\n".join(n.text for n in ([n for n in left if n.inside] or left)))
+    return out
+
+
+def test_wrappers_equal_counting_by_hand(spark):
+    rng = random.Random(11)
+    words = ["home", "about", "terms", "cats", "dogs", "news"]
+
+    def make(host):
+        parts = [f"<div>{rng.choice(words[: 1 + host % 3])}</div>", f"<nav><ul><li>{rng.choice(words[:2])}</ul></nav>", f"<div><p>{rng.choice(words)} {rng.randrange(50)}</p></div>", "<p>all rights</p>", f"<div class=ad>{rng.choice(words)}</div>"]
+        body = "".join(p for p in parts if rng.random() < 0.85)
+        if rng.random() < 0.3:
+            body += f"<article><p>{rng.choice(words)}</p><p>all rights</p></article>"
+        return f"<html lang={rng.choice(['en', 'de'])}><body>{body}</body></html>"
+
+    rows = [(k % 4, make(k % 4)) for k in range(160)]
+    rows += rows[:7] + [(1, None), (2, "")]
+    pages = spark.createDataFrame([(i, f"http://h{h}.example/{i}", html) for i, (h, html) in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    want = brute_wrapper([(f"h{h}.example", html) for h, html in rows])
+    got = {r["page_id"]: r["text"] for r in ex.extract(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    plain = [ex.text_of(html, set()) for _, html in rows]
+    assert sum(a != b for a, b in zip(want, plain)) > 40  # the wrapper changes pages
+
+
+def test_menus_are_template_before_any_rule_of_elements():
+    pages = [f"<nav><a>Home</a></nav><div class=footer>Imprint</div><p>{i}</p>" for i in range(4)]
+    assert ex.induce(pages) == [("/div.footer", "Imprint"), ("/nav.", "Home")]
+
+
+def test_deep_pages(spark):
+    deep = ["<div>" * 3000 + f"<p>bottom {i}</p>" + "<b>" * 3000 + f"x{i}" + "</div>" * 3000 + "<p>shared</p>" for i in range(3)]
+    assert ex.induce(deep) == [("/p.", "shared")]
+    pages = spark.createDataFrame([(i, "http://deep.example/", h) for i, h in enumerate(deep)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"][:8] for r in ex.extract(pages).collect()} == {i: f"bottom {i}" for i in range(3)}

@@ -1,30 +1,29 @@
 """HTML extraction by wrapper induction: the text blocks of all pages of one host are aligned by their place in the tree.
 
 A page is parsed into a tree whose leaves are blocks of text. A host's wrapper is counted over all its different pages, whatever
-their number and length. Pages are compared with those of the same language (`lang` of html), once by slot (pages with a
-block at the same path of tags and classes) and once by layout (pages with the same set of paths). A
-block that at least MIN_PAGES pages and SHARE of the pages of its slot or its layout hold with the same path and text is template, one
-whose text varies is content. Pages then lose the blocks that are template for them. With fewer than MIN_PAGES different pages a
-host has no wrapper. `induce` finds the constant blocks of a few pages by simple tree matching (the largest
-order-preserving alignment of children, by dynamic programming); partners have equal paths, so whatever it finds on all
+their number and length, and over all blocks outside article and main, menus and footers included. Pages are compared with those
+of the same language (`lang` of html), once by slot (pages with a block at the same path of tags and classes) and once by layout
+(pages with the same set of paths). A block that at least MIN_PAGES pages and SHARE of the pages of its slot or its layout hold with
+the same path and text is template, one whose text varies is content. Pages first lose the blocks that are template for them. With
+fewer than MIN_PAGES different pages a host has no wrapper. `induce` finds the constant blocks of a few pages by simple tree matching (the
+largest order-preserving alignment of children, by dynamic programming); partners have equal paths, so whatever it finds on all
 pages of a host the counts find, too.
 
-What is boilerplate on any page goes before that, by element: menus, headers, footers, asides, forms,
+What varies from page to page and still is no content goes by element: menus, headers, footers, asides, forms,
 scripts, styles, dialogs, and elements whose class, id or role says advert, notice, comment or the like; if an
 article or main element with text remains, its blocks alone are content, and template is taken from them only if
 it stands outside an article.
 
 Nulls: a null html is empty, its text "". A null url, or one without `://`, is of an empty host. Unclosed and
-misnested tags are closed as browsers do for paragraphs and list items; any other stray end tag is ignored. Repeated
-rows are extracted one by one; equal pages count once. Empty tables give no rows; further columns are ignored. Counts are added up within
-tasks before they are shuffled by block, wrappers are joined to pages by host (broadcast where their measured size is
-small), and no host's pages are gathered in one task. Blocks are told apart by 96-bit hashes.
+misnested tags are closed as browsers do for paragraphs and list items; any other stray end tag is ignored. Trees of any depth are
+walked without recursion. Repeated rows are extracted one by one; equal pages count once. Empty tables give no rows; further columns are
+ignored. Counts are added up within tasks before they are shuffled by block, wrappers are joined to pages by host (broadcast where their
+measured size is small), and no host's pages are gathered in one task. Blocks and paths are told apart by 96-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
@@ -62,13 +61,14 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children", "text", "drop", "inside", "lang")
+    __slots__ = ("tag", "name", "parent", "children", "text", "drop", "hidden", "inside", "lang")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.parent = tag, name, parent
         self.children: list[Node] = []
         self.text = self.lang = ""
         self.drop = parent.drop if parent else False
+        self.hidden = parent.hidden if parent else False
         self.inside = parent.inside if parent else False
 
 
@@ -112,6 +112,7 @@ class _Builder(HTMLParser):
         name = " ".join(v for k, v in attrs if k == "class" and v)
         node = Node(tag, name, self.at)
         node.drop = node.drop or tag in HIDDEN or tag in BOILERPLATE or (tag not in ("html", "body", *CONTENT) and _boilerplate(attrs, node.inside))
+        node.hidden = node.hidden or tag in HIDDEN
         node.inside = node.inside or tag in CONTENT
         if tag == "header" and self.at.inside and not self.at.drop and not _boilerplate(attrs, True):
             node.drop = False  # an article's own heading
@@ -165,23 +166,31 @@ def tree(html: str | None) -> Node:
     return builder.root
 
 
-def leaves(root: Node) -> Iterator[tuple[str, Node]]:
-    """(path, leaf) of the text leaves that aren't boilerplate, in page order. A path is of tags and classes."""
-    stack = [("", root)]
+def leaves(root: Node) -> Iterator[Node]:
+    """The text leaves that a reader may see, in page order, boilerplate among them."""
+    stack = [root]
     while stack:
-        path, node = stack.pop()
+        node = stack.pop()
         if node.tag == "#":
-            if not node.drop:
-                yield path, node
-            continue
-        here = f"{path}/{node.tag}.{node.name}" if node.tag else path
-        stack += [(here, c) for c in reversed(node.children)]
+            if not node.hidden:
+                yield node
+        else:
+            stack += reversed(node.children)
+
 
+def path_of(leaf: Node) -> str:
+    """Tags and classes from the root to a leaf."""
+    steps, node = [], leaf.parent
+    while node and node.tag:
+        steps.append(f"/{node.tag}.{node.name}")
+        node = node.parent
+    return "".join(reversed(steps))
 
-def kept_leaves(root: Node) -> list[tuple[str, Node]]:
-    """The leaves of article or main elements if there are any, else all."""
-    found = list(leaves(root))
-    return [x for x in found if x[1].inside] or found
+
+def kept_leaves(found: list[Node]) -> list[Node]:
+    """Of leaves those that the element rules leave: of article or main elements if there are any, else all."""
+    found = [n for n in found if not n.drop]
+    return [n for n in found if n.inside] or found
 
 
 # ---- simple tree matching --------------------------------------------------------------------------------------------
@@ -191,35 +200,53 @@ def _same(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.name == b.name
 
 
-def match(a: Node, b: Node, budget: list[int]) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size and pairs of the largest order-preserving top-down match of two trees."""
+def _table(rows: list[Node], columns: list[Node], sizes: dict[tuple[int, int], int]) -> list[list[int]]:
+    """best[i][k]: the most that the first i rows and the first k columns can match, in order."""
+    best = [[0] * (len(columns) + 1)]
+    for x in rows:
+        last, now = best[-1], [0]
+        for k, y in enumerate(columns):
+            now.append(max(last[k + 1], now[k], last[k] + sizes.get((id(x), id(y)), 0)))
+        best.append(now)
+    return best
+
+
+def match(a: Node, b: Node, cells: list[int] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size and pairs of the largest order-preserving top-down match of two trees. cells[0] goes down by the cells of all tables."""
     if not _same(a, b):
         return 0, []
-    rows, columns = a.children, b.children
-    budget[0] -= len(rows) * len(columns)
-    if budget[0] < 0:
-        return 1, [(a, b)]
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    inner: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-    for i, x in enumerate(rows):
-        for k, y in enumerate(columns):
-            gain = 0
-            if _same(x, y):
-                size, pairs = match(x, y, budget)
-                # of leaves, those with the same text are preferred
-                gain = 3 if x.tag == "#" and x.text == y.text else 1 if x.tag == "#" else size
-                inner[i, k] = gain, pairs
-            best[i + 1][k + 1] = max(best[i][k + 1], best[i + 1][k], best[i][k] + gain)
-    i, k, pairs = len(rows), len(columns), [(a, b)]
-    while i and k:
-        if best[i][k] == best[i - 1][k]:
-            i -= 1
-        elif best[i][k] == best[i][k - 1]:
-            k -= 1
+    # all pairs of nodes that may match, parents before children
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        by_kind: dict[tuple[str, str], list[Node]] = {}
+        for d in y.children:
+            by_kind.setdefault((d.tag, d.name), []).append(d)
+        todo += [(c, d) for c in x.children for d in by_kind.get((c.tag, c.name), ())]
+    sizes: dict[tuple[int, int], int] = {}
+    for x, y in reversed(pairs):
+        if x.tag == "#":  # of leaves, those with the same text are preferred
+            sizes[id(x), id(y)] = 3 if x.text == y.text else 1
         else:
-            pairs += inner[i - 1, k - 1][1]
-            i, k = i - 1, k - 1
-    return best[-1][-1] + 1, pairs
+            sizes[id(x), id(y)] = _table(x.children, y.children, sizes)[-1][-1] + 1
+            if cells is not None:
+                cells[0] -= len(x.children) * len(y.children)
+    matched, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        matched.append((x, y))
+        best = _table(x.children, y.children, sizes)
+        i, k = len(x.children), len(y.children)
+        while i and k:
+            if best[i][k] == best[i - 1][k]:
+                i -= 1
+            elif best[i][k] == best[i][k - 1]:
+                k -= 1
+            else:
+                i, k = i - 1, k - 1
+                todo.append((x.children[i], y.children[k]))
+    return sizes[id(a), id(b)], matched
 
 
 def induce(pages: list[str]) -> list[tuple[str, str]]:
@@ -229,14 +256,16 @@ def induce(pages: list[str]) -> list[tuple[str, str]]:
         return []
     constant: set[int] | None = None
     for other in trees[1:]:
-        _, pairs = match(trees[0], other, [sys.maxsize])
+        _, pairs = match(trees[0], other)
         same = {id(x) for x, y in pairs if x.tag == "#" and x.text == y.text}
         constant = same if constant is None else constant & same
-    return sorted({(path, n.text) for path, n in leaves(trees[0]) if id(n) in constant and not n.inside})
+    return sorted({(path_of(n), n.text) for n in leaves(trees[0]) if id(n) in constant and not n.inside})
 
 
 def text_of(html: str | None, template: set[tuple[str, str]]) -> str:
-    return "\n\n".join(n.text for path, n in kept_leaves(tree(html)) if (path, n.text) not in template)
+    """The text of a page without the blocks of (path, text) in the template."""
+    found = [n for n in leaves(tree(html)) if not template or n.inside or (path_of(n), n.text) not in template]
+    return "\n\n".join(n.text for n in kept_leaves(found))
 
 
 # ---- wrappers by counts ----------------------------------------------------------------------------------------------
@@ -246,9 +275,18 @@ def _key(*parts: str) -> str:
     return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def slots(root: Node, found: list[tuple[str, Node]]) -> Iterator[tuple[str, str, Node]]:
+def slots(root: Node) -> Iterator[tuple[str, str, Node]]:
     """(group of pages, block) of each leaf that may be template, as keys: a leaf's groups are its slot and its page's layout."""
-    outside = [(path, n) for path, n in found if not n.inside]
+    outside, stack = [], [("", root)]
+    while stack:
+        path, node = stack.pop()
+        if node.hidden or node.inside:
+            continue
+        if node.tag == "#":
+            outside.append((path, node))
+        else:
+            here = _key(path, node.tag, node.name)
+            stack += [(here, c) for c in reversed(node.children)]
     layout = _key(root.lang, "layout", *sorted({path for path, _ in outside})) if outside else ""
     for path, n in outside:
         for group in (_key(root.lang, "slot", path), layout):
@@ -257,12 +295,9 @@ def slots(root: Node, found: list[tuple[str, Node]]) -> Iterator[tuple[str, str,
 
 def extracted_text(html: str | None, template: frozenset[str]) -> str:
     """The text of a page without the blocks that its host's template has."""
-    if not template:
-        return text_of(html, set())
     root = tree(html)
-    kept = kept_leaves(root)
-    gone = {id(n) for _, block, n in slots(root, list(leaves(root))) if block in template}
-    return "\n\n".join(n.text for _, n in kept if id(n) not in gone)
+    gone = {id(n) for _, block, n in slots(root) if block in template} if template else ()
+    return "\n\n".join(n.text for n in kept_leaves([n for n in leaves(root) if id(n) not in gone]))
 
 
 # ---- the distributed operator ------------------------------------------------------------------------------------------
@@ -277,8 +312,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 b = whole.slice(at, 200)
                 rows: list[tuple[str, str, str, int]] = []
                 for host, html, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    root = tree(html)
-                    seen = {(group, block) for group, block, _ in slots(root, list(leaves(root)))}
+                    seen = {(group, block) for group, block, _ in slots(tree(html))}
                     # an empty block counts the pages of the group
                     rows += [(host, group, block, page) for group, block in sorted(seen | {(g, "") for g, _ in seen})]
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
