@@ -215,7 +215,17 @@ def span_lineage(spark, d):
     return axis.lineage(ad.spans(ad.timeline(spark, d)))
 
 
-@query("span_packing")
+@query(
+    "span_packing",
+    with_sql(
+        "SELECT transcript_id, 'lane' AS label, span_id, CAST(sub_row AS INTEGER) AS sub_row FROM fold",
+        {
+            "box": "SELECT transcript_id, span_id, epoch(ts0) AS x0, epoch(ts1) AS x1, row_number() OVER (PARTITION BY transcript_id ORDER BY epoch(ts0), span_id) AS i FROM (SELECT transcript_id, span_id, date_trunc('second', started_at) AS ts0, date_trunc('second', ended_at) AS ts1 FROM span)",
+            "fold": "SELECT transcript_id, span_id, i, 0 AS sub_row, [x1] AS ends FROM box WHERE i = 1 UNION ALL SELECT b.transcript_id, b.span_id, b.i, coalesce(list_position(list_transform(f.ends, lambda e: b.x0 > e), true), len(f.ends) + 1) - 1, CASE WHEN list_contains(list_transform(f.ends, lambda e: b.x0 > e), true) THEN f.ends[: list_position(list_transform(f.ends, lambda e: b.x0 > e), true) - 1] || [b.x1] || f.ends[list_position(list_transform(f.ends, lambda e: b.x0 > e), true) + 1 :] ELSE f.ends || [b.x1] END FROM fold f JOIN box b ON b.transcript_id = f.transcript_id AND b.i = f.i + 1",
+        },
+        recursive=True,
+    ),
+)
 def span_packing(spark, d):
     s = ad.spans(ad.timeline(spark, d)).select("transcript_id", "span_id", F.lit("lane").alias("label"), F.unix_seconds(F.col("started_at").cast("timestamp")).cast("double").alias("x0"), F.unix_seconds(F.col("ended_at").cast("timestamp")).cast("double").alias("x1"))
     return packing.pack(s)

@@ -59,7 +59,26 @@ def ordered_merge(spark, d):
     return tm.merged([(t.filter(F.col("kind") == k), i) for i, k in enumerate(("compaction", "tool", "model"))]).select("file", "ev", "kind")
 
 
-@query("operator_match")
+SENDS = "SELECT CAST(transcript_id AS VARCHAR) AS transcript_id, text, ev AS ord, ev AS ts, row_number() OVER (PARTITION BY transcript_id, text ORDER BY ev) AS i FROM conv WHERE role = 'user'"
+DATED = "SELECT transcript_id, text, ord, ts + 1 AS ts, row_number() OVER (PARTITION BY transcript_id, text ORDER BY ts) AS n FROM send WHERE ord % 3 > 0"
+UNDATED = "SELECT transcript_id, text, ord, row_number() OVER (PARTITION BY transcript_id, text ORDER BY ord) AS n FROM send WHERE ord % 3 = 0"
+#: One send of each text a step: the last dated turn taken (n), and how many undated ones are gone (u).
+TAKEN = """SELECT s.transcript_id, s.text, s.i, s.ord, d.n, CASE WHEN d.n IS NULL THEN 1 ELSE 0 END AS u, d.ord AS user_ord
+    FROM send s LEFT JOIN LATERAL (SELECT n, ord FROM dated x WHERE x.transcript_id = s.transcript_id AND x.text = s.text AND x.ts >= s.ts ORDER BY n LIMIT 1) d ON true WHERE s.i = 1
+  UNION ALL
+  SELECT s.transcript_id, s.text, s.i, s.ord, CASE WHEN t.u = 0 THEN d.n END, t.u + CASE WHEN t.u > 0 OR d.n IS NULL THEN 1 ELSE 0 END, CASE WHEN t.u = 0 THEN d.ord END
+    FROM taken t JOIN send s ON s.transcript_id = t.transcript_id AND s.text = t.text AND s.i = t.i + 1
+    LEFT JOIN LATERAL (SELECT n, ord FROM dated x WHERE x.transcript_id = s.transcript_id AND x.text = s.text AND x.ts >= s.ts AND x.n > coalesce(t.n, 0) ORDER BY n LIMIT 1) d ON true"""
+
+
+@query(
+    "operator_match",
+    with_sql(
+        "SELECT t.transcript_id, t.text, t.ord, CASE WHEN t.u = 0 THEN t.user_ord ELSE x.ord END AS user_ord FROM taken t LEFT JOIN undated x ON x.transcript_id = t.transcript_id AND x.text = t.text AND x.n = t.u AND t.u > 0",
+        {"send": SENDS, "dated": DATED, "undated": UNDATED, "taken": TAKEN},
+        recursive=True,
+    ),
+)
 def operator_match(spark, d):
     m = ad.messages(spark, d)
     sends = m.filter("role = 'user'").select(F.col("transcript_id").cast("string"), "text", F.col("ev").alias("ord"), F.col("ev").alias("ts"))
@@ -67,7 +86,13 @@ def operator_match(spark, d):
     return packing.match_sends(sends, users)
 
 
-@query("tool_pairs")
+@query(
+    "tool_pairs",
+    with_sql(
+        "SELECT s.session, s.name, s.ord AS start_ord, (SELECT min(e.ord) FROM mark e WHERE e.session = s.session AND e.name = s.name AND e.type = 'end' AND e.ord > s.ord AND e.starts - s.starts = e.ends - s.ends - 1) AS end_ord FROM mark s WHERE s.type = 'start'",
+        {"mark": "SELECT transcript_id || '/' || lane AS session, ev AS ord, CASE WHEN k % 2 = 0 THEN 'start' ELSE 'end' END AS type, event_type AS name, sum(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END) OVER w AS starts, sum(CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END) OVER w AS ends FROM tl WHERE lane IS NOT NULL WINDOW w AS (PARTITION BY transcript_id, lane, event_type ORDER BY ev)"},
+    ),
+)
 def tool_pairs(spark, d):
     t = ad.timeline(spark, d).filter("lane is not null")
     return packing.pair_tools(t.select(F.concat_ws("/", "transcript_id", "lane").alias("session"), F.col("ev").alias("ord"), F.when(F.col("k") % 2 == 0, "start").otherwise("end").alias("type"), F.col("event_type").alias("name")))
