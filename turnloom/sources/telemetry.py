@@ -34,8 +34,13 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows of a split in order of reading, so (start, within) is the order of lines.
     """
     text = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("within"))
-    parsed = text.filter("trim(value) <> ''").withColumn("e", F.from_json("value", SCHEMA))
-    return parsed.filter(F.col("e").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.col("e.type").isNotNull()).select("file", F.struct("start", "within").alias("ord"), "e.*")
+    return parsed_lines(text.select("value", "file", F.struct("start", "within").alias("ord")))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """SRC-01: lines (file, ord, value) as events."""
+    parsed = lines.filter("trim(value) <> ''").withColumn("e", F.from_json("value", SCHEMA))
+    return parsed.filter(F.col("e").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.col("e.type").isNotNull()).select("file", "ord", "e.*")
 
 
 def malformed(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -174,10 +179,20 @@ def spawn_links(results: DataFrame) -> DataFrame:
     return results.filter(F.col("toolName") == SPAWN_TOOL).withColumn("child", child).filter("child is not null").groupBy("file", "child").agg(F.max_by("toolCallId", "ord").alias("call_id"))
 
 
+#: Rows of a file whose running maximum is one window; windows of windows carry it on, so a long file isn't one task.
+ANCHOR_ROWS = 4096
+
+
 def file_anchor(rows: DataFrame) -> DataFrame:
-    """ING-10: the largest orchestrator stamp in front of each session's first row. rows: file, ord, session, is_main, stamp."""
-    running = F.max(F.when(F.col("is_main"), F.col("stamp"))).over(Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    return first_of(rows.withColumn("anchor", running), ["file", "session"], ["ord"]).select("file", "session", "anchor")
+    """ING-10: the largest orchestrator stamp in front of each session's first row. rows: file, ord (a number, or start and within), session, is_main, stamp."""
+    kind = rows.schema["ord"].dataType.typeName()
+    part = F.struct("ord.start", F.floor(F.col("ord.within") / ANCHOR_ROWS)) if kind == "struct" else F.floor(F.col("ord") / ANCHOR_ROWS)
+    own = rows.withColumn("_part", part).withColumn("_stamp", F.when(F.col("is_main"), F.col("stamp")))
+    so_far = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy("file", "_part").agg(F.max("_stamp").alias("_most")).withColumn("_before", F.max("_most").over(so_far)).select("file", "_part", "_before")
+    here = F.max("_stamp").over(Window.partitionBy("file", "_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    first = first_of(own.withColumn("_here", here).select("file", "session", "ord", "_part", "_here"), ["file", "session"], ["ord"])
+    return first.join(parts, ["file", "_part"]).select("file", "session", F.greatest("_before", "_here").alias("anchor"))
 
 
 def merged(parts: list[tuple[DataFrame, int]]) -> DataFrame:
