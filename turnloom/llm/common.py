@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,38 @@ def broadcast_if_small(df: DataFrame, label: str, *texts: str) -> DataFrame:
     return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
+#: What operators keep in a worker from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def forget(but: str = "") -> None:
+    """Clears what other operators keep in this worker."""
+    for name, kept in KEPT.items():
+        if name != but and kept:
+            kept.clear()
+            give_back()
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work in a worker that forgets what other operators kept there, and gives back freed memory afterwards."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(own)
+        yield from work(batches)
+        give_back()
+
+    return done
+
+
+def give_back() -> None:
+    """Freed memory that allocators hold goes back to the system, where they know how to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of `rows` at most."""
     for whole in batches:

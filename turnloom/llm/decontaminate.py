@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from turnloom.llm.common import sliced, written
+from turnloom.llm.common import sliced, tidied, written
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -270,6 +270,7 @@ def search(
             found = written(found, "decontaminate")
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
+        @tidied
         def searched(batches: Iterator[pa.RecordBatch], shared=shared, first=len(columns)) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches, SHARD_DOCS):
                 starts, hit, items = hits(b.column(first).to_pylist(), shared.value)
@@ -350,6 +351,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
         (block,) = _blocks(benchmark, "item_id", "text", block_bytes)
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
+        @tidied
         def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches, SHARD_DOCS):
                 columns = list(b.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import broadcast_if_small, crc_mod
+from turnloom.llm.common import broadcast_if_small, crc_mod, tidied
 from turnloom.llm.toxicity import subwords
 
 GRAMS = (1, 2, 3)
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, held: int = 2, modulus: int = 4) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, held, modulus))
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidied
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1500):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, broadcast_if_small, mix, written
+from turnloom.llm.common import blank_words, broadcast_if_small, mix, tidied, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -186,12 +186,13 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 def _described(docs: DataFrame, id_column: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key, bands of every row."""
 
+    @tidied
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for whole in batches:
             for at in range(0, len(whole), 512):
                 b = whole.slice(at, 512)
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                 sets = [shingle_set(blank_words(t), size, known) for t in b.column(1).to_pylist()]
                 values = band_values(signatures(sets, bands * rows), rows).view(np.int64)
@@ -237,12 +238,13 @@ def _sets_of(members: DataFrame, docs: DataFrame, id_column: str, text: str, siz
     """members (comp, rep) with n and their sorted sets as bytes, from the texts of the representatives."""
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("_t"))
 
+    @tidied
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for whole in batches:
             for at in range(0, len(whole), 512):
                 b = whole.slice(at, 512)
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                 sets = [shingle_set(blank_words(t), size, known) for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(

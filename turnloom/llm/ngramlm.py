@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, crc_of, mix, word_hashes, written
+from turnloom.llm.common import blank_words, crc_of, give_back, mix, tidied, word_hashes, written
 
 MU2, MU3 = 200.0, 20.0
 #: A context word of less than this share of the training tokens has no bigram level: 0, so every counted word has one.
@@ -416,6 +416,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     size = source.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     share = min(1.0, GRAM_SAMPLE / max(1, size))
 
+    @tidied
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the sample's bigrams (kind 2) and trigrams (kind 3), and of its tokens (kind 1, word 3)."""
         for whole in batches:
@@ -453,6 +454,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         place = places(two_keys, two)
         return at[place >= 0], two[place >= 0], place[place >= 0]
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, tokens, held_words, held_counts, size = 0, 0, [], [], 0
         hot = [np.zeros(len(k), np.int64) for k in told_hot.value[:2]]
@@ -549,6 +551,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     def rows_of(numbers: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([kind] * len(blobs), pa.int8()), pa.array(blobs, pa.binary())], ["shard", "kind", "blob"])
 
+    @tidied
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """To the shard of each unlisted context word (kind 1): which shards need its count."""
         for whole in batches:
@@ -607,6 +610,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         packed = [pack([planes(word[i:k]), narrow(counts_of[i:k])]) for i, k in zip(begin.tolist(), ends.tolist(), strict=True)]
         return pa.Table.from_batches([rows_of(to.tolist(), 1, packed)])
 
+    @tidied
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -684,6 +688,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
         # a token pays for the next one's context; the first pays for that of two starts, too
         own = above[back] - np.where(is_end, 0.0, below[back]) - np.where(first, np.log10(train_docs + MU3), 0.0)
         many = int(rows[-1])
+        give_back()
         sums = [np.bincount(doc, c1[w] > 0, minlength=many).astype(np.int64), np.bincount(doc, np.log10((c1[w] + 0.5) / z), minlength=many), np.bincount(doc, own, minlength=many)]
         parts = [pack([b[5], narrow(sums[0][at:to]), sums[1][at:to].view(np.uint64), sums[2][at:to].view(np.uint64), *b[9:]]) for b, at, to in zip(blobs, rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
         return pa.table({"batch": pa.array([int(b[7][0]) for b in blobs], pa.int64()), "part": pa.array(parts, pa.binary())})

@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import KEPT, tidied
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
@@ -303,6 +305,18 @@ class Machine:
         return text[1:] if text.startswith(" ") else text
 
 
+#: The last model's machine and tables, which a worker keeps until it works for another operator.
+_BUILT: dict[bytes, Machine] = {}
+KEPT["pieces"] = _BUILT
+
+
+def built(data: bytes) -> Machine:
+    if data not in _BUILT:
+        _BUILT.clear()
+        _BUILT[data] = Machine(data)
+    return _BUILT[data]
+
+
 def machine(path: str = MODEL) -> Machine:
     with open(path, "rb") as f:
         return Machine(f.read())
@@ -316,7 +330,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Machine(shared.value)  # machine and tables end with the task: a worker holds nothing for other operators to bear
+        m = built(shared.value)
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
@@ -331,7 +345,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(ends), pa.int64()), pa.array(good, pa.bool_())], [*others, "ids", "n_ids", "decodes"])
 
     head = "".join(f"`{c}` {kinds[c]}, " for c in others)
-    return docs.select(*others, F.col(text).alias("_t")).mapInArrow(encoded, f"{head}ids array<int>, n_ids bigint, decodes boolean")
+    return docs.select(*others, F.col(text).alias("_t")).mapInArrow(tidied(encoded, "pieces"), f"{head}ids array<int>, n_ids bigint, decodes boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -342,10 +356,10 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Machine(shared.value)  # machine and tables end with the task: a worker holds nothing for other operators to bear
+        m = built(shared.value)
         for b in batches:
             texts = [None if x is None else m.decode(x) for x in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*others, text])
 
     head = "".join(f"`{c}` {kinds[c]}, " for c in others)
-    return rows.select(*others, F.col(ids).alias("_i")).mapInArrow(decoded, f"{head}`{text}` string")
+    return rows.select(*others, F.col(ids).alias("_i")).mapInArrow(tidied(decoded, "pieces"), f"{head}`{text}` string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import crc_mod, mix
+from turnloom.llm.common import crc_mod, mix, tidied
 
 GRAMS = (4, 5)
 BUCKETS = 1 << 20
@@ -44,7 +44,7 @@ SPREAD = 0.01
 #: Empty words added to every mean, so that a few words of a short text don't decide alone.
 PAD = 30
 #: Words whose numbers a task keeps.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,8 +98,8 @@ class Model:
         if len(known) + len(new) > TABLE_WORDS:
             known.clear()
             new = list({w for ws in lists for w in ws})
-        for k in range(0, len(new), 100_000):
-            known.update(zip(new[k : k + 100_000], self.numbers(new[k : k + 100_000]).tolist(), strict=True))
+        for k in range(0, len(new), 20_000):
+            known.update(zip(new[k : k + 20_000], self.numbers(new[k : k + 20_000]).tolist(), strict=True))
         mean = np.array([sum(map(known.__getitem__, ws)) / (len(ws) + PAD) for ws in lists])
         return 1 / (1 + np.exp(-np.clip(SCALE * mean + self.bias, -50, 50)))
 
@@ -194,6 +194,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
+    @tidied
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for whole in batches:
