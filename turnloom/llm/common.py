@@ -118,6 +118,12 @@ def word_hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The different values in order. By a sort, which is several times as fast here as numpy's hashing."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (splitmix64)."""
     with np.errstate(over="ignore"):

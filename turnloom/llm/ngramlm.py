@@ -39,17 +39,18 @@ from __future__ import annotations
 
 import itertools
 import mmap
-from collections import defaultdict
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, crc_of, give_back, mix, tidied, word_hashes, written
+from turnloom.llm.common import LOWER, crc_of, distinct, give_back, mix, tidied, word_hashes, written
 
 MU2, MU3 = 200.0, 20.0
 #: A context word of less than this share of the training tokens has no bigram level: 0, so every counted word has one.
@@ -62,6 +63,8 @@ SHARD_TOKENS = 1_200_000
 HOT_GRAMS, GRAM_SAMPLE = 1e-4, 12_000_000
 #: Documents whose tokens are dealt to the shards at a time, and queries that a level answers at a time.
 BATCH_DOCS, QUERIES = 8000, 1 << 16
+_BLANK = re.compile(rb"[ \t-\r]")
+LOWER_FROM, LOWER_TO = slice(65, 91), slice(97, 123)
 #: Identities of the end and the start, in place of a word's hash.
 END, START = np.uint64(1), np.uint64(2)
 #: Log10 probabilities are kept in steps of 1/STEP from 0 down.
@@ -111,12 +114,14 @@ class EliasFano:
         high = np.packbits(unary, bitorder="little").view(np.uint64)
         low = values & np.uint64((1 << low_bits) - 1)
         packed = np.zeros(n * low_bits // 64 + 2, np.uint64)
-        bit = np.arange(n) * low_bits
-        shift = (bit & 63).astype(np.uint64)
-        if low_bits:
-            np.bitwise_or.at(packed, bit >> 6, low << shift)
-            spill = (bit & 63) + low_bits > 64
-            np.bitwise_or.at(packed, (bit[spill] >> 6) + 1, low[spill] >> (np.uint64(64) - shift[spill]))
+        if low_bits and n:
+            bit = np.arange(n) * low_bits
+            shift = (bit & 63).astype(np.uint64)
+            word = bit >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))  # the value that begins first in each word
+            packed[word[first]] = np.bitwise_or.reduceat(low << shift, first)
+            spill = np.flatnonzero((bit & 63) + low_bits > 64)  # one a word at most
+            packed[word[spill] + 1] |= low[spill] >> (np.uint64(64) - shift[spill])
         ones = np.zeros(len(high), np.int32)
         np.cumsum(np.bitwise_count(high[:-1]), out=ones[1:])
         return low_bits, [packed, high, ones, (np.arange(len(high)) * 64 - ones).astype(np.int32)]
@@ -267,10 +272,16 @@ class Trie:
         if total is not None:
             c2 = np.where(total[begin] >= 0, total[begin], c2)
         # u by its rank among the words in front of v
-        front = np.unique(v.astype(np.int64) * n + u)
+        key = v.astype(np.int64) * n + u
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) > 0
+        front = key[order[new]]
+        place = np.empty(len(key), np.int64)
+        place[order] = np.cumsum(new) - 1
+        del key, order, new
         front_v = front // n
         self.front = Level(front_v, front % n, n, store)
-        rank = np.searchsorted(front, v.astype(np.int64) * n + u) - np.searchsorted(front_v, np.arange(n + 1))[v]
+        rank = place - np.searchsorted(front_v, np.arange(n + 1))[v]
         self.second = Level(w[begin].astype(np.int64), v[begin].astype(np.int64), n, store)
         self.third = Level(pair_of, rank, len(begin), store)
         self.p1, self.heavy = (c1 + 0.5) / z, heavy
@@ -332,27 +343,114 @@ def trigrams(w: np.ndarray, v: np.ndarray, u: np.ndarray, n: int) -> tuple[np.nd
 # ---- packing of a batch's tokens by shard ----------------------------------------------------------------------------
 
 
+#: A random number for each byte, and powers of an odd number and of its inverse modulo 2^64, for text of so many bytes at a time.
+_CHUNK = 1 << 19
+_BYTE_NUMBER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+_BYTE_NUMBER[LOWER_FROM] = _BYTE_NUMBER[LOWER_TO]
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(count, base, np.uint64)]), dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_ODD, _CHUNK), _powers(pow(_ODD, -1, 1 << 64), _CHUNK)
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text of _CHUNK bytes at most, A-Z lower-cased, and where each begins.
+
+    A word's hash is the sum of its bytes' numbers times powers of an odd number, counted from its start: differences of one running sum,
+    moved there by the inverse power. So no word is ever an object of its own.
+    """
+    byte = np.frombuffer(raw, np.uint8)
+    inside = ~_IS_BLANK[byte]
+    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    total = np.zeros(len(byte) + 1, np.uint64)
+    np.cumsum(_BYTE_NUMBER[byte] * _UP[: len(byte)], out=total[1:])
+    return mix((total[end] - total[begin]) * _DOWN[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def text_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one behind the other, and the number of words of each text."""
+    counts = np.zeros(len(texts), np.int64)
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    first, size = 0, 0
+
+    def flush(upto: int) -> None:
+        if held:
+            starts = np.cumsum([0, *(len(r) + 1 for r in held)])
+            hashes, begin = _hashed(b" ".join(held))
+            out.append(hashes)
+            counts[first:upto] = np.diff(np.searchsorted(begin, starts))
+            held.clear()
+
+    for i, t in enumerate(texts):
+        raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        if size + len(raw) >= _CHUNK:
+            flush(i)
+            first, size = i, 0
+        if len(raw) >= _CHUNK - 1:  # a long text: in parts that end at blanks; a word of a whole part is hashed by itself
+            for part in _parts(raw):
+                if isinstance(part, np.ndarray):
+                    out.append(part)
+                    counts[i] += 1
+                else:
+                    hashes, _ = _hashed(part)
+                    out.append(hashes)
+                    counts[i] += len(hashes)
+            first = i + 1
+        else:
+            held.append(raw)
+            size += len(raw) + 1
+    flush(len(texts))
+    return np.concatenate([np.zeros(0, np.uint64), *out]), counts
+
+
+def _parts(raw: bytes) -> Iterator[bytes | np.ndarray]:
+    """A long text in parts of under _CHUNK bytes that end at blanks; of a word longer than that, its hash."""
+    at = 0
+    while at < len(raw):
+        part = raw[at : at + _CHUNK - 1]
+        if at + len(part) < len(raw):
+            cut = max(part.rfind(b) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+            if cut < 0:
+                found = _BLANK.search(raw, at)
+                end = found.start() if found else len(raw)
+                yield word_hashes([raw[at:end].translate(LOWER)])
+                at = end
+                continue
+            part = part[: cut + 1]
+        yield part
+        at += len(part)
+
+
 def batch_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the batch's words (and START and END) in order, and for each token its document, w, v and u as indexes in them."""
-    number: defaultdict[bytes, int] = defaultdict(itertools.count(2).__next__)
-    lists, lengths = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = blank_words(t)
-        lengths[i] = len(words) + 3
-        lists += [np.zeros(2, np.int32), np.fromiter(map(number.__getitem__, words), np.int32, len(words)), np.ones(1, np.int32)]
-    flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-    del lists
-    hashes = np.concatenate([np.array([START, END]), word_hashes(number)])
+    words, counts = text_hashes(texts)
+    code, hashes = pd.factorize(words)
+    hashes = np.concatenate([np.array([START, END]), hashes.astype(np.uint64)])
     order = np.argsort(hashes)
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    flat = place[flat]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    token = np.ones(len(flat), bool)
+    # each text: two starts, its words, an end
+    lengths = counts + 3
     starts = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), np.int32)
+    token = np.ones(len(flat), bool)
     token[starts] = token[starts + 1] = False
+    flat[starts] = flat[starts + 1] = place[0]
+    flat[starts + lengths - 1] = place[1]
+    inner = token.copy()
+    inner[starts + lengths - 1] = False
+    flat[inner] = place[code + 2]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts + 1)
     at = np.flatnonzero(token)
-    return hashes[order], doc[at], flat[at], flat[at - 1], flat[at - 2]
+    return hashes[order], doc, flat[at], flat[at - 1], flat[at - 2]
 
 
 def bigram_keys(hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -493,8 +591,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     said = {r["word"]: r["n"] for r in unigrams.filter("word in (2, 3)").collect()}
     train_docs, tokens = said.get(2, 0), said.get(3, 0)
     sums = unigrams.filter("word not in (2, 3)").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train, distinct = sums[0], sums[1]
-    z = n_train + 0.5 * (distinct + 1)
+    n_train, different = sums[0], sums[1]
+    z = n_train + 0.5 * (different + 1)
     hot = max(1.0, HOT * n_train)
     listed = unigrams.filter(F.col("n") >= F.lit(max(1.0, min(HOT, LISTED) * n_train))).filter("word not in (2, 3)").toArrow()  # 1 / LISTED rows at most
     keys = listed.column("word").to_numpy().view(np.uint64)
@@ -560,7 +658,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
                 rare = (lookup(hashes) == 0) & (hashes != START)
                 key = shard_of(hashes, w, v, u)
                 pick = rare[v] & (key < shards)
-                pairs = np.unique(v[pick].astype(np.int64) * shards + key[pick].astype(np.int64))
+                pairs = distinct(v[pick].astype(np.int64) * shards + key[pick].astype(np.int64))
                 word, needed = pairs // shards, pairs % shards
                 home = (mix(hashes[word]) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
