@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, broadcast_if_small, mix, tidied, written
+from turnloom.llm.common import blank_words, broadcast_if_small, distinct, mix, tidied, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -61,7 +61,7 @@ def shingle_set(words: list[bytes], size: int = SHINGLE, known: dict[bytes, int]
     out = np.full(n, min(size, len(words)), np.uint64)
     for k in range(min(size, len(words))):
         out = mix(out ^ h[k : k + n])
-    return np.unique(out)
+    return distinct(out)
 
 
 def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
