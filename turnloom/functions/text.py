@@ -80,10 +80,15 @@ def regime_text(kind: Column | str, models: Column | str, k_rolls: Column | str)
     )
 
 
+def two_places(x: Column | str) -> Column:
+    """A number to two places; halves that a double holds exactly (eighths) go to the even neighbour."""
+    return F.format_string("%.2f", F.when((col(x) * 8) % 1 == 0, F.bround(col(x).cast("double"), 2)).otherwise(col(x).cast("double")))
+
+
 def mean_text(mean: Column | str, half: Column | str, least: Column | str, n: Column | str) -> Column:
     """SCA-08, SCA-19: a mean with its half-width, if known, its minimum and number of values."""
-    spread = F.when(col(half).isNotNull(), F.format_string(" ± %.2f", col(half))).otherwise("")
-    said = F.concat(F.format_string("%.2f", col(mean)), spread, F.format_string(" (min %.2f), N = ", col(least)), col(n).cast("string"))
+    spread = F.when(col(half).isNotNull(), F.concat(F.lit(" ± "), two_places(half))).otherwise("")
+    said = F.concat(two_places(mean), spread, F.lit(" (min "), two_places(least), F.lit("), N = "), col(n).cast("string"))
     return F.when(col(mean).isNull() | (col(n) == 0), "no data").otherwise(said)
 
 
@@ -233,3 +238,43 @@ def digest_line(turn: Column, text: Column, reasoning: Column, calls: Column, re
     thought = F.when(F.coalesce(reasoning, F.lit("")) != "", F.concat(F.lit("[THINKING] "), reasoning))
     line = F.concat_ws(" ", F.concat(turn.cast("string"), F.lit(":")), thought, F.nullif(text, F.lit("")), parts, marked("TARGET", replies), marked("DELEGATES", goals))
     return F.replace(line, F.lit("\n"), F.lit(" "))
+
+
+def iso(stamp: Column | str) -> Column:
+    """EXT-09: a stamp as ISO-8601 text with milliseconds, NULL of none."""
+    return F.date_format(col(stamp), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+#: The ends and the middle of the colour ramps, the colour of no fact, and the inks on them.
+RAMP_LOW, RAMP_MID, RAMP_HIGH = (212, 11, 35), (247, 247, 247), (16, 77, 106)
+NEUTRAL, LIGHT_INK, DARK_INK, DARK_INK_LUMINANCE = "#f4f4f4", "#fff", "#212529", 0.0172
+
+
+def _between(low: tuple[int, int, int], high: tuple[int, int, int], part: Column) -> list[Column]:
+    return [F.bround(F.lit(float(a)) + F.lit(float(b - a)) * part, 0).cast("int") for a, b in zip(low, high, strict=True)]
+
+
+def _rgb(channels: list[Column]) -> Column:
+    return F.concat(F.lit("rgb("), F.concat_ws(",", *[c.cast("string") for c in channels]), F.lit(")"))
+
+
+def health_colour(x: Column | str) -> Column:
+    """SCA-12: a 0-1 value between red, pale and steel; the neutral colour of NULL."""
+    v = F.greatest(F.least(col(x).cast("double"), F.lit(1.0)), F.lit(0.0))
+    return F.when(col(x).isNull(), NEUTRAL).when(v < 0.5, _rgb(_between(RAMP_LOW, RAMP_MID, v / 0.5))).otherwise(_rgb(_between(RAMP_MID, RAMP_HIGH, (v - 0.5) / 0.5)))
+
+
+def share_colour(x: Column | str) -> Column:
+    """SCA-12: a share between pale and steel; the neutral colour of none."""
+    v = F.least(col(x).cast("double"), F.lit(1.0))
+    return F.when(col(x).isNull() | (v <= 0), NEUTRAL).otherwise(_rgb(_between(RAMP_MID, RAMP_HIGH, v)))
+
+
+def ink(background: Column | str) -> Column:
+    """SCA-12: of the light and the dark ink the one that contrasts more with a background (rgb(...) or #rrggbb)."""
+    b = col(background)
+    parts = F.split(F.regexp_replace(b, r"[^0-9,]", ""), ",")
+    channel = lambda i: F.when(b.startswith("rgb("), F.get(parts, F.lit(i)).try_cast("int")).otherwise(F.conv(F.substring(b, 2 + 2 * i, 2), 16, 10).try_cast("int")) / 255
+    linear = lambda s: F.when(s <= 0.03928, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
+    luminance = 0.2126 * linear(channel(0)) + 0.7152 * linear(channel(1)) + 0.0722 * linear(channel(2))
+    return F.when(1.05 / (luminance + 0.05) > (luminance + 0.05) / (DARK_INK_LUMINANCE + 0.05), LIGHT_INK).otherwise(DARK_INK)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.shared import written
+
 #: Span types whose calls are off the axis, and roles of an audited pair.
 OFF_AXIS_SPANS = ["init", "scorers", "scorer"]
 AUDITOR, TARGET = "auditor", "target"
+#: Levels of a span tree beyond which a walk is an error.
+DEPTH = 1000
 
 
 def before(*partition: str, order: str = "ev"):
@@ -65,32 +69,32 @@ def axis_role(turns: DataFrame) -> DataFrame:
 # ---- span trees -----------------------------------------------------------------------------------------------------
 
 
-def lineage(spans: DataFrame, depth: int = 64) -> DataFrame:
+def lineage(spans: DataFrame, depth: int = DEPTH) -> DataFrame:
     """AXS-09: (transcript_id, span_id, ancestor_id, depth) for every ancestor, the span itself at depth 0.
 
-    Cycle-safe: a walk stops at a span that it has seen, or after `depth` steps.
+    Cycle-safe: a walk stops at a span that it has seen. A tree of more than `depth` levels is an error, never cut.
     """
     return spans.sparkSession.sql(
         f"""
-        WITH RECURSIVE up(transcript_id, span_id, ancestor_id, next_id, depth, seen) AS (
+        WITH RECURSIVE up(transcript_id, span_id, ancestor_id, next_id, depth, seen) MAX RECURSION LEVEL {depth} AS (
           SELECT transcript_id, span_id, span_id, parent_id, 0, array(span_id) FROM {{spans}}
           UNION ALL
           SELECT u.transcript_id, u.span_id, s.span_id, s.parent_id, u.depth + 1, array_append(u.seen, s.span_id)
           FROM up u JOIN {{spans}} s ON s.transcript_id = u.transcript_id AND s.span_id = u.next_id
-          WHERE u.depth < {depth} AND NOT array_contains(u.seen, s.span_id))
+          WHERE NOT array_contains(u.seen, s.span_id))
         SELECT transcript_id, span_id, ancestor_id, depth FROM up""",
         spans=spans.select("transcript_id", "span_id", "parent_id"),
     )
 
 
-def nearest_lane(spans: DataFrame, depth: int = 64) -> DataFrame:
+def nearest_lane(spans: DataFrame, depth: int = DEPTH, ways: DataFrame | None = None) -> DataFrame:
     """AXS-08: for each span the nearest ancestor (or itself) that is a lane or an agent span, if that is a lane.
 
-    spans has is_lane and is_agent.
+    spans has is_lane and is_agent. ways: their `lineage`, where it is known.
     """
     blocking = spans.filter("is_lane or is_agent").select("transcript_id", F.col("span_id").alias("ancestor_id"), "is_lane")
     return (
-        lineage(spans, depth)
+        (lineage(spans, depth) if ways is None else ways)
         .join(blocking, ["transcript_id", "ancestor_id"])
         .groupBy("transcript_id", "span_id")
         .agg(F.min_by(F.when(F.col("is_lane"), F.col("ancestor_id")), "depth").alias("lane_id"))
@@ -110,16 +114,16 @@ def main_span(spans: DataFrame, events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("child"))
     )
     return spans.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(transcript_id, at, held, n, child, depth) AS (
+        f"""
+        WITH RECURSIVE walk(transcript_id, at, held, n, child, depth) MAX RECURSION LEVEL {DEPTH} AS (
           SELECT t.transcript_id, '', h.holds, c.n, c.child, 0
-          FROM {all} t LEFT JOIN {holds} h ON h.transcript_id = t.transcript_id AND h.span_id = ''
-          LEFT JOIN {child} c ON c.transcript_id = t.transcript_id AND c.at = ''
+          FROM {{all}} t LEFT JOIN {{holds}} h ON h.transcript_id = t.transcript_id AND h.span_id = ''
+          LEFT JOIN {{child}} c ON c.transcript_id = t.transcript_id AND c.at = ''
           UNION ALL
           SELECT w.transcript_id, w.child, h.holds, c.n, c.child, w.depth + 1
-          FROM walk w LEFT JOIN {holds} h ON h.transcript_id = w.transcript_id AND h.span_id = w.child
-          LEFT JOIN {child} c ON c.transcript_id = w.transcript_id AND c.at = w.child
-          WHERE w.held IS NULL AND w.n = 1 AND w.depth < 64)
+          FROM walk w LEFT JOIN {{holds}} h ON h.transcript_id = w.transcript_id AND h.span_id = w.child
+          LEFT JOIN {{child}} c ON c.transcript_id = w.transcript_id AND c.at = w.child
+          WHERE w.held IS NULL AND w.n = 1)
         SELECT transcript_id, max_by(CASE WHEN held THEN at END, depth) AS main_id,
           CASE WHEN max_by(held, depth) THEN NULL WHEN max_by(n, depth) > 1 THEN 'several agent spans' ELSE 'no model turn' END AS error
         FROM walk GROUP BY transcript_id""",
@@ -129,13 +133,13 @@ def main_span(spans: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def subagent_spans(spans: DataFrame, main: DataFrame, depth: int = 64) -> DataFrame:
-    """AXS-06: agent spans that are neither main, nor above it, nor utility."""
-    above = lineage(spans, depth).join(main.select("transcript_id", F.col("main_id").alias("span_id")), ["transcript_id", "span_id"])
+def subagent_spans(spans: DataFrame, main: DataFrame, depth: int = DEPTH, ways: DataFrame | None = None) -> DataFrame:
+    """AXS-06: agent spans that are neither main, nor above it, nor utility. ways: the spans' `lineage`, where it is known."""
+    above = (lineage(spans, depth) if ways is None else ways).join(main.select("transcript_id", F.col("main_id").alias("span_id")), ["transcript_id", "span_id"])
     return spans.filter("type = 'agent' and not utility").join(above.select("transcript_id", F.col("ancestor_id").alias("span_id")), ["transcript_id", "span_id"], "left_anti")
 
 
-def role_lanes(spans: DataFrame, turns: DataFrame, main: DataFrame, role: str, depth: int = 64) -> DataFrame:
+def role_lanes(spans: DataFrame, turns: DataFrame, main: DataFrame, role: str, depth: int = DEPTH) -> DataFrame:
     """AXS-07: spans that hold turns of other roles and none of the axis role, outside agent, tool and phase spans."""
     held = turns.groupBy("transcript_id", "span_id").agg(F.bool_or(F.coalesce(F.col("role") == role, F.lit(False))).alias("axis"), F.bool_or(F.col("role").isNotNull() & (F.col("role") != role)).alias("other"))
     ways = lineage(spans, depth)
@@ -147,7 +151,7 @@ def role_lanes(spans: DataFrame, turns: DataFrame, main: DataFrame, role: str, d
     )
 
 
-def auditor_span(spans: DataFrame, turns: DataFrame, depth: int = 64) -> DataFrame:
+def auditor_span(spans: DataFrame, turns: DataFrame, depth: int = DEPTH) -> DataFrame:
     """AXS-10: the outermost span with auditor turns, phase and tool spans aside; two unrelated ones are an error."""
     holds = turns.filter(F.col("role") == AUDITOR).select("transcript_id", "span_id").distinct().join(spans.filter(~F.col("type").isin("tool", *OFF_AXIS_SPANS)), ["transcript_id", "span_id"], "left_semi")
     inner = lineage(spans, depth).filter("depth > 0").join(holds.withColumnRenamed("span_id", "ancestor_id"), ["transcript_id", "ancestor_id"], "left_semi").select("transcript_id", "span_id")
@@ -156,12 +160,12 @@ def auditor_span(spans: DataFrame, turns: DataFrame, depth: int = 64) -> DataFra
     )
 
 
-def lanes(events: DataFrame, spans: DataFrame, depth: int = 64) -> DataFrame:
+def lanes(events: DataFrame, spans: DataFrame, depth: int = DEPTH) -> DataFrame:
     """AXS-11: (transcript_id, ev, is_main, lane_id, lane_kind) of every event, from one pass over the span tree."""
-    main = main_span(spans, events)
-    agents = subagent_spans(spans, main, depth).select("transcript_id", "span_id", F.lit(True).alias("is_lane"))
+    main, ways = written(main_span(spans, events), "main"), written(lineage(spans, depth), "lineage")
+    agents = subagent_spans(spans, main, depth, ways).select("transcript_id", "span_id", F.lit(True).alias("is_lane"))
     marked = spans.join(agents, ["transcript_id", "span_id"], "left").select("transcript_id", "span_id", "parent_id", F.coalesce("is_lane", F.lit(False)).alias("is_lane"), (F.col("type") == "agent").alias("is_agent"))
-    near = nearest_lane(marked, depth)
+    near = nearest_lane(marked, depth, ways)
     return (
         events.join(main.filter("error is null").select("transcript_id", "main_id"), "transcript_id")
         .join(near, ["transcript_id", "span_id"], "left")
@@ -242,3 +246,26 @@ def place_spans(spans: DataFrame, cells: DataFrame) -> DataFrame:
 def n_turns(timeline: DataFrame) -> DataFrame:
     """FRM-18: axis turns of each transcript."""
     return timeline.filter("turn is not null").groupBy("transcript_id").agg((F.max("turn") + 1).alias("n_turns"))
+
+
+def span_records(events: DataFrame) -> DataFrame:
+    """EXT-02: one row a lane span: the turn before its begin (floor 0), first and last activity, its recorded end, and the turn before that.
+
+    events: transcript_id, ev, kind (span_begin, span_end, model, tool, others), span_id (of a begin or end its own, else the lane), turn, started,
+    completed. Activity in front of the begin doesn't count, as the span isn't known yet.
+    """
+    seen = anchor_turn(events).filter("span_id is not null and kind in ('span_begin', 'span_end', 'model', 'tool')")
+    keys = ["transcript_id", "span_id"]
+    begin = seen.filter("kind = 'span_begin'").groupBy(*keys).agg(F.max("ev").alias("_begin"), F.max_by("anchor_turn", "ev").alias("spawn_turn"))
+    rest = seen.filter("kind <> 'span_begin'").join(begin.select(*keys, "_begin"), keys).filter("ev > _begin")
+    at_end, active = F.col("kind") == "span_end", F.col("kind").isin("model", "tool")
+    facts = rest.groupBy(*keys).agg(
+        F.min(F.when(active, F.col("started"))).alias("first_at"), F.max(F.when(active, F.coalesce("completed", "started"))).alias("last_at"),
+        F.max_by(F.when(at_end, F.col("started")), F.when(at_end, F.col("ev"))).alias("end_at"), F.max_by("anchor_turn", F.when(at_end, F.col("ev"))).alias("order_end_turn"), F.bool_or(at_end).alias("end_recorded"),
+    )
+    return begin.drop("_begin").join(facts, keys, "left").withColumn("end_recorded", F.coalesce("end_recorded", F.lit(False)))
+
+
+def run_role(turns: DataFrame) -> DataFrame:
+    """SCA-18: the one role that a transcript's axis turns record, NULL if they record several or none."""
+    return turns.groupBy("transcript_id").agg(F.when(F.count_distinct("role") == 1, F.max("role")).alias("role"))

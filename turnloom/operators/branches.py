@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.axis import before
+from turnloom.operators.axis import DEPTH, before
 from turnloom.operators.phases import islands
 
 
@@ -25,7 +25,7 @@ def target_calls(events: DataFrame) -> DataFrame:
 def stored_tree(timelines: DataFrame) -> DataFrame:
     """BRN-02: the one timeline named target (or ending so) with a branch root, else a note."""
     own = timelines.filter("(name = 'target' or endswith(name, '-target')) and has_branches")
-    return own.groupBy("transcript_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).alias("name"), F.when(F.count(F.lit(1)) > 1, "several target timelines").alias("note"))
+    return own.groupBy("transcript_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).alias("name"), F.when(F.count(F.lit(1)) > 1, "more than one timeline is a target's").alias("note"))
 
 
 def branches(calls: DataFrame, anchors: DataFrame, rollbacks: DataFrame) -> DataFrame:
@@ -41,19 +41,19 @@ def branches(calls: DataFrame, anchors: DataFrame, rollbacks: DataFrame) -> Data
     return a.select("transcript_id", "branch", "parent", F.coalesce("n_calls", F.lit(0)).alias("n_calls")).join(fork, ["transcript_id", "branch"]).join(undo, ["transcript_id", "branch"], "left")
 
 
-def surviving(tree: DataFrame, last: DataFrame, depth: int = 64) -> DataFrame:
+def surviving(tree: DataFrame, last: DataFrame, depth: int = DEPTH) -> DataFrame:
     """BRN-04: calls on the way from the last one back to the root: (transcript_id, branch, upto): the first `upto` calls of each branch.
 
-    tree: transcript_id, branch, parent, fork_after; last: transcript_id, branch, n (calls of it that survive).
+    tree: transcript_id, branch, parent, fork_after; last: transcript_id, branch, n (calls of it that survive). More than `depth` levels are an error.
     """
     return tree.sparkSession.sql(
         f"""
-        WITH RECURSIVE path(transcript_id, branch, upto, depth) AS (
-          SELECT transcript_id, branch, CAST(n AS BIGINT), 0 FROM {{last}}
+        WITH RECURSIVE path(transcript_id, branch, upto) MAX RECURSION LEVEL {depth} AS (
+          SELECT transcript_id, branch, CAST(n AS BIGINT) FROM {{last}}
           UNION ALL
-          SELECT p.transcript_id, t.parent, CAST(t.fork_after AS BIGINT), p.depth + 1
+          SELECT p.transcript_id, t.parent, CAST(t.fork_after AS BIGINT)
           FROM path p JOIN {{tree}} t ON t.transcript_id = p.transcript_id AND t.branch = p.branch
-          WHERE t.parent IS NOT NULL AND p.depth < {depth})
+          WHERE t.parent IS NOT NULL)
         SELECT transcript_id, branch, upto FROM path""",
         tree=tree.select("transcript_id", "branch", "parent", "fork_after"),
         last=last.select("transcript_id", "branch", "n"),
@@ -72,15 +72,15 @@ def file_calls(calls: DataFrame, per_turn: DataFrame) -> DataFrame:
     return calls.join(p, ["transcript_id", "driver_turn"], "left")
 
 
-def diagram(tree: DataFrame, depth: int = 64) -> DataFrame:
-    """BRN-06: where each branch starts on the diagram: its parent's start and the calls before the fork."""
+def diagram(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """BRN-06: where each branch starts on the diagram: its parent's start and the calls before the fork. More than `depth` levels are an error."""
     return tree.sparkSession.sql(
         f"""
-        WITH RECURSIVE at(transcript_id, branch, start, depth) AS (
-          SELECT transcript_id, branch, CAST(0 AS BIGINT), 0 FROM {{tree}} WHERE parent IS NULL
+        WITH RECURSIVE at(transcript_id, branch, start) MAX RECURSION LEVEL {depth} AS (
+          SELECT transcript_id, branch, CAST(0 AS BIGINT) FROM {{tree}} WHERE parent IS NULL
           UNION ALL
-          SELECT a.transcript_id, t.branch, CAST(a.start + t.fork_after AS BIGINT), a.depth + 1
-          FROM at a JOIN {{tree}} t ON t.transcript_id = a.transcript_id AND t.parent = a.branch WHERE a.depth < {depth})
+          SELECT a.transcript_id, t.branch, CAST(a.start + t.fork_after AS BIGINT)
+          FROM at a JOIN {{tree}} t ON t.transcript_id = a.transcript_id AND t.parent = a.branch)
         SELECT transcript_id, branch, start FROM at""",
         tree=tree.select("transcript_id", "branch", "parent", "fork_after"),
     )
@@ -90,3 +90,15 @@ def exchange_items(calls: DataFrame) -> DataFrame:
     """WIN-18: neighbouring calls of one driving turn as one item."""
     g = islands(calls, ["transcript_id"], "number", ["driver_turn"])
     return g.groupBy("transcript_id", "island", "driver_turn").agg(F.min("number").alias("first_call"), F.max("number").alias("last_call"), F.count(F.lit(1)).alias("n_calls")).drop("island")
+
+
+def error_text(error: Column | str) -> Column:
+    """BRN-07: the message of a recorded error (JSON), or the text itself where it is none; NULL of nothing."""
+    e = F.nullif(F.trim(F.col(error) if isinstance(error, str) else error), F.lit(""))
+    return F.coalesce(F.when(e.startswith("{"), F.get_json_object(e, "$.message")), e)
+
+
+def noted(found: DataFrame, wanted: DataFrame, note: str) -> DataFrame:
+    """BRN-07: every wanted transcript, with a note where nothing could be extracted for it."""
+    have = found.select("transcript_id").distinct().withColumn("_have", F.lit(True))
+    return wanted.select("transcript_id").distinct().join(have, "transcript_id", "left").select("transcript_id", F.when(F.col("_have").isNull(), F.lit(note)).alias("note"))

@@ -113,3 +113,51 @@ def generic(results: DataFrame) -> DataFrame:
     """FRM-14: identity, and the value's top-level keys as a map of JSON texts."""
     ok = clean(results)
     return ok.select(*identity(ok), F.from_json("value", "map<string,string>").alias("value"))
+
+
+def phases_table(results: DataFrame, schema: str, per_turn: DataFrame | None = None, views: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """FRM-06: one row a stitched phase: identity, position, its fields, the flattened review, the setup, the audit's counts, and what it spent.
+
+    schema: phases (an array of structs with phase, turn_start, turn_end, ..., verifier), verifier, judge, cohort, narrator. The audit's counts are NULL
+    where no verifier ran. Spend needs the dense map (per_turn) and the token views, delegation the sub-agent lanes; without them these columns are
+    NULL, with an empty table of lanes the number of spawns is 0.
+    """
+    d = decoded(clean(results), schema)
+    audit, ran = F.col("value.verifier"), F.coalesce(F.col("value.verifier.ran"), F.lit(False))
+    counts = [F.when(ran, audit[f.name]).alias(f"verifier_{f.name}") for f in d.schema["value"].dataType["verifier"].dataType.fields if f.name.startswith("n_")]
+    each = d.select(*identity(d), audit["verifier_model"].alias("verifier_model"), F.col("value.narrator.narrator_model").alias("narrator_model"), F.col("value.cohort.agreement.n_members").alias("n_members"), F.col("value.judge").alias("_judge"), *counts, F.posexplode("value.phases").alias("phase_index", "_p"))
+    own = [f.name for f in each.schema["_p"].dataType.fields if f.name != "verifier"]
+    flat = each.withColumn("_review", F.col("_p.verifier")).select(*[c for c in each.columns if c not in ("_p", "_judge")], *[F.col(f"_p.{c}").alias(c) for c in own], *review_columns("_review"), *judge_columns("_judge"))
+    flat = flat.withColumn("phase_index", F.col("phase_index").cast("bigint"))
+    keys = ["transcript_id", "phase_index"]
+    none = F.lit(None).cast("bigint")
+    if per_turn is not None and views is not None:
+        turn = views.filter("turn is not null").groupBy("transcript_id", "turn").agg(F.sum("new_work").alias("_spend"))
+        spent = per_turn.filter("phase_index is not null").join(turn, ["transcript_id", "turn"], "left").groupBy(*keys).agg(F.sum("_spend").alias("new_work_tokens"))
+        flat = flat.join(spent, keys, "left")
+    else:
+        flat = flat.withColumn("new_work_tokens", none)
+    if spans is None:
+        return stamped(flat.withColumn("delegated_new_work_tokens", none).withColumn("n_subagents", none))
+    lanes = spans.filter("lane_kind = 'subagent'").select(F.col("transcript_id").alias("_t"), "spawn_turn", F.col("new_work").alias("_spend"))
+    inside = (F.col("transcript_id") == F.col("_t")) & F.col("spawn_turn").between(F.col("turn_start"), F.col("turn_end"))
+    sent = flat.select(*keys, "turn_start", "turn_end").join(lanes, inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_subagents"), F.sum("_spend").alias("delegated_new_work_tokens"))
+    return stamped(flat.join(sent, keys, "left").fillna(0, ["n_subagents"]))
+
+
+def looked_up(frame: DataFrame, words: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """JON-14: the frame with what a lookup table says of a column's value, NULL where it says nothing. words: one row a value, under the key's name."""
+    return frame.join(words.select(key, *columns), key, "left")
+
+
+def by_position(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """JON-15: rows of two tables with one place in their group's order; the longer side's rest has NULLs."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    place = lambda df: df.withColumn("position", F.row_number().over(w) - 1).drop(order)
+    return place(left).join(place(right), [*keys, "position"], "full")
+
+
+def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """SET-04: the last row of each key."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

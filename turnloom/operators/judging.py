@@ -77,8 +77,8 @@ def evidence(phases: DataFrame, digests: DataFrame, cap: int = EVIDENCE_LINES) -
 
 def calls(prompts: DataFrame, who: list[Member], system: str) -> DataFrame:
     """One row a call: prompt_key, model, roll, system, prompt. The key is a hash of all that the answer depends on."""
-    m = prompts.sparkSession.createDataFrame([(x.model, x.roll) for x in who], "model string, roll int")
-    return prompts.crossJoin(F.broadcast(m)).withColumn("system", F.lit(system)).withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", "system", "prompt"), 256))
+    m = F.array(*[F.struct(F.lit(x.model).alias("model"), F.lit(x.roll).alias("roll")) for x in who])
+    return prompts.select("*", F.explode(m).alias("_m")).select(*prompts.columns, "_m.model", "_m.roll").withColumn("system", F.lit(system)).withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", "system", "prompt"), 256))
 
 
 # ---- answers -------------------------------------------------------------------------------------------------------------

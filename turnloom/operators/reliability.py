@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.frames import last_of
+from turnloom.shared import written
 from turnloom.schema import CI_MIN_N, LABEL_SOURCES, RELABEL_WARN, RELIABLE, SUSPICIOUS_K_ROLL, TENTATIVE, UNJUDGED_WARN, Z
 
 
@@ -24,14 +26,17 @@ def regime(frame: DataFrame) -> DataFrame:
     )
 
 
-def _counts(votes: DataFrame, unit: list[str], scope: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Counts n of (unit, label), and per unit m ratings with the sum of squares; NULL units and labels don't count."""
+def _counts(votes: DataFrame, unit: list[str], scope: list[str]) -> DataFrame:
+    """Counts n of (unit, label); NULL units and labels don't count."""
     rated = votes.filter(F.col("label").isNotNull())
     for c in unit:
         rated = rated.filter(F.col(c).isNotNull())
-    n = rated.groupBy(*scope, *unit, "label").agg(F.count(F.lit(1)).alias("n"))
-    m = n.groupBy(*scope, *unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("m >= 2")
-    return n, m
+    return rated.groupBy(*scope, *unit, "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(n: DataFrame, unit: list[str], scope: list[str]) -> DataFrame:
+    """Per unit of two ratings at least their number m, and the sum of squares by label."""
+    return n.groupBy(*scope, *unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("m >= 2")
 
 
 def agreement(votes: DataFrame, unit: list[str], scope: list[str] | None = None) -> DataFrame:
@@ -41,7 +46,8 @@ def agreement(votes: DataFrame, unit: list[str], scope: list[str] | None = None)
     prevalence and is NULL below two labels. No matrix: two aggregations by unit, one by label.
     """
     scope = scope or []
-    n, m = _counts(votes, unit, scope)
+    n = written(_counts(votes, unit, scope), "label-counts")  # both aggregations read it
+    m = _pairs(n, unit, scope)
     by_label = n.join(m.select(*scope, *unit), [*scope, *unit], "left_semi").groupBy(*scope, "label").agg(F.sum("n").alias("c"))
     labels = by_label.groupBy(*scope).agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("ratings"), F.sum(F.col("c") * F.col("c")).alias("cc"))
     pairs = m.groupBy(*scope).agg(
@@ -90,8 +96,7 @@ def tiers(values: DataFrame, value: str, high: float = RELIABLE, low: float = TE
 def review_units(phases: DataFrame) -> DataFrame:
     """REL-06: the original reviews in phases' lists, one a transcript and original phase (the last written wins)."""
     each = phases.select("transcript_id", "phase_index", F.posexplode("verifier_reviews").alias("pos", "r")).select("transcript_id", "phase_index", "pos", "r.*")
-    rank = Window.partitionBy("transcript_id", "original_phase_index").orderBy(F.desc("phase_index"), F.desc("pos"))
-    return completed(each.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r", "pos", "phase_index"))
+    return completed(last_of(each, ["transcript_id", "original_phase_index"], ["phase_index", "pos"]).drop("pos", "phase_index"))
 
 
 def completed(reviews: DataFrame) -> DataFrame:
@@ -170,13 +175,58 @@ def collection(units: DataFrame, ballots: DataFrame, vocabulary: DataFrame) -> D
     units: transcript_id, unit, setup, n_members, label; ballots: transcript_id, unit, model, roll, label; vocabulary:
     transcript_id, label. A duplicate ballot is an error on its group's row.
     """
+    own_scope = ["setup", "vocabulary"]
     words = vocabulary.groupBy("transcript_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("vocabulary"))
     group = units.select("transcript_id", "setup", "n_members").distinct().join(words, "transcript_id")
     seen = units.filter("label is not null").join(group.select("transcript_id", "vocabulary"), "transcript_id").groupBy("setup", "vocabulary").agg(
         F.count_distinct("transcript_id").alias("scope"), F.count(F.lit(1)).alias("seen"), F.sum("n_members").alias("expected")
     )
-    own = ballots.filter("label is not null").join(units.filter("label is not null").select("transcript_id", "unit").distinct(), ["transcript_id", "unit"], "left_semi").join(group.select("transcript_id", "setup", "vocabulary"), "transcript_id")
+    own = ballots.filter("label is not null").join(units.filter("label is not null").select("transcript_id", "unit").distinct(), ["transcript_id", "unit"], "left_semi").join(group.select("transcript_id", *own_scope), "transcript_id")
+    own = written(own.select(*own_scope, "transcript_id", "unit", "model", "roll", "label"), "own-ballots")
     once = own.groupBy("setup", "vocabulary", "transcript_id", "unit", "model", "roll").agg(F.count(F.lit(1)).alias("k"))
     n = once.groupBy("setup", "vocabulary").agg(F.sum("k").alias("ballots"), F.max("k").alias("_k"))
     stat = agreement(own, ["transcript_id", "unit"], ["setup", "vocabulary"])
     return seen.join(n, ["setup", "vocabulary"], "left").join(stat, ["setup", "vocabulary"], "left").withColumn("error", F.when(F.col("_k") > 1, "duplicate ballots")).drop("_k")
+
+
+def setups(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """SET-03: the different setups, and the transcripts of each."""
+    return rows.groupBy(*columns).agg(F.count_distinct("transcript_id").alias("transcripts"))
+
+
+def entity_audit(units: DataFrame, votes: DataFrame, reviews: DataFrame, unit: list[str], declared: DataFrame, status: tuple[str, str, list[str]]) -> dict[str, DataFrame]:
+    """REL-16: all statistics of one judged surface (phases, sub-agents or a layer) by name, and its flags.
+
+    units: unit, label (NULL: no judgement), label_source, agreement, confidence, attempted; votes: unit, model, roll, label and the status column; reviews:
+    completed, overturned, trigger, original_label; declared: label, ord; status: its column, the good value and the reasons of misses.
+    """
+    decided = units.filter("label is not null")
+    out = {
+        "agreement": agreement(votes, unit),
+        "confidence": mean_stat(units, "confidence"),
+        "k_roll": mean_stat(units, "agreement"),
+        "tiers": tiers(units, "confidence"),
+        "relabel": relabel_rate(reviews),
+        "spot_check": spot_check(reviews),
+        "labels": label_stats(decided, votes, reviews, unit, declared),
+        "coverage": member_coverage(votes, *status),
+        "provenance": provenance(decided, declared.select("label")),
+    }
+    tried = units.filter("attempted")
+    unjudged = tried.agg((F.count_if(F.col("label").isNull()) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("value"))
+    stats = [
+        out["agreement"].select(F.lit("alpha").alias("metric"), F.col("alpha").alias("value")),
+        out["relabel"].select(F.when(F.col("overall"), "relabel").otherwise("relabel_label").alias("metric"), F.col("relabel_rate").alias("value")),
+        out["spot_check"].select(F.lit("spot_check").alias("metric"), F.col("overturned_rate").alias("value")),
+        unjudged.select(F.lit("unjudged").alias("metric"), "value"),
+    ]
+    every = stats[0]
+    for s in stats[1:]:
+        every = every.unionByName(s)
+    return out | {"flags": flags(every)}
+
+
+def unauditable(name: str, frame: DataFrame, columns: list[str]) -> str | None:
+    """REL-16: why a layer can't be audited, to be said in its block; None if it can."""
+    missing = [c for c in columns if c not in frame.columns]
+    return f"{name} can't be audited: it lacks {', '.join(missing)}" if missing else None

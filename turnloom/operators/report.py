@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
@@ -117,3 +117,54 @@ def judge_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
 def first_known(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """AGG-17: of each column the first value that isn't NULL, in order."""
     return rows.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def stat_cell(mean: Column, half: Column, n: Column) -> Column:
+    """RPT-10: a mean with its half-width, and the colours of its cell."""
+    said = F.concat(tx.two_places(mean), F.when(half.isNotNull(), F.concat(F.lit(" ± "), tx.two_places(half))).otherwise(""))
+    known = mean.isNotNull() & (n > 0)
+    return _cell(F.when(known, said).otherwise("n/a"), F.when(known, mean))
+
+
+def rate_cell(count: Column, of: Column, low: Column, high: Column, unit: str, empty: str, invert: bool = True) -> Column:
+    """RPT-10: a share in percent, its interval, the counts, and colours; inverted, a high share is an unhealthy one."""
+    part = F.when(of > 0, count / of)
+    percent = lambda x: F.format_string("%.0f%%", F.bround(x * 100, 0))
+    ci = F.concat(F.lit("["), percent(low), F.lit("–"), percent(high), F.lit("]"))
+    told = F.concat_ws(" ", percent(part), ci, F.concat(count.cast("string"), F.lit("/"), of.cast("string"), F.lit(f" {unit}")))
+    return _cell(F.when(part.isNotNull(), told).otherwise(empty), 1 - part if invert else part)
+
+
+def count_cell(count: Column, asked: Column) -> Column:
+    """RPT-10: misses, coloured by the share that is left."""
+    return _cell(count.cast("string"), F.when(asked > 0, 1 - count / asked))
+
+
+def _cell(text: Column, health: Column) -> Column:
+    background = tx.health_colour(health)
+    return F.struct(text.alias("text"), background.alias("background"), tx.ink(background).alias("ink"))
+
+
+def inline_flags(flags: DataFrame) -> DataFrame:
+    """RPT-10: an entity's flags as lines of its own section, red ones first."""
+    line = F.concat_ws(" ", F.upper("level"), "metric", tx.two_places("value"))
+    return flags.select(F.when(F.col("level") == "red", 0).otherwise(1).alias("rank"), "metric", "value", line.alias("line"))
+
+
+def turn_chart(frame: DataFrame, y: str) -> DataFrame:
+    """RPT-11: bars of a layer's column on the turn axis: 0.8 of a turn wide, and a whole turn to point at."""
+    t, v = F.col("turn").cast("int"), F.col(y).cast("double")
+    return frame.filter(F.col("turn").isNotNull() & F.col(y).isNotNull()).select("transcript_id", t.alias("turn"), v.alias("y"), (t - 0.4).alias("x1"), (t + 0.4).alias("x2"), (t - 0.5).alias("tip_x1"), (t + 0.5).alias("tip_x2"))
+
+
+def section_rows(frame: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """RPT-11: a layer's rows by the transcript whose section shows them; a layer without transcripts is shown in all. Transcripts: one row each."""
+    if "transcript_id" in frame.columns:
+        return frame.join(transcripts.select("transcript_id"), "transcript_id", "left_semi")
+    return transcripts.select("transcript_id").crossJoin(frame)  # a layer of its own, shown once a transcript by what it is
+
+
+def markdown_safe(x: Column | str) -> Column:
+    """RPT-11: markdown without raw HTML and images: marks of either are escaped."""
+    escaped = F.replace(F.replace(F.replace(tx.col(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(escaped, F.lit("!["), F.lit("\\!["))

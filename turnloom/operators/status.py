@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.shared import written
+
 USAGE = "map<string,struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint,input_tokens_cache_read:bigint,input_tokens_cache_write:bigint,reasoning_tokens:bigint,total_cost:double>>"
 
 
@@ -80,6 +82,12 @@ def select_runs(runs: DataFrame, sample: str | None = None, epochs: list[int] |
     return own.filter(F.col("epoch").isin(epochs))
 
 
-def ordered(runs: DataFrame) -> DataFrame:
-    """SRT-03: transcripts by agent, sample and epoch."""
-    return runs.select("agent", "sample_id", "epoch", "transcript_id").distinct().withColumn("position", F.row_number().over(Window.orderBy("agent", "sample_id", "epoch", "transcript_id")) - 1)
+def ordered(runs: DataFrame, ranges: int = 64) -> DataFrame:
+    """SRT-03: transcripts by agent, sample and epoch. Ranges of that order are numbered each by itself and moved on by the rows of those before."""
+    order = ["agent", "sample_id", "epoch", "transcript_id"]
+    dealt = runs.select(*order).distinct().repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ordered")  # so that a row's range doesn't change
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(moved), "_range").withColumn("position", own + F.col("_before")).drop("_range", "_before")

@@ -41,6 +41,11 @@ def wide(layers: list[DataFrame], n_turns: DataFrame, cut: bool = False) -> Data
         raise ValueError(f"families of several layers share a name: {sorted({n for n in names if names.count(n) > 1})}")
     whole = []
     for layer in layers:
-        own = layer if "transcript_id" in layer.columns else n_turns.crossJoin(F.broadcast(layer)) if not cut else n_turns.join(F.broadcast(layer), layer["turn"] < n_turns["n_turns"])
+        if "transcript_id" in layer.columns:
+            own = layer
+        elif cut:
+            own = n_turns.select("transcript_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_turns") - 1)).alias("turn")).join(layer.withColumn("turn", F.col("turn").cast("bigint")), "turn")
+        else:
+            own = n_turns.select("transcript_id").crossJoin(layer)  # every row for every transcript is what it asks for
         whole.append(own.select("transcript_id", "turn", *taggable(layer)))
     return reduce(lambda a, b: a.join(b, ["transcript_id", "turn"], "full"), whole)

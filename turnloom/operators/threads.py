@@ -155,3 +155,15 @@ def mark_summaries(excerpt: DataFrame, flushes: DataFrame) -> DataFrame:
     """RPT-12: the turn in front of a flush with a recorded prompt is that of the summary."""
     own = flushes.filter("compaction_prompt is not null").select("transcript_id", (F.col("turn") - 1).alias("turn")).distinct().withColumn("_m", F.lit(True))
     return excerpt.join(own, ["transcript_id", "turn"], "left").withColumn("is_summary", F.coalesce("_m", F.lit(False))).drop("_m")
+
+
+def spawn_prompts(spans: DataFrame, first_inputs: DataFrame) -> DataFrame:
+    """EXT-20: every lane's own opening message in full; a span without any is left out. Inputs as for `span_tasks`."""
+    first = first_inputs.filter("role <> 'tool' and trim(text) <> ''").groupBy("transcript_id", "span_id").agg(F.max_by("text", "pos").alias("_input"))
+    told = strip_scaffold(F.coalesce(tx.null_if_blank("task"), tx.null_if_blank("prompt"), F.col("_input"), F.lit("")))
+    return spans.join(first, ["transcript_id", "span_id"], "left").select("transcript_id", "span_id", told.alias("text")).filter("text <> ''")
+
+
+def tool_counts(turns: DataFrame) -> DataFrame:
+    """EXT-20: tool calls of the axis turns that have any."""
+    return turns.filter("turn is not null and n_tool_calls > 0").select("transcript_id", "turn", "n_tool_calls")

@@ -124,3 +124,9 @@ def spend_by(rows: DataFrame, key: str, total: Column, missing: str) -> DataFram
     rest = rows.groupBy("transcript_id").agg((F.coalesce(F.max(total), F.lit(0)) - F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("spend"))), F.lit(0))).alias("spend")).select("transcript_id", F.lit(missing).alias("label"), "spend")
     both = by.unionByName(rest.filter("spend > 0")).filter("spend > 0")
     return both.withColumn("share", F.col("spend") / F.sum("spend").over(Window.partitionBy("transcript_id")))
+
+
+def tag_spend(views: DataFrame, tags: DataFrame, family: str) -> DataFrame:
+    """JON-11: new work of the axis turns that have a tag of the family, one row a turn and tag."""
+    own = tags.filter(F.col(family).isNotNull()).select("transcript_id", "turn", family)
+    return views.filter("turn is not null").select("transcript_id", "turn", F.coalesce("new_work", F.lit(0)).alias("new_work")).join(own, ["transcript_id", "turn"])

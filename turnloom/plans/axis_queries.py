@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import axis, packing, phases, tokens
 from turnloom.plans.registry import query
+from turnloom.shared import written
 from turnloom.sources import adapters as ad
 from turnloom.sources.adapters import with_sql
 
@@ -28,12 +29,12 @@ FLUSHES = """
   WHERE kind = 'compaction' AND lane IS NOT NULL"""
 
 
-def views(spark, d):
-    return tokens.token_views(ad.timeline(spark, d).filter("kind = 'model'"))
+def views(spark, d, timeline=None):
+    return tokens.token_views((ad.timeline(spark, d) if timeline is None else timeline).filter("kind = 'model'"))
 
 
-def recorded(spark, d):
-    c = tokens.compactions(ad.timeline(spark, d))
+def recorded(spark, d, timeline=None):
+    c = tokens.compactions(ad.timeline(spark, d) if timeline is None else timeline)
     return c.select("transcript_id", "lane", "ev", F.col("at_turn").alias("turn"), F.col("at_lane_turn").alias("lane_turn"), (F.col("output_tokens") * 10).alias("tokens_before"), F.when(F.col("k") % 2 == 0, 0).otherwise(F.col("k")).alias("tokens_after"))
 
 
@@ -97,7 +98,8 @@ def tl_synth_drops(spark, d):
     ),
 )
 def tl_flushes(spark, d):
-    return tokens.flushes(recorded(spark, d), views(spark, d))
+    t = written(ad.timeline(spark, d), "timeline")
+    return tokens.flushes(recorded(spark, d, t), written(views(spark, d, t), "views"))
 
 
 @query("tl_compactions_per_lane", with_sql("SELECT transcript_id, lane, count(*) AS n_compactions FROM tl WHERE kind = 'compaction' AND lane IS NOT NULL GROUP BY ALL"))
@@ -161,7 +163,11 @@ def tl_measures_coincide(spark, d):
 
 
 def cells(spark, d):
-    t = ad.timeline(spark, d).filter("turn is not null")
+    return cells_of(ad.timeline(spark, d))
+
+
+def cells_of(timeline):
+    t = timeline.filter("turn is not null")
     return axis.clock(t.select("transcript_id", "turn", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.lit(None).cast("double").alias("completed")))
 
 
@@ -187,10 +193,11 @@ def tl_clock(spark, d):
     ),
 )
 def span_asof_turns(spark, d):
-    s = ad.spans(ad.timeline(spark, d)).select(
+    t = written(ad.timeline(spark, d), "timeline")
+    s = ad.spans(t).select(
         "transcript_id", "span_id", "spawn_turn", F.unix_micros(F.col("started_at").cast("timestamp")).cast("double").alias("started"), F.unix_micros(F.col("ended_at").cast("timestamp")).cast("double").alias("ended"), F.lit(None).cast("bigint").alias("order_end_turn")
     )
-    c = cells(spark, d)
+    c = written(cells_of(t), "cells")
     return axis.place_spans(s.join(c.select("transcript_id").distinct(), "transcript_id", "left_semi"), c).select("transcript_id", "span_id", "anchor_turn", "end_turn", "turn_source")
 
 

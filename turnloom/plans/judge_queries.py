@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnloom.operators import phases, reliability as rel, voting
 from turnloom.plans.axis_queries import PHASE_RUNS, staged
 from turnloom.plans.registry import query
+from turnloom.shared import written
 from turnloom.sources import adapters as ad
 from turnloom.sources.adapters import with_sql
 
@@ -167,7 +168,9 @@ def provenance_shares(spark, d):
 )
 def label_stats(spark, d):
     declared = spark.createDataFrame([("R", 0), ("A", 1), ("X", 2)], "label string, ord int")
-    return rel.label_stats(decided(spark, d), ad.ballots(spark, d), reviews(spark, d), UNIT, declared)
+    b = written(ad.ballots(spark, d), "ballots")
+    out = written(voting.decide(voting.vote(b, UNIT), ad.reviews(spark, d), UNIT), "decided")
+    return rel.label_stats(out, b, reviews(spark, d), UNIT, declared)
 
 
 @query("confidence_tiers", with_sql("SELECT transcript_id, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence < 0.8 AND confidence >= 0.66) AS medium, count(*) FILTER (confidence < 0.66) AS low, count(confidence) AS n FROM voted GROUP BY ALL", {"voted": VOTED}))
@@ -224,11 +227,12 @@ def reliability_flags(spark, d):
     ),
 )
 def collection_reliability(spark, d):
-    v = voted(spark, d)
+    b = written(ad.ballots(spark, d), "ballots")
+    v = written(voting.vote(b, UNIT), "voted")
     units = v.select(*UNIT, "label", F.when(F.col("transcript_id").isin("o1", "o2"), "s1").otherwise("s2").alias("setup"), F.lit(7).cast("bigint").alias("n_members"))
     words = F.when(F.col("transcript_id").isin("o1", "o3"), F.array(*map(F.lit, "ANR"))).otherwise(F.array(*map(F.lit, "ANRX")))
     vocabulary = v.select("transcript_id").distinct().select("transcript_id", F.explode(words).alias("label"))
-    return rel.collection(units, ad.ballots(spark, d), vocabulary)
+    return rel.collection(units, b, vocabulary)
 
 
 @query("multi_roll_models", with_sql("SELECT model, count(DISTINCT unit % 3) AS rolls FROM bal GROUP BY ALL HAVING count(DISTINCT unit % 3) > 1"))

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from turnloom.plans import axis_queries, ingest_queries, judge_queries, report_queries, telemetry_queries, text_queries  # noqa: E402, F401
+from turnloom.plans import axis_queries, ingest_queries, judge_queries, panel_queries, report_queries, table_queries, telemetry_queries, text_queries  # noqa: E402, F401

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,13 +76,25 @@ class Results:
         return Results(cut(self.frames), cut(self.layers))
 
 
-def html_index(rows: DataFrame, title: str, limit: int = 10_000) -> str:
-    """SNK-02: an index page of aggregated rows; at most `limit` of them, as a page can't hold more."""
-    from html import escape
+def html_pages(rows: DataFrame, title: str, size: int = 10_000) -> Iterator[str]:
+    """SNK-02: index pages of aggregated rows, `size` to a page, each with the way on. Rows come to the driver one partition at a time."""
+    names, head = rows.columns, escape(title)
+    row = lambda r: "<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>"
+    left = rows.toLocalIterator()
+    page, now = 1, list(itertools.islice(left, size))
+    while now or page == 1:
+        after = list(itertools.islice(left, size))
+        way = f'<p><a href="{page + 1}.html">next</a></p>' if after else ""
+        yield f"<!doctype html><title>{head}</title><h1>{head}</h1><table><tr>{''.join(f'<th>{escape(n)}</th>' for n in names)}</tr>{''.join(map(row, now))}</table>{way}"
+        page, now = page + 1, after
+
 
-    names = rows.columns
-    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(limit).collect())
-    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{''.join(f'<th>{escape(n)}</th>' for n in names)}</tr>{body}</table>"
+def html_index(rows: DataFrame, title: str, limit: int = 10_000) -> str:
+    """SNK-02: an index of one page; more rows than a page holds are an error: write `html_pages`."""
+    pages = list(itertools.islice(html_pages(rows, title, limit), 2))
+    if len(pages) > 1:
+        raise ValueError(f"the index has more than {limit} rows: write html_pages")
+    return pages[0]
 
 
 def load_spec(text: str) -> dict:
