@@ -1,5 +1,6 @@
 """Language identification: plain Viterbi, held-out accuracy, spans, odd rows."""
 
+import math
 import random
 import zlib
 
@@ -88,3 +89,68 @@ def test_held_out_languages_do_not_reach_the_model(spark):
     assert model[0].langs == model[1].langs and (model[0].logs == model[1].logs).all()
     picked = la.fit(spark.createDataFrame(rows, schema), rows=20)
     assert picked.langs == ["aa", "bb"] and (picked.logs == model[0].logs).all()
+
+
+def plain_model(rows):
+    """Log probabilities of buckets and scripts by language, with dictionaries."""
+    logs, scripts = {}, {}
+    for lang in sorted({k for _, k in rows}):
+        words = [w for t, k in rows if k == lang for w in la.words_of(t)]
+        n = {}
+        for w in words:
+            for b in la.subwords([w], la.GRAMS, la.BUCKETS)[0].tolist():
+                n[b] = n.get(b, 0) + 1
+        total = sum(n.values()) + la.SMOOTHING * la.BUCKETS
+        logs[lang] = (n, total)
+        scripts[lang] = {s: sum(int(la.scripts_of([w])[0]) == s for w in words) / len(words) for s in {int(la.scripts_of([w])[0]) for w in words}}
+    return logs, scripts
+
+
+def plain_scores(word, logs, scripts):
+    buckets = la.subwords([word], la.GRAMS, la.BUCKETS)[0].tolist()
+    s = int(la.scripts_of([word])[0])
+    able = [k for k in logs if scripts[k].get(s, 0) >= la.SCRIPT_SHARE]
+    if not able:
+        return [0.0] * len(logs)
+    raw = {k: 3 * sum(math.log((logs[k][0].get(b, 0) + la.SMOOTHING) / logs[k][1]) for b in buckets) / len(buckets) for k in able}
+    top = max(raw.values())
+    norm = top + math.log(sum(math.exp(x - top) for x in raw.values()))
+    return [max(raw[k] - norm, -la.BOUND) if k in raw else -la.BOUND for k in logs]
+
+
+def plain_predict(text, logs, scripts):
+    langs, best, ways = list(logs), None, []
+    words = la.words_of(text)
+    if not words:
+        return "und", 0.0
+    for w in words:  # the recurrence over whole paths
+        emit = plain_scores(w, logs, scripts)
+        if best is None:
+            best, ways = emit, [[k] for k in range(len(langs))]
+            continue
+        step = [max(range(len(langs)), key=lambda j: (best[j] - (la.SWITCH if j != k else 0), j == k)) for k in range(len(langs))]
+        best, ways = [best[j] - (la.SWITCH if j != k else 0) + emit[k] for k, j in enumerate(step)], [ways[j] + [k] for k, j in enumerate(step)]
+    path = ways[max(range(len(langs)), key=lambda k: best[k])]
+    top = max(range(len(langs)), key=path.count)
+    return langs[top], path.count(top) / len(path)
+
+
+def test_fit_and_prediction_equal_plain_python(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(SYLLABLES))
+        other = rng.choice(list(SYLLABLES))
+        words = [word(rng, lang) for _ in range(rng.randrange(1, 40))] + [word(rng, other) for _ in range(rng.choice([0, 0, 12]))]
+        rows.append((i, " ".join(words), lang if i % 9 else None))
+    rows += [(100, "", "aa"), (101, None, "bb"), (102, "123 !?", "aa")]
+    train = [(t, k) for i, t, k in rows if k is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    logs, scripts = plain_model(train)
+    model = la.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.langs == list(logs)
+    for w in {w for _, t, _ in rows for w in la.words_of(t)}:
+        assert np.allclose(model.word_scores([w])[0], plain_scores(w, logs, scripts), atol=1e-3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in la.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        lang, share = plain_predict(t, logs, scripts)
+        assert got[i][0] == lang and abs(got[i][1] - share) < 1e-9 and got[i][2] == (zlib.crc32(str(i).encode()) % 4 == 2)

@@ -1,5 +1,6 @@
 """Quality rules, sharding and URL filters against plain Python."""
 
+import hashlib
 import random
 import re
 import statistics
@@ -182,3 +183,33 @@ def test_long_rule_lists_run_in_blocks(spark):
     assert sorted(map(repr, urlfilter.judge_urls(pages, block_chars=200).collect())) == whole and len(whole) == len(urls)
     blocked = {r["page_id"] for r in urlfilter.judge_urls(pages, block_chars=400).collect() if r["verdict"] == "block"}
     assert blocked == {2, 3, 5, 6}
+
+
+def test_ranks_and_cuts_equal_sorting_by_hand(spark):
+    """The exact place of every row, hot sources, repeated and null ids included; the mixture of each shard is that of the whole."""
+    rng = random.Random(6)
+    data = [(i, f"text {i}" * rng.randrange(4), "en", "hot" if i % 3 else f"s{i % 7}", 0) for i in range(1200)]
+    data += [(None, f"n{i}", "en", "hot", 0) for i in range(60)] + [(5, f"again {i}", "en", None, 0) for i in range(40)]
+    rows = []
+    for i, t, _, source, _ in data:
+        raw = t.encode()
+        rows.append((f"s{source}" if source is not None else "n", hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest(), (i is not None, i or 0), zlib.crc32(raw), len(raw) + 8, i))
+    total = Counter(r[0] for r in rows)
+    rank, ranked = Counter(), []
+    for r in sorted(rows, key=lambda r: (r[0], *r[1:5])):
+        ranked.append(((rank[r[0]] * 2 + 1) / (total[r[0]] * 2), *r))
+        rank[r[0]] += 1
+    ranked.sort(key=lambda r: r[:6])
+    want = Counter()
+    slots = Counter()
+    for place, r in enumerate(ranked):
+        shard = place * 24 // len(ranked)
+        want[r[6], r[5], r[4], shard, slots[shard]] += 1
+        slots[shard] += 1
+    got = sharding.shard(docs(spark, data), 24).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+    mixture = Counter((r["shard"], r["stratum"]) for r in got)
+    for s in range(24):
+        for stratum, n in total.items():
+            # up to a cut each stratum is half a row off its share of the fraction, which is half a row of each stratum off
+            assert abs(mixture[s, stratum] - n / 24) <= 1 + n * len(total) / len(ranked)

@@ -88,3 +88,42 @@ def test_ties_of_a_doc_id_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     one, other = (tx.fit(d, labels) for d in (docs.repartition(1), docs.orderBy(docs.text.desc()).repartition(7)))
     assert np.array_equal(one.u, other.u) and one.bias == other.bias
+
+
+def test_training_equals_dense_loops(monkeypatch):
+    monkeypatch.setattr(tx, "STEPS", 12)
+    rows = corpus(9, 40)
+    texts, y = [r[1][:300] for r in rows] + ["", "12"], np.array([r[2] for r in rows] + [0, 1], float)
+    share = []
+    for t in texts:
+        own = {}
+        words = tx.words_of(t)
+        for w in words:
+            buckets = tx.subwords([w])[0].tolist()
+            for b in buckets:
+                own[b] = own.get(b, 0.0) + tx.SCALE / len(buckets) / (len(words) + tx.PAD)
+        share.append(own)
+    used = sorted(set().union(*share))
+    x = np.array([[own.get(b, 0.0) for b in used] for own in share])
+    rng = np.random.default_rng(11)
+    half = rng.normal(size=tx.DIMENSIONS)
+    half /= 2 * np.linalg.norm(half)
+    e, w, bias = rng.normal(0, tx.SPREAD, (len(used), tx.DIMENSIONS)), np.stack([-half, half], axis=1), np.zeros(2)
+    move_e, move_w, move_b = np.zeros_like(e), np.zeros_like(w), np.zeros(2)
+    hot = np.stack([1 - y, y], axis=1)
+    for _ in range(12):
+        mean = x @ e
+        logit = mean @ w + bias
+        p = np.exp(logit - logit.max(axis=1, keepdims=True))
+        d = p / p.sum(axis=1, keepdims=True) - hot
+        speed = 1 / ((x * x).sum(axis=0) / 4 + tx.DECAY)
+        back = x.T @ d  # gradients by the chain rule, without the shortcuts of the operator
+        move_e = tx.MOMENTUM * move_e - 2 * tx.RATE * speed[:, None] * (back @ w.T + tx.DECAY / 2 * e)
+        move_w = tx.MOMENTUM * move_w - 2 * tx.RATE * (e.T @ back) / ((mean * mean).sum(axis=0) / 4 + tx.DECAY)[:, None]
+        move_b = tx.MOMENTUM * move_b - tx.RATE * 2 / len(y) * d.sum(axis=0)
+        e, w, bias = e + move_e, w + move_w, bias + move_b
+    model = tx.train(texts, y.astype(int).tolist())
+    u = e @ (w[:, 1] - w[:, 0])
+    assert np.allclose(model.u[used], u, rtol=1e-3, atol=1e-5) and abs(model.bias - (bias[1] - bias[0])) < 1e-5 and np.allclose(model.w, w, atol=1e-4)
+    plain = 1 / (1 + np.exp(-(x @ u + bias[1] - bias[0])))
+    assert np.allclose(model.score(texts, {}), plain, atol=1e-4)

@@ -108,6 +108,28 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("stratum")
 
 
+# crc32 byte by byte, from a table that the reflected polynomial gives bit by bit
+ORACLES["op6_sharding"] = r"""
+WITH RECURSIVE bit AS (
+  SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS crc_of FROM bit WHERE k = 8),
+doc AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+      lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM doc),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1) / CAST(n * 2 AS DOUBLE), stratum, key, doc_id NULLS FIRST, text_crc32, size) - 1 AS position, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * 24 // total AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY position * 24 // total ORDER BY position) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
 def op7_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -116,6 +138,29 @@ def op8_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def _listed(rows):
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+ORACLES["op8_url_filters"] = rf"""
+WITH prefix(verdict, rule) AS (VALUES {_listed(urlfilter.PREFIX_RULES)}),
+pattern(pattern, re) AS (VALUES {_listed((p, urlfilter.pattern_regex(p)) for p in urlfilter.BLOCK_PATTERNS)}),
+page AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+fits AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said
+  FROM page JOIN prefix ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY r),
+hits AS (SELECT r, min(pattern) AS pattern FROM page JOIN pattern ON regexp_matches(lower(url), re, 's') GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM page LEFT JOIN fits USING (r) LEFT JOIN hits USING (r)
+"""
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
