@@ -46,7 +46,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written_at"] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    path = table.__dict__.pop("_written_at", None)
+    if path:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: A table of at most so many bytes, as measured, is broadcast; a larger one is joined by shuffle.

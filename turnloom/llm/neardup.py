@@ -17,8 +17,9 @@ fewer words the whole sequence), hashed to 64 bits. Two documents are linked if
    members in one pass, its links are united, and Jaccard distances being a metric rule out the rest:
    members of different groups are compared further only while |d(x, p) - d(y, p)| <= limit for all pivots p.
    It ends when no pair can link: no link between candidates is lost.
-   A component of more than `large` members first has its links to one hub verified by a join, spread over
-   tasks by member; what the hub rules out or settles leaves the component before step 5.
+   A component of more than `large` members, or of sets of more than LARGE_BYTES, first has its links to one hub verified by a
+   join, spread over tasks by member; what the hub rules out or settles leaves the component. That goes on with other hubs as long as a
+   round takes a tenth of what was left, then step 5 does the rest.
 
 Nulls: a null or wordless text has an empty set and links with nothing. A null doc_id links with nothing
 (component_id null, kept true). Repeated rows of a doc_id are one node. Empty tables give no rows. Very long
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import blank_words, broadcast_if_small, distinct, mix, tidied, written
+from turnloom.llm.common import BROADCAST_BYTES, blank_words, broadcast_if_small, discard, distinct, mix, tidied, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -43,7 +44,7 @@ BANDS = 25
 ROWS = 5
 SEED = np.uint64(0x5EED)
 #: Members from which a candidate component is first thinned by its hub.
-LARGE = 20_000
+LARGE, LARGE_BYTES = 20_000, 64_000_000
 
 
 # ---- sets and signatures --------------------------------------------------------------------------------------
@@ -212,24 +213,28 @@ def _described(docs: DataFrame, id_column: str, text: str, size: int, bands: int
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the smallest node it is connected with) of every node of the edges: large-star, small-star rounds.
 
-    Every round keeps at most as many edges as before plus one a node; it ends when a round changes nothing.
+    Every round keeps at most as many edges as before plus one a node; it ends when a round changes nothing. A round's table
+    replaces the one before. The least neighbours (at most two nodes an edge) are broadcast where the counted edges bound them within
+    BROADCAST_BYTES, so a hub's edges stay where they are; beyond that they are joined by shuffle, where adaptive execution splits hubs.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    state, many = None, now.count()
     while True:
+        told = F.broadcast if many * 2 * 64 <= BROADCAST_BYTES else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(told(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = written(
+        small = large.join(told(low), "u")
+        last, now = now, written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(),
             "edges",
         )
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        discard(last)
         if tuple(seen) == state:
             break
-        state = tuple(seen)
+        state, many = tuple(seen), seen[0]
     stars = now.groupBy("u").agg(F.min("v").alias("label"))
     return stars.select(F.col("u").alias("node"), "label").unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
@@ -275,7 +280,7 @@ def _thinned(sets: DataFrame, big: DataFrame, percent: int) -> tuple[DataFrame,
     metric, one at hub distance d within twice the limit, d - limit <= its own distance.
     """
     limit = 1 - percent / 100
-    hubs = sets.join(F.broadcast(big), "comp").filter("rep = hub").select("comp", "hub", F.col("elements").alias("hub_elements"))
+    hubs = broadcast_if_small(sets.join(big, "comp").filter("rep = hub").select("comp", "hub", F.col("elements").alias("hub_elements")), "hubs", "hub_elements")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,23 +312,28 @@ def components(
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     told = written(_described(docs, id_column, text, size, bands, rows), "described")
     real = told.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = written(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n_shingles")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("band", "low")
     near = banded.join(first, "band").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     candidate = written(connected(near).select(F.col("node").alias("rep"), F.col("label").alias("comp")), "candidates")
     # a doc_id may stand for several classes where its rows differ in text: each is a member of its own
-    members = candidate.join(classes.select("rep", "set_key"), "rep")
+    members = candidate.join(classes.select("rep", "set_key", "n_shingles"), "rep")
     sets = _sets_of(members, docs, id_column, text, size).dropDuplicates(["comp", "rep", "set_key"])
-    big = candidate.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).filter(F.col("n") > large)
-    hubs = big.limit(1).count()
-    links = None
-    if hubs:
+    links, left, turn = None, None, 0
+    over = (F.col("n") > large) | (F.col("bytes") > LARGE_BYTES)
+    if members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes")).filter(over).limit(1).count():
         sets = written(sets, "sets")
-        big = written(big.select("comp", "hub"), "big")
-        edges, stay = _thinned(sets, big, percent)
-        sets = sets.join(big.select("comp"), "comp", "left_anti").unionByName(sets.join(stay, ["comp", "rep"], "left_semi"))
-        links = edges
+        while True:
+            sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("elements")).alias("bytes"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("hub"))
+            big = broadcast_if_small(sizes.filter(over).select("comp", "hub", "n"), "big")
+            now = big.agg(F.sum("n")).first()[0] or 0
+            if not now or (left is not None and now > 0.9 * left):
+                break
+            left, turn = now, turn + 1
+            edges, stay = _thinned(sets, big.select("comp", "hub"), percent)
+            links = edges if links is None else links.unionByName(edges)
+            sets = written(sets.join(big.select("comp"), "comp", "left_anti").unionByName(sets.join(stay.distinct(), ["comp", "rep"], "left_semi")), "sets")
     grouped = _grouped(sets, percent).filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
     links = grouped if links is None else links.unionByName(grouped)
     # classes of one doc_id, copies of a class, and links between classes
