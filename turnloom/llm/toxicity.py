@@ -168,7 +168,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         e, w, bias = e + speed_e, w + speed_w, bias + speed_b
     u = np.zeros(BUCKETS, np.float32)
     u[used] = e @ (w[:, 1] - w[:, 0])
-    return Model(u, float(bias[1] - bias[0]), w, np.linalg.svd(e, compute_uv=False))
+    return Model(u, float(bias[1] - bias[0]), w, np.sqrt(np.maximum(np.linalg.eigvalsh(e.T @ e)[::-1], 0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
