@@ -193,7 +193,7 @@ def test_ranks_and_cuts_equal_sorting_by_hand(spark):
     rows = []
     for i, t, _, source, _ in data:
         raw = t.encode()
-        rows.append((f"s{source}" if source is not None else "n", hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest(), (i is not None, i or 0), zlib.crc32(raw), len(raw) + 8, i))
+        rows.append((f"s{source}" if source is not None else "n", hashlib.md5(f"17:{f't:{zlib.crc32(raw)}:{len(raw) + 8}' if i is None else i}".encode()).hexdigest(), (i is not None, i or 0), zlib.crc32(raw), len(raw) + 8, i))
     total = Counter(r[0] for r in rows)
     rank, ranked = Counter(), []
     for r in sorted(rows, key=lambda r: (r[0], *r[1:5])):

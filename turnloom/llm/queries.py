@@ -114,12 +114,12 @@ WITH RECURSIVE bit AS (
   SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
   UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
 crc AS (SELECT list(c ORDER BY byte) AS crc_of FROM bit WHERE k = 8),
-doc AS (
+raw AS (
   SELECT doc_id, coalesce('s' || source, 'n') AS stratum, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
-    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
     xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)),
       lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, crc),
+doc AS (SELECT *, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 't:' || text_crc32 || ':' || size)) AS key FROM raw),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM doc),
 placed AS (

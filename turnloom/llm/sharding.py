@@ -9,7 +9,7 @@ in each range, and moved on by the rows of the ranges before. The global order i
 the fractional rank in the same way. Only ids, sizes and keys are shuffled, never texts.
 
 Nulls: a null source is a source of its own; a null text has size 8 and crc32 0; a null doc_id takes part
-in the order like an empty one. Equal rows may swap slots among themselves. An empty table gives no rows.
+in the order by its text. Equal rows may swap slots among themselves. An empty table gives no rows.
 Further columns are ignored.
 """
 
@@ -37,14 +37,15 @@ def _offsets(df: DataFrame, by: list[str], over: str) -> DataFrame:
 def interleave(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, stratum, position (0-based, global) and total rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key: Column = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     slim = docs.select(
         "doc_id",
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("stratum"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        key.alias("_key"),
-    ).withColumn("_range", F.substring("_key", 1, KEY_DIGITS))
+    )
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("t"), "text_crc32", "size"))  # rows without an id spread by their texts
+    key: Column = F.md5(F.concat_ws(":", F.lit(str(seed)), known).cast("binary"))
+    slim = slim.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, KEY_DIGITS))
     ties = ["_key", "doc_id", "text_crc32", "size"]
     ranked = slim.join(_offsets(slim, ["stratum"], "_range"), ["stratum", "_range"]).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("stratum", "_range").orderBy(*ties)) - 1 + F.col("_before")
