@@ -44,7 +44,7 @@ BANDS = 25
 ROWS = 5
 SEED = np.uint64(0x5EED)
 #: Members from which a candidate component is first thinned by its hub.
-LARGE, LARGE_BYTES = 20_000, 64_000_000
+LARGE, LARGE_BYTES = 1_000, 16_000_000
 
 
 # ---- sets and signatures --------------------------------------------------------------------------------------
