@@ -67,3 +67,22 @@ def test_stages(spark, tmp_path):
             assert [r["ids"] for r in got] == [list(m.encode(r["text"])) for r in now] and all(r["decodes"] for r in got)
         now = got
     assert sorted(map(tuple, cp.run(spark, d).select("doc_id", "ids").collect()), key=str) == sorted(((r["doc_id"], r["ids"]) for r in now), key=str)
+
+
+def test_odd_columns_come_through_all_stages(spark, tmp_path):
+    """Names that operators use inside, names with dots, and null rows: all but the last stage return them as they were."""
+    d, _ = make(tmp_path, spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = {"_own": 1, "_t": "t", "score": 2, "rep": 3, "kept": "no", "comp": 4, "a.b": 5, "n_words": -7, "spans": "x", "_gone": 6}
+    for name, value in odd.items():
+        docs = docs.withColumn(name, cp.quality.F.lit(value))
+    docs.write.parquet(f"{d}/odd")
+    docs = spark.read.parquet(f"{d}/odd")
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{d}/odd{k}")
+        docs = spark.read.parquet(f"{d}/odd{k}")
+        assert {tuple(r) for r in docs.select(*[f"`{n}`" for n in odd]).distinct().collect()} == {tuple(odd.values())}
+    coded = cp.STAGES[-1][1](spark, docs, d)
+    assert set(odd) <= set(coded.columns) and coded.count() == docs.count()

@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -21,6 +22,28 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLANKS = "\\x20\\x09-\\x0D"
 
 
+def columns(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters a name has."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow, whatever characters the names of columns have: work sees c0, c1, ... and returns columns by position."""
+    plain = [f"c{i}" for i in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in work(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, plain)
+
+    fields = [StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema.fields, strict=True)]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, StructType(fields)).toDF(*schema.names)
+
+
+def schema_of(df: DataFrame, names: list[str] | tuple[str, ...], more: str) -> StructType:
+    """The fields of df's columns, then those of a DDL string."""
+    return StructType([*[next(f for f in df.schema.fields if f.name == n) for n in names], *StructType.fromDDL(more).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

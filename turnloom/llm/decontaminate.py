@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from turnloom.llm.common import sliced, tidied, written
+from turnloom.llm.common import columns as own_columns
+from turnloom.llm.common import mapped, schema_of, sliced, tidied, written
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -262,8 +263,6 @@ def search(
     item: str = "item_id",
 ) -> DataFrame:
     """The columns, then n_words, n_hit, n_items, items_sha256, contaminated and spans (of hit words, [start, end))."""
-    kinds = dict(docs.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     found = docs.select(*columns, F.col(text).alias("_text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     for k, block in enumerate(_blocks(benchmark, item, "text", block_bytes)):
         if k:
@@ -286,7 +285,7 @@ def search(
                     [*columns, "_text", "_spans", "_items", "_words"],
                 )
 
-        found = found.drop("_words").mapInArrow(searched, f"{head}, _text string, _spans array<struct<start:bigint,end:bigint>>, _items array<string>, _words bigint")
+        found = found.drop("_words").mapInArrow(searched, schema_of(docs, columns, "_text string, _spans array<struct<start:bigint,end:bigint>>, _items array<string>, _words bigint"))
     return found.select(
         *columns,
         F.col("_words").alias("n_words"),
@@ -336,7 +335,7 @@ def _strip_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_b
 
     rows = StructType([StructField("_own", schema), StructField("_cut", BooleanType())])
     while True:
-        found = search(left.select(F.struct(*left.columns).alias("_own"), F.col(text).alias("_whole")), benchmark, ("_own",), window, block_bytes, "_whole")
+        found = search(left.select(F.struct(*own_columns(left.columns)).alias("_own"), F.col(text).alias("_whole")), benchmark, ("_own",), window, block_bytes, "_whole")
         table = written(found.select("_own", "spans").mapInArrow(cut_out, rows), "decontaminate")
         done.append(table.filter("not _cut").select("_own.*"))
         left = table.filter("_cut").select("_own.*")
@@ -358,7 +357,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
                 columns[at] = pa.array(strip_texts(b.column(at).to_pylist(), shared.value), b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-        docs = docs.mapInArrow(stripped, schema)
+        docs = mapped(docs, stripped, schema)
     else:
         docs = _strip_by_blocks(docs, benchmark, window, block_bytes, text)
     return docs.withColumn(chars, F.length(text).cast(kinds[chars])) if chars in kinds else docs

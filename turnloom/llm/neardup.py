@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import BROADCAST_BYTES, blank_words, broadcast_if_small, discard, distinct, mix, tidied, written
+from turnloom.llm.common import BROADCAST_BYTES, blank_words, broadcast_if_small, columns, discard, distinct, mix, tidied, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -365,4 +365,4 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", siz
     if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         nulls = left.filter(F.col(id_column).isNull())
         left = left.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column]).unionByName(nulls)
-    return left.select(*names)
+    return left.select(*columns(names))

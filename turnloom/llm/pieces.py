@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import KEPT, tidied
+from turnloom.llm.common import KEPT, columns, mapped, schema_of, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -325,7 +325,6 @@ def machine(path: str = MODEL) -> Machine:
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
     """docs with ids (array of int), n_ids and decodes (whether decoding gives the text again); text is dropped."""
     others = [c for c in docs.columns if c not in (text, "ids", "n_ids", "decodes")]
-    kinds = dict(docs.dtypes)
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -344,14 +343,12 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)), mask=pa.array(nulls))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(ends), pa.int64()), pa.array(good, pa.bool_())], [*others, "ids", "n_ids", "decodes"])
 
-    head = "".join(f"`{c}` {kinds[c]}, " for c in others)
-    return docs.select(*others, F.col(text).alias("_t")).mapInArrow(tidied(encoded, "pieces"), f"{head}ids array<int>, n_ids bigint, decodes boolean")
+    return mapped(docs.select(*columns(others), F.col(text).alias("_t")), tidied(encoded, "pieces"), schema_of(docs, others, "ids array<int>, n_ids bigint, decodes boolean"))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
     """rows with the ids column turned into text."""
     others = [c for c in rows.columns if c not in (ids, text)]
-    kinds = dict(rows.dtypes)
     with open(model, "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
 
@@ -361,5 +358,4 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
             texts = [None if x is None else m.decode(x) for x in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*others, text])
 
-    head = "".join(f"`{c}` {kinds[c]}, " for c in others)
-    return rows.select(*others, F.col(ids).alias("_i")).mapInArrow(tidied(decoded, "pieces"), f"{head}`{text}` string")
+    return mapped(rows.select(*columns(others), F.col(ids).alias("_i")), tidied(decoded, "pieces"), schema_of(rows, others, f"`{text}` string"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import BLANKS, broadcast_if_small, written
+from turnloom.llm.common import BLANKS, broadcast_if_small, columns, written
 
 #: Words of a window, the rule limits, and how far a host's posterior must lie beyond the limit.
 WINDOW = 5
@@ -79,18 +79,14 @@ def counts_of(text: str = "text") -> Column:
     return F.expr(_let(f"coalesce(`{quoted}`, '')", "t", _let(told, "c", judged)))
 
 
-def _quoted(names: list[str]) -> list[Column]:
-    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
-
-
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     own = [c for c in docs.columns if c not in (*COUNTS, "base_failed")]
-    return docs.select(*_quoted(own), counts_of(text).alias("_counts")).select(*_quoted(own), "_counts.*")
+    return docs.select(*columns(own), counts_of(text).alias("_counts")).select(*columns(own), "_counts.*")
 
 
 def host_key(host: str) -> Column:
-    return F.coalesce(F.concat(F.lit("h"), *_quoted([host])), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("h"), *columns([host])), F.lit("n"))
 
 
 def host_verdicts(judged: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
@@ -122,7 +118,7 @@ def host_verdicts(judged: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
 def judge(docs: DataFrame, host: str = "source", text: str = "text", id_columns: tuple[str, ...] = ("doc_id",), sigmas: float = SIGMAS) -> DataFrame:
     """id columns, host, host_key, the base counts, base_failed, host_docs to host_rejected, and kept."""
     own = [*dict.fromkeys([*id_columns, host])]
-    counted = written(docs.select(*_quoted(own), host_key(host).alias("host_key"), counts_of(text).alias("_counts")).select(*_quoted(own), "host_key", "_counts.*"), "quality-counts")
+    counted = written(docs.select(*columns(own), host_key(host).alias("host_key"), counts_of(text).alias("_counts")).select(*columns(own), "host_key", "_counts.*"), "quality-counts")
     verdicts = broadcast_if_small(host_verdicts(counted, sigmas), "host-verdicts", "host_key")
     return counted.join(verdicts, "host_key").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
@@ -130,7 +126,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", id_columns:
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", sigmas: float = SIGMAS) -> DataFrame:
     """The rows of docs that base rules and host verdicts keep, with docs' own columns."""
     # counts are made twice, for the hosts and for the rows: so texts are neither written nor shuffled in between
-    told = docs.select(F.struct(*_quoted(docs.columns)).alias("_own"), host_key(host).alias("_host"), counts_of(text).getField("base_failed").alias("base_failed"))
+    told = docs.select(F.struct(*columns(docs.columns)).alias("_own"), host_key(host).alias("_host"), counts_of(text).getField("base_failed").alias("base_failed"))
     verdicts = host_verdicts(told.select(F.col("_host").alias("host_key"), "base_failed"), sigmas)
     gone = broadcast_if_small(verdicts.filter("host_rejected").select("host_key"), "rejected-hosts", "host_key")
     good = told.filter("not base_failed")

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import crc_mod, mix, tidied
+from turnloom.llm.common import columns as own_columns
+from turnloom.llm.common import crc_mod, mix, schema_of, tidied
 
 GRAMS = (4, 5)
 BUCKETS = 1 << 20
@@ -192,7 +193,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns, then score (0 to 1) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
 
     @tidied
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str,
                 b = whole.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.score(b.column(len(columns)).to_pylist(), known))], [*columns, "score"])
 
-    return docs.select(*columns, F.col(text).alias("_t")).mapInArrow(scored, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
+    return docs.select(*own_columns(columns), F.col(text).alias("_t")).mapInArrow(scored, schema_of(docs, columns, "score double"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,5 +215,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score under THRESHOLD, with docs' own columns."""
     names = docs.columns
-    whole = docs.withColumn("_own", F.struct(*names)).select("_own", "text")
+    whole = docs.withColumn("_own", F.struct(*own_columns(names))).select("_own", "text")
     return score(whole, fit(docs, labels), columns=("_own",)).filter(F.col("score") < THRESHOLD).select("_own.*")
