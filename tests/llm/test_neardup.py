@@ -1,6 +1,7 @@
 """Near-duplicate groups against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -87,6 +88,31 @@ def test_links_within_a_component_equal_all_pairs():
         assert len({*zip(got.tolist(), up)}) == len(set(up)) == len(set(got.tolist())), trial
 
 
+def test_a_line_that_many_texts_have_costs_neither_pairs_nor_their_memory():
+    rng = np.random.default_rng(8)
+    line = rng.integers(0, 2**63, 10, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([line, rng.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(5000)]
+    sets += [np.concatenate([s[:-1], s[-1:] + np.uint64(1)]) for s in sets[:50]]
+    tracemalloc.start()
+    got = nd.link_sets(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [*range(5000), *range(50)]
+    assert peak < 60e6  # distances of all to all take 200 MB
+
+
+def test_components_over_the_limits_that_hubs_do_not_thin_are_split_by_band(spark, monkeypatch):
+    rng = random.Random(3)
+    line = " ".join(f"l{i}" for i in range(40))
+    rows = [(i, f"{line} " + " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(4, 14)))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:20]] + [(200 + i, f"more {t}") for i, t in rows[10:25]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    split, by_band = [], nd._by_band
+    monkeypatch.setattr(nd, "_by_band", lambda *a: split.append(1) or by_band(*a))
+    got = {r["doc_id"]: r["component_id"] for r in nd.components(docs, large=10).collect()}
+    assert split and got == {d: c for (d, _), c in zip(rows, brute(rows), strict=True)}
+
+
 def test_components_equal_all_pairs(spark):
     for seed, large in ((1, nd.LARGE), (2, 2)):
         rows = corpus(seed)

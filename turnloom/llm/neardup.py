@@ -13,13 +13,13 @@ fewer words the whole sequence), hashed to 64 bits. Two documents are linked if
    class and band, never all pairs of a bucket. With 25 bands of 5 a pair at 0.85 shares none with
    probability 4e-7.
 4. Connected components of the candidate edges, by large-star and small-star rounds over a written table.
-5. Verification on full sets within each candidate component (`link_sets`): a pivot is compared with all
-   members in one pass, its links are united, and Jaccard distances being a metric rule out the rest:
-   members of different groups are compared further only while |d(x, p) - d(y, p)| <= limit for all pivots p.
-   It ends when no pair can link: no link between candidates is lost.
+5. Verification on full sets within each candidate component (`link_sets`): of a set's shingles, the rarest of the
+   component first, so many are its head that two linked sets share one of their heads. Members of different groups are compared
+   if they do, so a line that many texts have pairs none of them. No link between candidates is lost, and memory grows with the sets.
    A component of more than `large` members, or of sets of more than LARGE_BYTES, first has its links to one hub verified by a
    join, spread over tasks by member; what the hub rules out or settles leaves the component. That goes on with other hubs as long as a
-   round takes a tenth of what was left, then step 5 does the rest.
+   round takes three tenths of what was left. Step 5 then does what is still over the limits by band value instead of by component: a
+   set comes once for each band that it shares, and a chain of many bands isn't one task.
 
 Nulls: a null or wordless text has an empty set and links with nothing. A null doc_id links with nothing
 (component_id null, kept true). Repeated rows of a doc_id are one node. Empty tables give no rows. Very long
@@ -29,6 +29,7 @@ texts are shingled whole. Further columns are ignored by `components` and kept b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ ROWS = 5
 SEED = np.uint64(0x5EED)
 #: Members from which a candidate component is first thinned by its hub.
 LARGE, LARGE_BYTES = 1_000, 16_000_000
+#: Shingles that are compared at once.
+COMPARED = 2_000_000
 
 
 # ---- sets and signatures --------------------------------------------------------------------------------------
@@ -114,23 +117,6 @@ def band_values(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 # ---- links within one candidate component -----------------------------------------------------------------------
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.up[self.up]
-            if (up == self.up).all():
-                return up
-            self.up = up
-
-    def join(self, a: int, members: np.ndarray) -> None:
-        roots = self.roots()
-        low = min(int(roots[a]), int(roots[members].min(initial=roots[a])))
-        self.up[np.unique(np.concatenate([[roots[a]], roots[members]]))] = low
-
-
 def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """A label for each set: the smallest index that links lead to. Exact."""
     n = len(sets)
@@ -138,47 +124,59 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     if n == 2:  # most components
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([0, 0 if 100 * both >= percent * (sizes.sum() - both) else 1])
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ends = starts + sizes
-    # members whose shingles are common in the component are likely hubs
-    common = np.bincount(code)[code]
-    score = np.add.reduceat(common, starts) / sizes
-    order = np.argsort(-score, kind="stable")
-    union, limit = Union(n), 1 - percent / 100
-    distances: list[np.ndarray] = []
-    is_pivot, settled = np.zeros(n, bool), np.zeros(n, bool)
-    mark = np.zeros(len(values), np.int64)
-
-    def pivot(p: int) -> None:
-        mark[code[starts[p] : ends[p]]] = 1
-        both = np.add.reduceat(mark[code], starts)
-        mark[code[starts[p] : ends[p]]] = 0
-        either = sizes + sizes[p] - both
-        linked = 100 * both >= percent * either
-        union.join(p, np.flatnonzero(linked))
-        settled[linked] = True
-        is_pivot[p] = True
-        distances.append(1 - both / either)
-
-    for p in order.tolist():
-        if not settled[p]:
-            pivot(p)
-    roots = union.roots()
-    while len(np.unique(roots)) > 1:
-        for x in np.flatnonzero(~is_pivot).tolist():
-            able = (roots != roots[x]) & ~is_pivot & (np.minimum(sizes, sizes[x]) * 100 >= percent * np.maximum(sizes, sizes[x]))
-            for d in distances:
-                if not able.any():
-                    break
-                able &= np.abs(d - d[x]) <= limit + 1e-9
-            if able.any():
-                pivot(x)
-                roots = union.roots()
-                break
-        else:
+    # every set's shingles, the rarest first; of two linked sets, the first common one is among the first of each
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(code)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(n), sizes)
+    rank = rank[code]
+    rank = rank[np.lexsort((rank, owner))]
+    starts = np.cumsum(sizes) - sizes
+    heads = np.flatnonzero(np.arange(len(rank)) - starts[owner] < (sizes - -(-percent * sizes // 100) + 1)[owner])
+    head_starts = np.searchsorted(owner[heads], np.arange(n + 1))
+    by = np.argsort(rank[heads], kind="stable")
+    at = np.empty(len(by), np.int64)  # the place of each head in its bucket: all heads of one shingle, in order of their sets
+    at[by] = np.arange(len(by))
+    holders, first = owner[heads][by], np.flatnonzero(np.diff(rank[heads][by], prepend=-1))
+    bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+    end = np.append(first[1:], len(by))
+    one_group = np.zeros(len(first), bool)
+    mark = np.zeros(len(count), bool)
+    root = np.arange(n)
+    groups = {i: [i] for i in range(n)}
+    more = at + 1 < end[bucket[at]]
+    for x in np.flatnonzero(np.add.reduceat(more, head_starts[:-1])).tolist() if n else []:
+        own = at[head_starts[x] : head_starts[x + 1]][more[head_starts[x] : head_starts[x + 1]]]
+        own = own[~one_group[bucket[own]]]
+        found = []
+        for place, k in zip(own.tolist(), bucket[own].tolist(), strict=True):
+            later = holders[place + 1 : end[k]]
+            other = later[root[later] != root[x]]
+            if len(other):
+                found.append(other)
+            elif len(later) > 64:
+                one_group[k] = (root[holders[first[k] : end[k]]] == root[x]).all()
+        if not found:
+            continue
+        able = distinct(np.concatenate(found))
+        able = able[np.minimum(sizes[able], sizes[x]) * 100 >= percent * np.maximum(sizes[able], sizes[x])]
+        if not len(able):
+            continue
+        mark[rank[starts[x] : starts[x] + sizes[x]]] = True
+        for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(sizes[able]) // COMPARED)) + 1):
+            ends = np.cumsum(sizes[part])
+            both = np.add.reduceat(mark[rank[np.arange(ends[-1]) + np.repeat(starts[part] - ends + sizes[part], sizes[part])]], ends - sizes[part], dtype=np.int64)
+            for r in {root[x], *root[part[100 * both >= percent * (sizes[part] + sizes[x] - both)]].tolist()} - {root[x]}:
+                keep, gone = (r, root[x]) if len(groups[r]) > len(groups[root[x]]) else (root[x], r)
+                root[groups[gone]] = keep
+                groups[keep] += groups.pop(gone)
+        mark[rank[starts[x] : starts[x] + sizes[x]]] = False
+        if len(groups) == 1:
             break
-    return union.roots()
+    low = np.full(n, n)
+    np.minimum.at(low, root, np.arange(n))
+    return low[root]
 
 
 # ---- the distributed operator ------------------------------------------------------------------------------------
@@ -299,6 +297,16 @@ def _thinned(sets: DataFrame, big: DataFrame, percent: int) -> tuple[DataFrame,
     return edges, stay.select("comp", "rep")
 
 
+def _by_band(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """sets with their band values in place of components, where two of them share one.
+
+    Links of a component are links between members that share a band, united; so none of its bands need be one task with another.
+    """
+    bands = written(sets.select("rep", "set_key").join(classes.select("rep", "set_key", "bands"), ["rep", "set_key"]).select("rep", "set_key", F.explode("bands").alias("comp")), "split")
+    shared = bands.groupBy("comp").count().filter("count > 1").select("comp")
+    return sets.drop("comp").join(bands.join(shared, "comp"), ["rep", "set_key"]).select("comp", "rep", "set_key", "elements")
+
+
 def components(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -323,17 +331,23 @@ def components(
     links, left, turn = None, None, 0
     over = (F.col("n") > large) | (F.col("bytes") > LARGE_BYTES)
     if members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes")).filter(over).limit(1).count():
-        sets = written(sets, "sets")
+        rest, sets = [], written(sets, "sets")
         while True:
             sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("elements")).alias("bytes"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("hub"))
             big = broadcast_if_small(sizes.filter(over).select("comp", "hub", "n"), "big")
             now = big.agg(F.sum("n")).first()[0] or 0
-            if not now or (left is not None and now > 0.9 * left):
+            rest.append(sets.join(big.select("comp"), "comp", "left_anti") if now else sets)
+            if not now:
+                break
+            sets = sets.join(big.select("comp"), "comp", "left_semi")
+            if left is not None and now > 0.7 * left:
+                rest.append(_by_band(sets, classes))
                 break
             left, turn = now, turn + 1
             edges, stay = _thinned(sets, big.select("comp", "hub"), percent)
             links = edges if links is None else links.unionByName(edges)
-            sets = written(sets.join(big.select("comp"), "comp", "left_anti").unionByName(sets.join(stay.distinct(), ["comp", "rep"], "left_semi")), "sets")
+            sets = written(sets.join(stay.distinct(), ["comp", "rep"], "left_semi"), "sets")
+        sets = reduce(DataFrame.unionByName, rest)
     grouped = _grouped(sets, percent).filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
     links = grouped if links is None else links.unionByName(grouped)
     # classes of one doc_id, copies of a class, and links between classes
