@@ -1,6 +1,7 @@
 """Toxicity on invented labels: held-out accuracy, unseen misspellings, odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -127,3 +128,15 @@ def test_training_equals_dense_loops(monkeypatch):
     assert np.allclose(model.u[used], u, rtol=1e-3, atol=1e-5) and abs(model.bias - (bias[1] - bias[0])) < 1e-5 and np.allclose(model.w, w, atol=1e-4)
     plain = 1 / (1 + np.exp(-(x @ u + bias[1] - bias[0])))
     assert np.allclose(model.score(texts, {}), plain, atol=1e-4)
+
+
+def test_training_takes_few_copies_of_its_values():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(1500)]
+    values = sum(a.nbytes for a in tx._features(texts))
+    tracemalloc.start()
+    tx.train(texts, [k % 2 for k in range(1500)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * values

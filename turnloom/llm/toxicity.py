@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import columns as own_columns
-from turnloom.llm.common import crc_mod, mix, schema_of, tidied
+from turnloom.llm.common import crc_mod, give_back, mix, schema_of, tidied
 
 GRAMS = (4, 5)
 BUCKETS = 1 << 20
@@ -107,7 +107,7 @@ class Model:
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, share) of all texts, documents in order."""
-    docs, buckets, shares = [], [], []
+    counts, buckets, shares = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for i, t in enumerate(texts):
         ws = words_of(t)
         if not ws:
@@ -115,12 +115,26 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bucket, owner = subwords(ws)
         share = 1.0 / np.bincount(owner, minlength=len(ws))[owner] / (len(ws) + PAD)
         b, at = np.unique(bucket, return_inverse=True)
-        docs.append(np.full(len(b), i, np.int32))
+        counts[i] = len(b)
         buckets.append(b.astype(np.int32))
         shares.append((np.bincount(at, share) * SCALE).astype(np.float32))
-    if not docs:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return np.concatenate(docs), np.concatenate(buckets), np.concatenate(shares)
+    bucket = np.concatenate(buckets)
+    buckets.clear()  # lists of many small arrays go before the next array is made
+    share = np.concatenate(shares)
+    shares.clear()
+    return np.repeat(np.arange(len(texts), dtype=np.uint16 if len(texts) < 1 << 16 else np.int32), counts), bucket, share
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+
+
+def _ranges(starts: np.ndarray, n: int, most: int = 500_000):
+    """(first run, run behind the last, first value, value behind the last) of stretches of whole runs, about `most` values each."""
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, n, most)))
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+        yield low, high, int(starts[low]), int(starts[high]) if high < len(starts) else n
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
@@ -136,6 +150,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     doc, bucket, share = _features(texts)
+    give_back()
     if not len(doc):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))  # rows of E that the sample moves
@@ -143,25 +158,40 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     column[used] = np.arange(len(used))
     column = column[bucket]
     del bucket
-    by_doc = np.flatnonzero(np.diff(doc, prepend=-1))
+    by_doc = _starts(doc)
     rows = doc[by_doc]
-    order = np.argsort(column, kind="stable").astype(np.int32)
-    by_column = np.flatnonzero(np.diff(column[order], prepend=-1))
-    doc_of, share_of = doc[order], share[order]
-    del order, doc
+    # the same values by column: a range of columns is sorted at a time, as all places at once take as much as all arrays
+    sizes = np.bincount(column)
+    by_column = np.cumsum(sizes) - sizes
+    doc_of, share_of = np.empty_like(doc), np.empty_like(share)
+    for low, high, first, last in _ranges(by_column, len(column)):
+        own = np.flatnonzero((column >= low) & (column < high))
+        own = own[np.argsort(column[own], kind="stable")]
+        doc_of[first:last], share_of[first:last] = doc[own], share[own]
+    del own, doc
+    give_back()
+    doc_parts, column_parts = list(_ranges(by_doc, len(column))), list(_ranges(by_column, len(column)))
     rng = np.random.default_rng(seed)
     half = rng.normal(size=DIMENSIONS)
     half /= 2 * np.linalg.norm(half)
     e, w, bias = rng.normal(0, SPREAD, (len(used), DIMENSIONS)), np.stack([-half, half], axis=1), np.zeros(2)
-    curve = 1 / (np.add.reduceat(share_of * share_of, by_column) / 4 + DECAY)
+    curve, back = np.empty(len(used), np.float32), np.empty(len(used), np.float32)
+    for low, high, first, last in column_parts:
+        curve[low:high] = np.add.reduceat(share_of[first:last] * share_of[first:last], by_column[low:high] - first)
+    curve = 1 / (curve / 4 + DECAY)
+    mean = np.empty((len(rows), DIMENSIONS))
     weight = np.where(y > 0, 1.0, CLEAN_WEIGHT)
     speed_e, speed_w, speed_b = np.zeros_like(e), np.zeros_like(w), np.zeros(2)
     for _ in range(STEPS):
-        mean = np.stack([np.add.reduceat(share * k.astype(np.float32)[column], by_doc) for k in e.T], axis=1).astype(float)
+        for i, k in enumerate(e.T.astype(np.float32)):
+            for low, high, first, last in doc_parts:
+                mean[low:high, i] = np.add.reduceat(share[first:last] * k[column[first:last]], by_doc[low:high] - first)
         logit = np.full(len(y), bias[1] - bias[0])
         logit[rows] += mean @ (w[:, 1] - w[:, 0])
         d = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) * weight
-        back = np.add.reduceat(share_of * d.astype(np.float32)[doc_of], by_column)
+        told = d.astype(np.float32)
+        for low, high, first, last in column_parts:
+            back[low:high] = np.add.reduceat(share_of[first:last] * told[doc_of[first:last]], by_column[low:high] - first)
         both = np.stack([-back, back], axis=1)
         speed_e = MOMENTUM * speed_e - 2 * RATE * curve[:, None] * (both @ w.T + DECAY / 2 * e)
         speed_w = MOMENTUM * speed_w - 2 * RATE * (e.T @ both) / ((mean * mean).sum(axis=0) / 4 + DECAY)[:, None]
@@ -187,7 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     ids = picked[0].unionByName(picked[1])  # rows * (1 + CLEAN_TIMES) at most
     short = docs.filter(F.length("text") <= chars).select("doc_id", "text")
     sample = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
-    return train(sample["text"].tolist(), sample["toxic"].tolist())
+    texts, marks = sample["text"].tolist(), sample["toxic"].tolist()
+    del sample
+    model = train(texts, marks)
+    del texts
+    give_back()  # of the driver's memory
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
