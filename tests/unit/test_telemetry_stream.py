@@ -116,6 +116,20 @@ def test_deep_trees_are_walked_or_refused_never_cut(spark):
         axis.lineage(spans, 20).count()
 
 
+def test_trees_of_more_rows_than_a_recursive_query_may_have(spark):
+    spans = spark.range(40).selectExpr("concat('t', id) as transcript_id").selectExpr("*", "explode(array('r', 'w', 'x')) as span_id").selectExpr("*", "case span_id when 'w' then 'r' when 'x' then 'w' end as parent_id", "'agent' as type", "false as utility")
+    events = spans.filter("span_id = 'x'").selectExpr("transcript_id", "1 as ev", "'model' as kind", "span_id")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        assert axis.lineage(spans).count() == 240
+        assert {(r["main_id"], r["error"]) for r in axis.main_span(spans, events).collect()} == {("x", None)}
+        turns = events.selectExpr("transcript_id", "span_id", "'auditor' as role")
+        assert axis.auditor_span(spans, turns).filter("main_id = 'x'").count() == 40
+        assert axis.subagent_spans(spans, axis.main_span(spans, events)).count() == 0 and axis.lanes(events, spans).filter("is_main").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_pages_cells_and_tags(spark):
     rows = spark.range(25).selectExpr("id", "cast(id as string) as name")
     pages = list(rs.html_pages(rows, "a<b", 10))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.shared import written
+from turnloom.shared import walked, written
 
 #: Span types whose calls are off the axis, and roles of an audited pair.
 OFF_AXIS_SPANS = ["init", "scorers", "scorer"]
@@ -74,17 +74,15 @@ def lineage(spans: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Cycle-safe: a walk stops at a span that it has seen. A tree of more than `depth` levels is an error, never cut.
     """
-    return spans.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(transcript_id, span_id, ancestor_id, next_id, depth, seen) MAX RECURSION LEVEL {depth} AS (
-          SELECT transcript_id, span_id, span_id, parent_id, 0, array(span_id) FROM {{spans}}
-          UNION ALL
-          SELECT u.transcript_id, u.span_id, s.span_id, s.parent_id, u.depth + 1, array_append(u.seen, s.span_id)
-          FROM up u JOIN {{spans}} s ON s.transcript_id = u.transcript_id AND s.span_id = u.next_id
-          WHERE NOT array_contains(u.seen, s.span_id))
-        SELECT transcript_id, span_id, ancestor_id, depth FROM up""",
-        spans=spans.select("transcript_id", "span_id", "parent_id"),
-    )
+    tree = written(spans.select("transcript_id", "span_id", "parent_id"), "tree")
+    above = tree.select("transcript_id", F.col("span_id").alias("next_id"), F.col("parent_id").alias("_next"))
+
+    def up(level: DataFrame) -> DataFrame:
+        on = level.join(above, ["transcript_id", "next_id"]).filter(~F.array_contains("seen", F.col("next_id")))
+        return on.select("transcript_id", "span_id", F.col("next_id").alias("ancestor_id"), F.col("_next").alias("next_id"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("next_id")).alias("seen"))
+
+    start = tree.select("transcript_id", "span_id", F.col("span_id").alias("ancestor_id"), F.col("parent_id").alias("next_id"), F.lit(0).alias("depth"), F.array("span_id").alias("seen"))
+    return walked(start, up, depth, "lineage").select("transcript_id", "span_id", "ancestor_id", "depth")
 
 
 def nearest_lane(spans: DataFrame, depth: int = DEPTH, ways: DataFrame | None = None) -> DataFrame:
@@ -113,24 +111,17 @@ def main_span(spans: DataFrame, events: DataFrame) -> DataFrame:
         .groupBy("transcript_id", F.coalesce("parent_id", F.lit("")).alias("at"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("child"))
     )
-    return spans.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(transcript_id, at, held, n, child, depth) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT t.transcript_id, '', h.holds, c.n, c.child, 0
-          FROM {{all}} t LEFT JOIN {{holds}} h ON h.transcript_id = t.transcript_id AND h.span_id = ''
-          LEFT JOIN {{child}} c ON c.transcript_id = t.transcript_id AND c.at = ''
-          UNION ALL
-          SELECT w.transcript_id, w.child, h.holds, c.n, c.child, w.depth + 1
-          FROM walk w LEFT JOIN {{holds}} h ON h.transcript_id = w.transcript_id AND h.span_id = w.child
-          LEFT JOIN {{child}} c ON c.transcript_id = w.transcript_id AND c.at = w.child
-          WHERE w.held IS NULL AND w.n = 1)
-        SELECT transcript_id, max_by(CASE WHEN held THEN at END, depth) AS main_id,
-          CASE WHEN max_by(held, depth) THEN NULL WHEN max_by(n, depth) > 1 THEN 'several agent spans' ELSE 'no model turn' END AS error
-        FROM walk GROUP BY transcript_id""",
-        all=events.select("transcript_id").distinct(),
-        holds=holds,
-        child=child,
-    )
+    holds, child = written(holds, "holds"), written(child, "child")
+
+    def placed(at: DataFrame) -> DataFrame:
+        return at.join(holds.select("transcript_id", F.col("span_id").alias("at"), F.col("holds").alias("held")), ["transcript_id", "at"], "left").join(child, ["transcript_id", "at"], "left")
+
+    def down(level: DataFrame) -> DataFrame:
+        return placed(level.filter("held is null and n = 1").select("transcript_id", F.col("child").alias("at"), (F.col("depth") + 1).alias("depth")))
+
+    walk = walked(placed(events.select("transcript_id").distinct().select("transcript_id", F.lit("").alias("at"), F.lit(0).alias("depth"))), down, DEPTH, "walk")
+    end = walk.groupBy("transcript_id").agg(F.max_by(F.when(F.col("held"), F.col("at")), "depth").alias("main_id"), F.max_by("held", "depth").alias("_held"), F.max_by("n", "depth").alias("_n"))
+    return end.select("transcript_id", "main_id", F.when(F.col("_held"), None).when(F.col("_n") > 1, "several agent spans").otherwise("no model turn").alias("error"))
 
 
 def subagent_spans(spans: DataFrame, main: DataFrame, depth: int = DEPTH, ways: DataFrame | None = None) -> DataFrame:
