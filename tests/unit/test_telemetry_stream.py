@@ -116,6 +116,20 @@ def test_deep_trees_are_walked_or_refused_never_cut(spark):
         axis.lineage(spans, 20).count()
 
 
+def test_a_capture_over_several_part_files_of_a_bundle_is_whole(spark, tmp_path):
+    line = lambda i: f'{{"type":"agent.end","sessionKey":"agent:x:main:s","messages":[{{"role":"assistant","responseId":"r{i}","timestamp":"{1000 + i}","model":"m{i // 30}","usage":{{"input":1,"output":{i}}},"content":"a\\tb"}}]}}'
+    made = [(f"u{k}.jsonl", (0, i), line(i)) for k in range(2) for i in range(50)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tm.write_bundles(spark.createDataFrame(made, "file string, ord struct<start:bigint,within:bigint>, value string").repartition(7), str(tmp_path / "raw"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    events = tm.read_bundles(spark, str(tmp_path / "raw"))
+    assert sum(f.name.startswith("part-") for f in (tmp_path / "raw").iterdir()) > 2
+    assert [r["r"] for r in events.filter("file = 'u1.jsonl'").orderBy("ord").selectExpr("messages[0].responseId as r").collect()] == [f"r{i}" for i in range(50)]
+    assert {(r["task_name"], r["n_turns"], r["total_tokens"], r["model"]) for r in tm.transcripts(events).collect()} == {(f"u{k}", 50, 50 + sum(range(50)), "m0") for k in range(2)}
+
+
 def test_trees_of_more_rows_than_a_recursive_query_may_have(spark):
     spans = spark.range(40).selectExpr("concat('t', id) as transcript_id").selectExpr("*", "explode(array('r', 'w', 'x')) as span_id").selectExpr("*", "case span_id when 'w' then 'r' when 'x' then 'w' end as parent_id", "'agent' as type", "false as utility")
     events = spans.filter("span_id = 'x'").selectExpr("transcript_id", "1 as ev", "'model' as kind", "span_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
 from turnloom.operators import packing
+from turnloom.shared import written
 
 #: The kinds of session that are the orchestrator's, and the sub-agent kind.
 ORCHESTRATOR_KINDS = ["telegram", "main", "dashboard", "cron", "explicit"]
@@ -37,6 +38,22 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parsed_lines(text.select("value", "file", F.struct("start", "within").alias("ord")))
 
 
+def write_bundles(lines: DataFrame, path: str) -> None:
+    """Lines (file, ord, value) of any number of captures as a few text files: a line each, the file's name, a tab, the line.
+
+    Part files are ranges of (file, ord), so a capture may go over several of them; all its lines are there, in order of parts.
+    """
+    lines.repartitionByRange("file", "ord").sortWithinPartitions("file", "ord").select(F.concat("file", F.lit("\t"), "value").alias("value")).write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-01, SRC-02: the lines of bundles as events, as read_lines has those of files. The order is that of part, split and row."""
+    text = spark.read.option("pathGlobFilter", "part-*").text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("within"))
+    part = F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("bigint")
+    start = F.shiftleft(part, 40) + F.col("file_block_start")
+    return parsed_lines(text.select(F.expr("substring(value, instr(value, '\t') + 1)").alias("value"), F.substring_index("value", "\t", 1).alias("file"), F.struct(start.alias("start"), "within").alias("ord")))
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """SRC-01: lines (file, ord, value) as events."""
     parsed = lines.filter("trim(value) <> ''").withColumn("e", F.from_json("value", SCHEMA))
@@ -233,11 +250,16 @@ def transcripts(events: DataFrame, agent: str = "agent") -> DataFrame:
 
 def import_files(spark: SparkSession, path: str | list[str], target: str, agent: str = "agent") -> str:
     """SRC-04, SNK-01: imports files as a new snapshot; one id from two files, or nothing to import, is refused before anything is written."""
-    found = transcripts(read_lines(spark, path), agent)
+    return imported(read_lines(spark, path), target, agent)
+
+
+def imported(events: DataFrame, target: str, agent: str = "agent") -> str:
+    """SRC-04, SNK-01: events of read files or bundles as a new snapshot, refused as by import_files before the target has anything."""
+    found = written(transcripts(events, agent), "transcripts")
     twice = found.groupBy("transcript_id").agg(F.count_distinct("file").alias("n"), F.min("file").alias("a"), F.max("file").alias("b")).filter("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0]['transcript_id']} comes from {twice[0]['a']} and {twice[0]['b']}")
-    if not found.limit(1).count():
+    if found.isEmpty():
         raise ValueError("there is nothing to import")
     where = f"{target}/{uuid.uuid4().hex}"
     found.write.mode("errorifexists").parquet(where)
