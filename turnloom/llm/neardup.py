@@ -124,59 +124,83 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     if n == 2:  # most components
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([0, 0 if 100 * both >= percent * (sizes.sum() - both) else 1])
-    # every set's shingles, the rarest first; of two linked sets, the first common one is among the first of each
+    # the largest set first, and of every set the shingles, the rarest first
+    order = np.argsort(-sizes, kind="stable")
+    sets, sizes = [sets[i] for i in order.tolist()], sizes[order]
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     count = np.bincount(code)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     owner = np.repeat(np.arange(n), sizes)
     rank = rank[code]
-    rank = rank[np.lexsort((rank, owner))]
+    del code
+    rank += owner * len(count)
+    rank.sort()
+    rank -= owner * len(count)
     starts = np.cumsum(sizes) - sizes
-    heads = np.flatnonzero(np.arange(len(rank)) - starts[owner] < (sizes - -(-percent * sizes // 100) + 1)[owner])
-    head_starts = np.searchsorted(owner[heads], np.arange(n + 1))
-    by = np.argsort(rank[heads], kind="stable")
-    at = np.empty(len(by), np.int64)  # the place of each head in its bucket: all heads of one shingle, in order of their sets
-    at[by] = np.arange(len(by))
-    holders, first = owner[heads][by], np.flatnonzero(np.diff(rank[heads][by], prepend=-1))
-    bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
-    end = np.append(first[1:], len(by))
-    one_group = np.zeros(len(first), bool)
-    mark = np.zeros(len(count), bool)
+    place = np.arange(len(rank)) - starts[owner]
+    # The first common shingle of two linked sets, at place p of x and q of a later y, leaves at least
+    # percent * (|x| + |y|) / (100 + percent) shingles from there on in both. So y needs to be found only by its first
+    # shingles that leave this much with a set of its own size, and x asks only for those y that its place p still allows.
+    room = (100 + percent) * (sizes[owner] - place) - percent * sizes[owner]
+    filed = np.flatnonzero(room >= percent * sizes[owner])
+    filed = filed[np.lexsort((owner[filed], rank[filed]))]
+    holders, slack = owner[filed], room[filed]
+    key = rank[filed] * n + holders
+    bucket = np.searchsorted(rank[filed], np.arange(len(count) + 1))
+    asks = np.flatnonzero(100 * (sizes[owner] - place) >= percent * sizes[owner])
+    asker, room = owner[asks], room[asks]
+    del owner, place, filed
+    least = np.searchsorted(-100 * sizes, -percent * sizes, "right")[asker]  # sets from here on are too small for x
+    most = np.maximum(np.searchsorted(-percent * sizes, -room, "left"), asker + 1)  # sets before this are too large for place p
+    low, high = (np.searchsorted(key, rank[asks] * n + np.minimum(k, n)) for k in (np.minimum(most, least), least))
+    asks, asker, low, high = (k[high > low] for k in (asks, asker, low, high))
+    ask_starts = np.searchsorted(asker, np.arange(n + 1))
+    others: dict[int, tuple[int, np.ndarray]] = {}  # of a long bucket: a group, and the entries that weren't in it
+    mark, seen = np.zeros(len(count), bool), np.zeros(n, bool)
     root = np.arange(n)
     groups = {i: [i] for i in range(n)}
-    more = at + 1 < end[bucket[at]]
-    for x in np.flatnonzero(np.add.reduceat(more, head_starts[:-1])).tolist() if n else []:
-        own = at[head_starts[x] : head_starts[x + 1]][more[head_starts[x] : head_starts[x + 1]]]
-        own = own[~one_group[bucket[own]]]
-        found = []
-        for place, k in zip(own.tolist(), bucket[own].tolist(), strict=True):
-            later = holders[place + 1 : end[k]]
-            other = later[root[later] != root[x]]
-            if len(other):
-                found.append(other)
-            elif len(later) > 64:
-                one_group[k] = (root[holders[first[k] : end[k]]] == root[x]).all()
-        if not found:
-            continue
-        able = distinct(np.concatenate(found))
-        able = able[np.minimum(sizes[able], sizes[x]) * 100 >= percent * np.maximum(sizes[able], sizes[x])]
-        if not len(able):
+    for x in np.flatnonzero(np.diff(ask_starts)).tolist():
+        any_found = False
+        for k in range(ask_starts[x], ask_starts[x + 1]):
+            at, to = low[k], high[k]
+            if to - at > 64:
+                r = int(rank[asks[k]])
+                if r not in others or others[r][0] != root[x]:
+                    whole = np.arange(bucket[r], bucket[r + 1])
+                    others[r] = root[x], whole[root[holders[whole]] != root[x]]
+                own = others[r][1]
+                own = own[np.searchsorted(own, at) : np.searchsorted(own, to)]
+            else:
+                own = slice(at, to)
+            later = holders[own]
+            later = later[(slack[own] >= percent * sizes[x]) & (root[later] != root[x])]
+            if len(later):
+                seen[later] = any_found = True
+        if not any_found:
             continue
+        able = np.flatnonzero(seen)
+        seen[able] = False
         mark[rank[starts[x] : starts[x] + sizes[x]]] = True
-        for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(sizes[able]) // COMPARED)) + 1):
+        many = 16
+        while len(able):  # a few at first, as the rest is mostly of their groups
+            part = able[: max(1, int(np.searchsorted(np.cumsum(sizes[able[:many]]), COMPARED, "right")))]
+            able, many = able[len(part) :], 2 * many
             ends = np.cumsum(sizes[part])
             both = np.add.reduceat(mark[rank[np.arange(ends[-1]) + np.repeat(starts[part] - ends + sizes[part], sizes[part])]], ends - sizes[part], dtype=np.int64)
             for r in {root[x], *root[part[100 * both >= percent * (sizes[part] + sizes[x] - both)]].tolist()} - {root[x]}:
                 keep, gone = (r, root[x]) if len(groups[r]) > len(groups[root[x]]) else (root[x], r)
                 root[groups[gone]] = keep
                 groups[keep] += groups.pop(gone)
+            able = able[root[able] != root[x]]
         mark[rank[starts[x] : starts[x] + sizes[x]]] = False
         if len(groups) == 1:
             break
     low = np.full(n, n)
-    np.minimum.at(low, root, np.arange(n))
-    return low[root]
+    np.minimum.at(low, root, order)
+    out = np.empty(n, np.int64)
+    out[order] = low[root]
+    return out
 
 
 # ---- the distributed operator ------------------------------------------------------------------------------------
