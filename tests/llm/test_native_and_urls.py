@@ -72,6 +72,15 @@ def test_long_texts_are_split_once(spark):
     assert plan.count("split(") <= 6 and "sequence(" not in plan
 
 
+def test_texts_are_split_once_for_hosts_and_rows(spark):
+    kept = quality.keep_good(docs(spark))
+    assert "split(" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter((r[0], r[1]) for r in rows() if not brute_counts(r[1])[-1])
+    flags = docs(spark).select(quality.failed_of().alias("failed"), quality.counts_of().alias("counts"))
+    assert flags.filter("not (failed <=> counts.base_failed)").count() == 0
+
+
 def test_clashing_columns_come_back_as_they_were(spark):
     names = "doc_id long, text string, source string, n_words int, base_failed string, word_chars int, _w int, _h string, _lines int, _own int, _host int, host_key string, `a.b` int"
     data = [(1, " ".join(map(str, range(30))), "s", -7, "x", None, 5, "h", 6, 7, 8, "k", 9), (2, None, "s", -8, "y", 1, 5, "h", 6, 7, 8, "k", 9)]
